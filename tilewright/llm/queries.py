@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, sharding
+from . import bpe, linededup, mixing, sharding, winnow
 from .common import table
 
 
@@ -14,20 +14,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return docs.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), linededup.n_dropped().alias("n_dropped"), F.sha2(kept(), 256).alias("kept_sha256"))
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_next(table(spark, sf_dir, "documents"))
 
 
-def kept():
-    return linededup.kept_text()
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(linededup.kept_text(), 256).alias("kept_sha256")
+    return docs.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), linededup.n_dropped().alias("n_dropped"), kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op6_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op6_mixing, op7_winnowing, op10_line_dedup)}
 
 ORACLES = {
     "op6_mixing": r"""
