@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, sharding, winnow
+from . import bpe, linededup, mixing, neardup, sharding, winnow
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,9 +37,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), linededup.n_dropped().alias("n_dropped"), kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op6_mixing, op7_winnowing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op5_minhash_near_dedup, op6_mixing, op7_winnowing, op10_line_dedup)}
 
 ORACLES = {
+    "op5_minhash_near_dedup": r"""
+with recursive w as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from w),
+e as (select doc_id, unnest(s) as x from s),
+p as (select a.doc_id as i, b.doc_id as j, count(*) as n from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+k as (select i, j from p join s a on a.doc_id = i join s b on b.doc_id = j where 100 * n >= 85 * (len(a.s) + len(b.s) - n)),
+r as (select doc_id as i, doc_id as c from documents union select k.j, r.c from r join k on k.i = r.i)
+select s.doc_id, len(s.s)::bigint as n_shingles, min(r.c) as component_id, s.doc_id = min(r.c) as kept
+from s join r on r.i = s.doc_id group by s.doc_id, s.s
+""",
     "op6_mixing": r"""
 with recursive d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
