@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, neardup, sharding, winnow
+from . import bpe, embdedup, linededup, mixing, neardup, sharding, winnow
 from .common import table
 
 
@@ -31,13 +31,17 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.sha2(linededup.kept_text(), 256).alias("kept_sha256")
     return docs.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), linededup.n_dropped().alias("n_dropped"), kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op5_minhash_near_dedup, op6_mixing, op7_winnowing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op5_minhash_near_dedup, op6_mixing, op7_winnowing, op9_embedding_near_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op5_minhash_near_dedup": r"""
@@ -73,6 +77,14 @@ select doc_id, size, source_size, target,
                                and (upto <= target - passes * source_size or here <= 2 * (target - passes * source_size - (upto - here)))
                               then 1 else 0 end))::bigint as taken
 from r
+""",
+    "op9_embedding_near_dedup": """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+n as (select * from v where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+k as (select a.vec_id as i, b.vec_id as j from n a join n b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select vec_id as i, vec_id as c from embeddings union select k.j, r.c from r join k on k.i = r.i)
+select v.vec_id, (select count(*) from k where k.i = v.vec_id)::bigint as n_links, min(r.c) as component_id, v.vec_id = min(r.c) as kept
+from v join r on r.i = v.vec_id group by v.vec_id
 """,
     "op10_line_dedup": r"""
 with l as (
