@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, linededup, mixing, neardup, sharding, winnow
+from . import bpe, embdedup, linededup, mixing, neardup, quality, sharding, suffixdedup, winnow
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "score", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -31,6 +37,11 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
@@ -41,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), linededup.n_dropped().alias("n_dropped"), kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op5_minhash_near_dedup, op6_mixing, op7_winnowing, op9_embedding_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_quality_classifier, op5_minhash_near_dedup, op6_mixing, op7_winnowing, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op5_minhash_near_dedup": r"""
