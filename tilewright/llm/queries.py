@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embdedup, linededup, mixing, neardup, quality, sharding, suffixdedup, winnow
+from . import bpe, embdedup, linededup, mixing, mixlm, neardup, quality, sharding, suffixdedup, winnow
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "score", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -52,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), linededup.n_dropped().alias("n_dropped"), kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_quality_classifier, op5_minhash_near_dedup, op6_mixing, op7_winnowing, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_quality_classifier, op4_lm_scoring, op5_minhash_near_dedup, op6_mixing, op7_winnowing, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op5_minhash_near_dedup": r"""
