@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but these six ASCII white-space bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,10 +48,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    The shuffle files of the query that is written are given up at its end, as nothing reads them again.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
+    path, before = shared_path(spark, label), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
