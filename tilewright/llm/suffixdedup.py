@@ -218,6 +218,16 @@ def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _runs(blocks: np.ndarray, counts: np.ndarray, values: np.ndarray) -> bytes:
+    return np.concatenate([[len(blocks)], blocks, counts, values]).astype("<u4").tobytes()
+
+
+def _unrun(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(data, "<u4")
+    n = int(x[0])
+    return np.repeat(x[1 : n + 1], x[n + 1 : 2 * n + 1]), x[2 * n + 1 :]
+
+
 _SPAN = np.dtype([("doc", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
 
@@ -232,8 +242,15 @@ def repeated_anchors(docs: DataFrame, blocks: int, buckets: int, length: int, gr
 
         def out():
             pair, value = np.concatenate([p for p, _ in held]), np.concatenate([v for _, v in held])
-            rows = list(_by_block(pair, value))
-            return pa.RecordBatch.from_arrays([pa.array([p // blocks for p, _ in rows], pa.int32()), pa.array([p % blocks for p, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["bucket", "block", "data"])
+            order = np.argsort(pair, kind="stable")
+            pair, value = pair[order], value[order]
+            at = np.append(np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])), len(pair))
+            runs, count = pair[at[:-1]], np.diff(at)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], runs[1:] // blocks != runs[:-1] // blocks])), len(runs))
+            rows = []  # one for each bucket: its blocks, how many values each has, the values
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows.append((int(runs[a] // blocks), _runs(runs[a:b] % blocks, count[a:b], value[at[a] : at[b]])))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
             block = batch.column(0).to_numpy()
@@ -263,8 +280,8 @@ def repeated_anchors(docs: DataFrame, blocks: int, buckets: int, length: int, gr
         bucket, held = None, []
 
         def out():
-            value = np.concatenate([np.frombuffer(d, np.uint32) for _, d in held])
-            block = np.repeat([b for b, _ in held], [len(d) // 4 for _, d in held])
+            parts = [_unrun(d) for d in held]
+            block, value = np.concatenate([b for b, _ in parts]), np.concatenate([v for _, v in parts])
             order = np.argsort(value, kind="stable")
             value, block = value[order], block[order]
             same = value[1:] == value[:-1]
@@ -277,16 +294,16 @@ def repeated_anchors(docs: DataFrame, blocks: int, buckets: int, length: int, gr
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["block", "data"])
 
         for batch in batches:
-            for k, b, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != bucket:
                     if held and (x := out()) is not None:
                         yield x
                     bucket, held = k, []
-                held.append((b, d))
+                held.append(d)
         if held and (x := out()) is not None:
             yield x
 
-    found = docs.select("block", "data").mapInArrow(scan, "bucket int, block int, data binary")
+    found = docs.select("block", "data").mapInArrow(scan, "bucket int, data binary")
     return found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "block int, data binary")
 
 
