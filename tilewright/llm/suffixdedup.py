@@ -386,17 +386,16 @@ def covered(found: DataFrame, blocks: int, length: int) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(run, "block int, data binary")
 
 
+_PRIME, _FACTOR = 1_000_003, 7919
+
+
 def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
-    x = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)
+    return doc % _PRIME * _FACTOR % _PRIME % blocks
 
 
 def block_column(doc, blocks: int):
-    """The same as block_of, in Spark: the product is taken in two halves, as it overflows."""
-    low, high = doc.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(doc, 32)
-    a, b = 0x7F4A7C15, 0x9E3779B9
-    cross = (F.shiftrightunsigned(low * F.lit(a), 32) + (low * F.lit(b)).bitwiseAND(F.lit(0xFFFFFFFF)) + (high * F.lit(a)).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.pmod(F.shiftrightunsigned(cross, 1), F.lit(blocks)).cast("int")
+    """The same as block_of, in Spark; nothing overflows."""
+    return F.pmod(F.pmod(F.pmod(doc, F.lit(_PRIME)) * _FACTOR, F.lit(_PRIME)), F.lit(blocks)).cast("int")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blocks: int | None = None) -> DataFrame:
