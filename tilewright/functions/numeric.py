@@ -21,7 +21,9 @@ def running(df: DataFrame, value: str, order: list[str], batch: list[str], befor
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.approxQuantile(order[0], [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    in_range = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order[0]))) if cuts else F.lit(0)
+    in_range = F.lit(0)
+    for c in cuts:
+        in_range += (F.col(order[0]) >= c).cast("int")
     ranged = df.withColumn("__range", in_range)
     own = Window.partitionBy("__range", *batch).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("__upto", F.sum(value).over(own))
