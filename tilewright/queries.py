@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -480,3 +481,55 @@ def tensor_where(spark, sf_dir):
 def tensor_slice(spark, sf_dir):
     m = A.window(A.index(_matrix(spark, sf_dir), r="R"), "l", 2, 6)
     return A.apply(A.apply(A.apply(m, lambda v: v / 1000000), A.FUNCTIONS["arcsin"]), lambda v: v * 1e9)
+
+
+# --- solves ---
+@query("with @seeds select i, $[1.0 / count(*) over ()] as mass, $[1.0 / count(*) over ()] as target_mass from seed")
+def newton_masses(spark, sf_dir):
+    """Cell masses of the solved plan are the target masses."""
+    import pyarrow as pa
+
+    from .plans.problem import Box, SumOfDiracs, ot_solve
+
+    seeds = _seeds(spark, sf_dir).select("i", "x0", "x1").orderBy("i").toPandas()
+    plan = ot_solve(SumOfDiracs(seeds[["x0", "x1"]].to_numpy()), Box([0, 0], [1, 1]), tol=1e-10)
+    return spark.createDataFrame(pa.table({"i": seeds["i"].to_numpy(), "mass": plan.cell_masses, "target_mass": plan.target_masses}))
+
+
+@query("with @seeds select i, $[(i * i % 7) - avg(i * i % 7) over ()] as product from seed")
+def laplacian_solve(spark, sf_dir):
+    """L x for the solution x of L x = rhs: rhs less its mean, on a diagram without empty cells."""
+    import pyarrow as pa
+
+    from .plans.problem import laplacian_solve as solve
+
+    seeds = _seeds(spark, sf_dir).withColumn("w", F.lit(0.0))
+    edges = P.graph(P.placed2(P.facets2(P.cell_planes(seeds, P.unit_box(spark, 2), 2), ["i"]), seeds, ["i"])).select("i", "k", "c")
+    ids = np.array(sorted(r["i"] for r in seeds.select("i").collect()))
+    e = edges.toPandas()
+    x = solve(len(ids), np.searchsorted(ids, e["i"]), np.searchsorted(ids, e["k"]), e["c"].to_numpy(), (ids * ids % 7).astype(float))
+    values = spark.createDataFrame(pa.table({"i": ids, "v": x}))
+    return P.vjp_weights(edges, values).withColumnRenamed("grad", "product")
+
+
+@query("with @diracs, @bins, @line select i, $[sum(y * (x1 * x1 - x0 * x0) / 2) / sum(y * (x1 - x0))] as x from pc group by i")
+def lloyd_step(spark, sf_dir):
+    from .plans.quantize import lloyd_1d
+
+    return lloyd_1d(roles.balance_diracs(spark, sf_dir), roles.balance_bins(spark, sf_dir), 1).select("i", "x")
+
+
+@query()
+def quantization(spark, sf_dir):
+    """Sixteen points that quantize the sales grid."""
+    import pyarrow as pa
+
+    from .plans.problem import Image
+    from .plans.quantize import quantization as lloyd
+
+    tiles = roles.sales_tiles(spark, sf_dir).toPandas()
+    values = np.zeros((4, 5))
+    values[tiles["k0"], tiles["k1"]] = tiles["value"]
+    start = np.stack(np.meshgrid(np.arange(4) / 4 + 0.1, np.arange(4) / 4 + 0.13), -1).reshape(-1, 2)
+    x = lloyd(Image(values, [0, 0], [1, 1]), start, tol=5e-2)
+    return spark.createDataFrame(pa.table({"i": np.arange(16), "x0": x[:, 0], "x1": x[:, 1]}))
