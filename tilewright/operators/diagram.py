@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARALLEL = 1e-14
+COINCIDENT = 1e-12
 #: The measure of a cell without bounds.
 UNBOUNDED = 1.7976931348623157e308
 
@@ -59,7 +60,7 @@ def add_planes(planes: DataFrame, more: DataFrame, keys: list[str], of: list[str
 def facets2(planes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., k, n0, n1, off, g, lo, hi): the part of each plane that the others leave, from lo to hi along (-n1, n0).
 
-    lo or hi is null where it has no end.
+    lo or hi is null where it has no end. Of planes that coincide the one of the largest k has the facet.
     """
     f = planes.select(*keys, "k", "n0", "n1", "off", "g")
     h = planes.select(*keys, F.col("k").alias("hk"), F.col("n0").alias("h0"), F.col("n1").alias("h1"), F.col("off").alias("hoff"))
@@ -71,8 +72,9 @@ def facets2(planes: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.when(F.col("c") < -PARALLEL, F.try_divide("r", "c"))).alias("lo"),
         F.min(F.when(F.col("c") > PARALLEL, F.try_divide("r", "c"))).alias("hi"),
         F.min(F.when(F.abs("c") <= PARALLEL, F.col("r"))).alias("par"),
+        F.max((F.abs("c") <= PARALLEL) & (F.abs("r") <= COINCIDENT) & (F.col("h0") * F.col("n0") + F.col("h1") * F.col("n1") > 0) & (F.col("hk") > F.col("k"))).alias("twin"),
     )
-    return out.where("(lo is null or hi is null or hi > lo) and (par is null or par >= -1e-15)").drop("par")
+    return out.where("(lo is null or hi is null or hi > lo) and (par is null or par >= -1e-12) and not twin").drop("par", "twin")
 
 
 def placed2(facets: DataFrame, points: DataFrame | None, keys: list[str]) -> DataFrame:

@@ -70,9 +70,9 @@ def _clip(table: str, keys: str) -> str:
     on = " and ".join(f"f.{k} = h.{k}" for k in keys.split(","))
     ks = ", ".join(f"f.{k}" for k in keys.split(","))
     names = ", ".join(keys.split(","))
-    return f"""select * exclude par from (select {names}, k, n0, n1, off, g, max(r / c) filter (c < -1e-14) as lo, min(r / c) filter (c > 1e-14) as hi, min(r) filter (abs(c) <= 1e-14) as par
-from (select {ks}, f.k, f.n0, f.n1, f.off, f.g, h.n1 * f.n0 - h.n0 * f.n1 as c, h.off - f.off * (h.n0 * f.n0 + h.n1 * f.n1) as r from {table} f join {table} h on {on} and f.k <> h.k)
-group by {names}, k, n0, n1, off, g) where (lo is null or hi is null or hi > lo) and (par is null or par >= -1e-15)"""
+    return f"""select * exclude (par, twin) from (select {names}, k, n0, n1, off, g, max(r / c) filter (c < -1e-14) as lo, min(r / c) filter (c > 1e-14) as hi, min(r) filter (abs(c) <= 1e-14) as par, coalesce(bool_or(hk > k) filter (abs(c) <= 1e-14 and abs(r) <= 1e-12 and same > 0), false) as twin
+from (select {ks}, f.k, f.n0, f.n1, f.off, f.g, h.k as hk, h.n0 * f.n0 + h.n1 * f.n1 as same, h.n1 * f.n0 - h.n0 * f.n1 as c, h.off - f.off * (h.n0 * f.n0 + h.n1 * f.n1) as r from {table} f join {table} h on {on} and f.k <> h.k)
+group by {names}, k, n0, n1, off, g) where (lo is null or hi is null or hi > lo) and (par is null or par >= -1e-12) and not twin"""
 
 
 def _expand(sql: str, digits: int) -> str:
