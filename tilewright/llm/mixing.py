@@ -109,17 +109,3 @@ def _refine(rows: DataFrame, bound: DataFrame, shift: int) -> DataFrame:
     )
     x = F.coalesce("x", "last")
     return found.select("source", x["rest"].alias("rest"), x["bucket"].alias("prefix"), x["n"].alias("at_bound"))
-
-
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The documents as the mix takes them: none, one or more rows each, with their own columns."""
-    from .common import ready
-
-    ready(docs.sparkSession)
-    taken = mix(docs, **settings).where("times > 0").select(F.col("doc_id").alias("_id"), "times", "size", F.coalesce("source", F.lit("")).alias("_source")).distinct()
-    own = F.coalesce(docs["source"], F.lit(""))
-    return (
-        docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & (own == taken["_source"]) & (word_count(docs["text"]) == taken["size"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
