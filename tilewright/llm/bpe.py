@@ -35,8 +35,9 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 
 LETTERS = {LETTER, STMD, R, V, ELL, E}
 #: Characters handled at once; a single longer text is handled alone.
-CHUNK = 2_000_000
-CACHE = 400_000
+CHUNK = 400_000
+#: Slices in each half of the cache.
+CACHE = 150_000
 
 
 def class_table() -> np.ndarray:
@@ -185,17 +186,20 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Slice -> its ids as little-endian 32-bit integers; forgets everything when full."""
+    """Slice -> its ids as little-endian 32-bit integers; when full it becomes the older half, which what is used leaves."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.splitter = ranks, Splitter()
+        self.ranks, self.splitter, self.older = ranks, Splitter(), {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        out = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            out = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
         if len(piece) <= 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
             self[piece] = out
         return out
 
