@@ -20,8 +20,15 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+#: Arrow batches of texts stay small, on either side; a session's own values are left alone.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is not installed but run from a checkout."""
+    """Let Python workers import this package when it is not installed but run from a checkout; bound Arrow batches."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
