@@ -487,7 +487,7 @@ def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
                     ready_ = ready_[np.argsort(ready_["h"], kind="stable")]
                     held = []
                 b, size = a, 0
-                while b < len(rows) and rows[b][0] == block and (b == a or size + len(rows[b][4]) <= 2_000_000):
+                while b < len(rows) and rows[b][0] == block and (b == a or size + len(rows[b][4]) <= 500_000):
                     size += len(rows[b][4])
                     b += 1
                 part, a = rows[a:b], b

@@ -31,9 +31,9 @@ from .words import CHUNK, _power
 
 LENGTH, GRAM = 50, 24
 #: Bytes of distinct segments in one suffix array.
-SHARD = 2_000_000
+SHARD = 1_500_000
 #: Anchors that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 1_000_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}

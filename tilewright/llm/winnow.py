@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import ready
 
 K, W = 12, 32
-CHUNK = 1_000_000
+CHUNK = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

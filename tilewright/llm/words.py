@@ -10,7 +10,7 @@ import pyarrow as pa
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes handled at once; a single longer text is handled alone.
-CHUNK = 2_000_000
+CHUNK = 500_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
