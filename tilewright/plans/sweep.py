@@ -164,19 +164,21 @@ def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids:
         lost = np.unique(row[same & ((w[seed] > pw[row]) | ((w[seed] == pw[row]) & (seed < mine[todo][row])))])
         row, seed, d, g = row[~same], seed[~same], d[~same], g[~same]
         away = (g + (pw[row] - w[seed]) / g) / 2  # signed distance of the plane
-        order = np.lexsort((away, row))
+        span = np.ptp(away) if len(away) else 0.0
+        order = np.argsort(row + (away - away.min(initial=np.inf)) * (0.5 / max(span, 1e-300)))  # by row, then by distance
         row, seed, d, g, away = row[order], seed[order], d[order], g[order], away[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        by_rank = np.argsort(rank, kind="stable")
+        rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(todo)))[row]
+        by_rank = np.argsort(rank.astype(np.int32), kind="stable")
         ends = np.searchsorted(rank[by_rank], np.arange(int(rank.max(initial=-1)) + 2))
         far = np.full(len(todo), np.inf)
         for r in range(len(ends) - 1):
             at = by_rank[ends[r] : ends[r + 1]]
             at = at[away[at] < far[row[at]]]
-            if len(at):
-                n = d[at] / g[at, None]
-                part.cut(row[at], n, (n * p[row[at]]).sum(1) + away[at], seed[at])
-            if r % 3 == 2 and r >= 5:
+            if not len(at):  # candidates come by distance: what is out of reach now stays so
+                break
+            n = d[at] / g[at, None]
+            part.cut(row[at], n, (n * p[row[at]]).sum(1) + away[at], seed[at])
+            if r >= 5 and (r < 12 and r % 3 == 2 or r % 6 == 5):
                 far = _radius(part, p)
         part.n[lost] = 0
         r, room = _radius(part, p), grid.reach(p, reach)
