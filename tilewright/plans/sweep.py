@@ -18,6 +18,8 @@ MOST_SEEDS = 5_000_000
 PER_BUCKET = 1.5
 #: Cells cut together: their polygons fit the processor's cache.
 TOGETHER = 4096
+#: Pairs of cell and candidate held at once.
+PAIRS = 2_000_000
 
 
 @dataclass
@@ -140,7 +142,7 @@ class Grid:
         return np.maximum(np.minimum.reduce(gaps), 0)
 
 
-def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids: np.ndarray, grid: Grid | None = None) -> Polygons:
+def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids: np.ndarray, grid: Grid | None = None, reach: int = 2) -> Polygons:
     """Polygons of the cells mine of the seeds (x, w) in the domain."""
     grid = grid or Grid(x)
     if len(mine) > TOGETHER:
@@ -150,8 +152,18 @@ def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids:
             part._widen(widest)
         return Polygons(*(np.concatenate([getattr(part, f) for part in parts]) for f in ("v", "ids", "n")))
     done = Polygons.of(ring, ids, len(mine))
-    todo, reach, heaviest = np.arange(len(mine)), 2, float(w.max())
+    todo, heaviest = np.arange(len(mine)), float(w.max())
     while len(todo):
+        few = max(1, int(PAIRS / min((2 * reach + 1) ** 2 * PER_BUCKET, len(x))))
+        if len(todo) > few:  # wide rings: fewer cells at a time
+            for a in range(0, len(todo), few):
+                at = todo[a : a + few]
+                part = cells(x, w, mine[at], ring, ids, grid, reach)
+                k = max(done.v.shape[1], part.v.shape[1])
+                for y in (done, part):
+                    y._widen(k)
+                done.v[at], done.ids[at], done.n[at] = part.v, part.ids, part.n
+            break
         p, pw = x[mine[todo]], w[mine[todo]]
         part = Polygons.of(ring, ids, len(todo))
         row, seed = grid.near(p, reach)
