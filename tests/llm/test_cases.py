@@ -335,6 +335,50 @@ def test_embeddings_in_tiles(spark, monkeypatch):
     assert by_row(embdedup.near_vectors(df), "vec_id", "n_links", "component_id") == want
 
 
+def test_equal_embeddings_link_once(spark):
+    """Each group of copies among other vectors has all its links, once, whatever cells its members are compared in."""
+    rng = np.random.default_rng(19)
+    sizes = [*range(2, 12), *[2] * 300, 39, 64, 100, 300]
+    groups = [g for g, n in enumerate(sizes) for _ in range(n)]
+    rows = [(i, g, x) for i, (g, x) in enumerate(zip(groups, rng.normal(size=(len(sizes), 64))[groups], strict=True))]
+    others = rng.normal(size=(2000, 64))  # they share cells with copies
+    df = spark.createDataFrame([*((i, x.tolist(), 0) for i, _, x in rows), *((10_000 + i, x.tolist(), 0) for i, x in enumerate(others))], "vec_id long, embedding array<double>, label int")
+    first = {}
+    for i, g, _ in rows:
+        first.setdefault(g, i)
+    want = {i: (sizes[g] - 1, first[g]) for i, g, _ in rows}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_vectors(df.repartition(5)).collect()}
+    assert {i: got[i] for i in want} == want
+
+
+def test_copies_count_in_one_block():
+    """Two copies meet in a cell of each block, among other vectors and at other places each time."""
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 5, 17):
+        for _ in range(60):
+            copy, counts = rng.normal(size=64), []
+            for block in range(embdedup.BLOCKS):
+                x = np.concatenate([np.tile(copy, (n, 1)), rng.normal(size=(rng.integers(0, 38), 64))])
+                order = rng.permutation(len(x))
+                x = (x / np.sqrt((x * x).sum(1))[:, None])[order]
+                found = embdedup.compare(order, [v.tobytes() for v in x], np.ones(len(x), bool), np.zeros(len(x), int), (0, 0), block, 64, 0.98)
+                counts.append(dict(zip(found[0].tolist(), found[1].tolist(), strict=True)))
+            assert [sum(c.get(i, 0) for c in counts) for i in range(n)] == [n - 1] * n
+
+
+def test_closest_block_is_the_same_in_every_batch():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 64))
+    for dim in (64, 8, 3):
+        x = np.concatenate([base, base, base + rng.normal(size=base.shape) * 1e-16, np.nextafter(base, 9)])[:, :dim].copy()
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        p, q = np.triu_indices(len(x), 1)
+        whole = embdedup.closest(x, x @ embdedup.rotation_of(dim), p, q)
+        for a in range(len(p)):
+            pair = x[[q[a], p[a]]]
+            assert embdedup.closest(pair, pair @ embdedup.rotation_of(dim), np.array([0]), np.array([1]))[0] == whole[a]
+
+
 def brute_lines(rows):
     white = " \t\n\x0b\x0c\r"
     key = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s.strip(white))
