@@ -140,6 +140,31 @@ def test_lm_scoring(spark, docs, empty):
     assert mixlm.score_documents(empty, 2).count() == 0
 
 
+def test_lm_score_knows_the_order(spark):
+    """A held-out text beats its shuffled words; a training text has no credit for its own pairs; blocks do not matter."""
+    held = [i for i in range(2000) if mixlm.held_out(i)][:2]
+    train = [i for i in range(2000) if not mixlm.held_out(i)][:41]
+    words = BASE.split()
+    back = " ".join(words[::-1])
+    rows = [*((i, BASE, "en", "a") for i in train[:40]), (train[40], back, "en", "a"), (held[0], BASE, "en", "a"), (held[1], back, "en", "a")]
+    got = {r["doc_id"]: r["score"] for r in mixlm.score_documents(table(spark, rows), 3).collect()}
+    alone = {r["doc_id"]: r["score"] for r in mixlm.score_documents(table(spark, rows), 1).collect()}
+    assert alone == pytest.approx(got)
+    assert got[held[0]] > got[held[1]] + 5
+    assert got[held[0]] > got[train[40]] + 5 and got[held[1]] > got[train[40]]
+    assert got[held[0]] > got[train[0]] > got[held[1]]
+
+
+def test_lm_pairs_are_counted_exactly():
+    texts = [b"", b"a B a b", b"b", b"", b"a"]
+    word, before, pair, own = mixlm.text_pairs(*word_hashes(texts))
+    want = [w for t in texts for w in zip([b"", *t.lower().split()], [*t.lower().split(), b""], strict=True)]
+    name = dict(zip(zip(before.tolist(), word.tolist(), strict=True), want, strict=True))
+    assert [name[k] for k in zip(before.tolist(), word.tolist(), strict=True)] == want and len(set(pair.tolist())) == len(set(want))
+    assert own.tolist() == [0, 1, 1, 1, 1, 1, 2, 2, 3, 4, 4]
+    assert mixlm.occurrences(pair, own).tolist() == [1, 1, 2, 1, 2, 1, 1, 1, 1, 1, 1]
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all words of two letters from a small alphabet and longer ones as their prefixes' rest: bits split exactly."""
     words = sorted([b"", b"a", b"ab", b"abc", b"b", b"ba", b"xyz", b"xyzzy"])

@@ -5,7 +5,11 @@ predicted from four hashed contexts: the word so far, and its last three, two an
 of them). All know the class of the document, a hash of its language. A context predicts by the counts of both bits
 in the training words. The predictions' logits are summed with weights that are chosen by a gate, the amount of
 evidence in the two longest contexts, and learned online over the training words, each word left out of its own
-evidence; an adaptive table refines the result by gate and logit. The sum of the logarithms is the score.
+evidence; an adaptive table refines the result by gate and logit.
+
+Along a text, a word's probability is mixed with what followed the word before it in the training texts: with n pairs of
+the two and m of the first, (n + BACKOFF * spelled) / (m + BACKOFF). The end closes a text and stands before its first
+word. A training document is left out of its own pairs. The sum of the logarithms is the score.
 
 What grows with the corpus stays distributed. Documents are dealt into blocks; per block the distinct words are
 counted, the counts meet in ranges of the sorted lexicon, and the counts of "the word so far" are those of runs in
@@ -39,6 +43,10 @@ RANGE = 300_000
 GATES0, GATES1, LEVELS = 14, 6, 33
 INPUTS = 5
 FOLDS, HELD_OUT = 7, 2
+#: Pairs' worth of evidence that the spelled probability has beside the pairs of words.
+BACKOFF = 8.0
+_PAIR = np.dtype([("h", "<u8"), ("n", "<i8")])
+_START = mix(np.zeros(1, np.uint64))
 _ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("s", "<f4")])
 
 
@@ -329,6 +337,90 @@ def _distinct(ids: list, classes: np.ndarray, texts: list[bytes]):
     return np.concatenate([found, end_hash(z)]), np.concatenate([count, ends]), words + [b""] * len(z), np.concatenate([of, z])
 
 
+def text_pairs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the words of each text and its end, in order: hash, the hash before it, their pair's, and the text's number."""
+    n = len(bounds) - 1
+    own = np.repeat(np.arange(n), np.diff(bounds) + 1)
+    word = np.insert(hashes, bounds[1:], _START[0])
+    before = np.concatenate([_START, word[:-1]])
+    return word, before, mix(before * np.uint64(0x9E3779B97F4A7C15) + word), own
+
+
+def occurrences(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How often each entry's hash is in its own text."""
+    _, inverse, n = np.unique(mix(hashes + mix(own.astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
+    return n[inverse]
+
+
+def pair_counts(blocked: DataFrame, buckets: int) -> DataFrame:
+    """(block, data): for each block of documents the pairs of successive words in it that training has, with their counts.
+
+    A pair that training has once is left to the blocks whose held-out texts have it: its own text does not count it.
+    """
+
+    def run(batches):
+        block, held, size = None, [], 0
+
+        def merged(parts):
+            hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return hashes, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(hashes)).astype(np.int64) for k in (1, 2))
+
+        def out():
+            full = np.empty(len(held[0][0]), _PAIR)
+            full["h"], full["n"] = held[0][0], held[0][1] * 2 + (held[0][2] > 0)
+            rows = list(_by_block((full["h"] % np.uint64(buckets)).astype(np.int64), full))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["bucket", "block", "data"])
+
+        for batch in batches:
+            blocks, a = batch.column(0).to_numpy(), 0
+            for ids, chunk in text_chunks(batch.column(1), batch.column(3)):
+                b = a + len(chunk)
+                cuts = [a, *(a + 1 + np.flatnonzero(blocks[a + 1 : b] != blocks[a : b - 1])).tolist(), b]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    if block != blocks[x]:
+                        if held:
+                            held = [merged(held)]
+                            yield out()
+                        block, held, size = int(blocks[x]), [], 0
+                    _, _, pair, own = text_pairs(*word_hashes(chunk[x - a : y - a]))
+                    learn = np.array([not held_out(i) for i in ids.slice(x - a, y - x).to_pylist()])
+                    held.append(merged([(pair, learn[own], ~learn[own])]))
+                    size += len(held[-1][0])
+                    if size > 2 * len(held[0][0]) + 500_000:
+                        held = [merged(held)]
+                        size = len(held[0][0])
+                a = b
+        if held:
+            held = [merged(held)]
+            yield out()
+
+    def add(batches):
+        bucket, held = None, []
+
+        def out():
+            full = np.concatenate([np.frombuffer(d, _PAIR) for _, d in held])
+            block = np.repeat([b for b, _ in held], [len(d) // _PAIR.itemsize for _, d in held])
+            _, at = np.unique(full["h"], return_inverse=True)
+            asked = full["n"] & 1 > 0  # by a held-out text of the block
+            full["n"] = np.bincount(at, full["n"] >> 1).astype(np.int64)[at]
+            known = (full["n"] > 1) | (full["n"] == 1) & asked
+            rows = list(_by_block(block[known], full[known])) if known.any() else []
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["block", "data"])
+
+        for batch in batches:
+            for k, b, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != bucket:
+                    if held:
+                        yield out()
+                    bucket, held = k, []
+                held.append((b, d))
+        if held:
+            yield out()
+
+    found = blocked.mapInArrow(run, "bucket int, block int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return found.mapInArrow(add, "block int, data binary")
+
+
 def end_hash(z: np.ndarray) -> np.ndarray:
     return mix(mix(np.zeros(len(z), np.uint64)) + z.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -403,7 +495,9 @@ def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         F.pmod(F.xxhash64(language), F.lit(CLASSES)).cast("int").alias("class"),
         "text",
     )
-    raw = materialize(word_counts(text.repartition(blocks, "block").sortWithinPartitions("block")), "block-words")
+    blocked = text.repartition(blocks, "block").sortWithinPartitions("block")
+    raw = materialize(word_counts(blocked), "block-words")
+    pairs_found = materialize(pair_counts(blocked, blocks), "block-pairs")
     rows = raw.count()
     packed = materialize(lexicon_ranges(raw, max(2, -(-rows // (4 * RANGE // 3)))), "lexicon")
 
@@ -471,21 +565,23 @@ def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int32()), pa.array([d for _, d in pairs], pa.binary())], names=["block", "data"])
 
     def sums(batches):
-        block, held, ready_ = None, [], None
+        block, held, ready_, pairs = None, [], None, []
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             a = 0
             while a < len(rows):
                 if rows[a][0] != block:
-                    block, held, ready_ = rows[a][0], [], None
-                if rows[a][1] == 0:
-                    held.append(np.frombuffer(rows[a][4], _ENTRY))
+                    block, held, ready_, pairs = rows[a][0], [], None, []
+                if rows[a][1] < 2:
+                    (pairs if rows[a][1] else held).append(np.frombuffer(rows[a][4], _PAIR if rows[a][1] else _ENTRY))
                     a += 1
                     continue
                 if ready_ is None:
                     ready_ = np.concatenate(held)
                     ready_ = ready_[np.argsort(ready_["h"], kind="stable")]
-                    held = []
+                    known_pairs = np.concatenate(pairs) if pairs else np.zeros(1, _PAIR)
+                    known_pairs = known_pairs[np.argsort(known_pairs["h"], kind="stable")]
+                    held, pairs = [], []
                 b, size = a, 0
                 while b < len(rows) and rows[b][0] == block and (b == a or size + len(rows[b][4]) <= 500_000):
                     size += len(rows[b][4])
@@ -495,17 +591,26 @@ def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
                 hashes, bounds = word_hashes([r[4] for r in part])
                 sizes = np.diff(bounds)
                 key = mix(hashes + np.repeat(classes, sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                at = np.concatenate([np.searchsorted(ready_["h"], key), np.searchsorted(ready_["h"], end_hash(classes))])
-                own = np.concatenate([np.repeat(np.arange(len(part)), sizes), np.arange(len(part))])
+                at = np.insert(np.searchsorted(ready_["h"], key), bounds[1:], np.searchsorted(ready_["h"], end_hash(classes)))
+                word, before, pair, own = text_pairs(hashes, bounds)
                 count = ready_["c"][at]
                 base = np.bincount(own, np.log10(count + 1.0) - log_all, len(part))
-                model_score = np.bincount(own, ready_["s"][at].astype(np.float64), len(part)) + prior[classes]
+                spelled = np.log10(BACKOFF) + ready_["s"][at].astype(np.float64)
+                first = np.concatenate([[True], own[1:] != own[:-1]])
+                followed = np.where(first, class_docs.sum(), np.concatenate([[0], count[:-1]]))  # each word of a text has one after it
+                near = np.minimum(np.searchsorted(known_pairs["h"], pair), len(known_pairs) - 1)
+                together = np.where(known_pairs["h"][near] == pair, known_pairs["n"][near], 0)
+                learnt = np.array([not held_out(r[2]) for r in part])[own]
+                together = np.maximum(together - learnt * occurrences(pair, own), 0)
+                followed = followed - learnt * occurrences(before, own)
+                model_score = np.bincount(own, np.where(together > 0, np.log10(np.maximum(together, 1) + 10.0**spelled), spelled) - np.log10(followed + BACKOFF), len(part)) + prior[classes]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r[2] for r in part], pa.int64()), pa.array([held_out(r[2]) for r in part]), pa.array(sizes + 1), pa.array(np.bincount(own, count > 0, len(part)).astype(np.int64)),
                     pa.array(np.full(len(part), total, np.int64)), pa.array(base), pa.array(model_score),
                 ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     entries = packed.mapInArrow(rate, "block int, data binary")
-    both = text.select("block", F.lit(1).alias("kind"), "doc_id", "class", F.coalesce(F.encode("text", "utf-8"), F.encode(F.lit(""), "utf-8")).alias("data"))
+    both = text.select("block", F.lit(2).alias("kind"), "doc_id", "class", F.coalesce(F.encode("text", "utf-8"), F.encode(F.lit(""), "utf-8")).alias("data"))
     both = both.unionByName(entries.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("class"), "data"))
+    both = both.unionByName(pairs_found.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("class"), "data"))
     return both.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
