@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, embdedup, graph, linededup, mixing, mixlm, neardup, quality, sharding, suffixdedup, winnow
+from tilewright.llm import bpe, embdedup, graph, linededup, mixing, mixlm, mixmodel, neardup, quality, sharding, suffixdedup, winnow
 from tilewright.llm.words import word_hashes
 
 #: Names that the operators use inside.
@@ -155,29 +156,138 @@ def test_lm_score_knows_the_order(spark):
     assert got[held[0]] > got[train[0]] > got[held[1]]
 
 
-def test_lm_pairs_are_counted_exactly():
-    texts = [b"", b"a B a b", b"b", b"", b"a"]
-    word, before, pair, own = mixlm.text_pairs(*word_hashes(texts))
-    want = [w for t in texts for w in zip([b"", *t.lower().split()], [*t.lower().split(), b""], strict=True)]
-    name = dict(zip(zip(before.tolist(), word.tolist(), strict=True), want, strict=True))
-    assert [name[k] for k in zip(before.tolist(), word.tolist(), strict=True)] == want and len(set(pair.tolist())) == len(set(want))
-    assert own.tolist() == [0, 1, 1, 1, 1, 1, 2, 2, 3, 4, 4]
-    assert mixlm.occurrences(pair, own).tolist() == [1, 1, 2, 1, 2, 1, 1, 1, 1, 1, 1]
+def plain_scores(rows, classes, model):
+    """Scores token by token and bit by bit, with dictionaries of counts and the weights that were learned."""
+    texts = [(i, z, [*(t or "").encode().lower().split(), b""]) for (i, t, *_), z in zip(rows, classes, strict=True)]
+    train = [(z, w) for i, z, w in texts if not mixlm.held_out(i)]
+    total = collections.Counter(x for _, w in train for x in w)
+    by_class = collections.Counter((x, z) for z, w in train for x in w)
+    hashed = {w: int(word_hashes([w])[0][0]) if w else int(mixlm._END) for w in total}
+    home = {w: max(range(16), key=lambda z: (by_class[w, z], -z)) for w in total}
+    rare = collections.Counter(home[w] for w in total if total[w] == 1)
+    lo, spans = 0, []
+    for z in range(16):
+        for w in [None, *sorted((w for w in total if home[w] == z), key=hashed.get)]:
+            n = rare[z] + 1 if w is None else total[w]
+            spans.append((z, w, lo, n))
+            lo += n
+    bits = max(2, lo.bit_length())
+    full = {}
+    for z, w, at, n in spans:
+        size = bits - n.bit_length() + 2
+        full[z, w] = format((2 * at + n) >> (n.bit_length() - 1), f"0{size}b")
+    path = {}
+    for z in range(16):
+        words = [w for y, w, *_ in spans if y == z and w is not None]
+        for w in words:
+            code = full[z, w]
+            path[w] = ""
+            for s in range(len(code)):
+                run = [x for x in words if full[z, x][:s] == code[:s] and len(full[z, x]) > s]
+                if len({full[z, x][s] for x in run}) > 1 or words[0] in run or words[-1] in run:
+                    path[w] += code[s]
+
+    def symbol(w, z, held):
+        return path[w] if total[w] >= (1 if held else 2) else full[z, None]
+
+    seen = collections.Counter()
+    follows = collections.defaultdict(collections.Counter)
+    for z, words in train:
+        for p, w in zip([b"", *words], words, strict=False):
+            code = symbol(w, z, False)
+            follows[z, p][code] += 1
+            for s in range(len(code)):
+                for c in ("all", z, (z, p)):
+                    seen[c, code[: s + 1]] += 1
+    mixer, out = model["mixer"], []
+    step = lambda n, cuts: sum(n >= c for c in cuts)
+    for i, z, words in texts:
+        held, score = mixlm.held_out(i), 0.0
+        for p, w in zip([b"", *words], words, strict=False):
+            code = symbol(w, z, held)
+            own = follows[z, p]
+            novel = step(len(own) / max(1, sum(own.values())), [0.1 + 1e-12, 0.3 + 1e-12, 0.7 + 1e-12])
+            for s, bit in enumerate(code):
+                n = [[seen[c, code[:s] + b] - (b == bit and not held) for b in "01"] for c in ("all", z, (z, p))]
+                if s >= 14:
+                    n[:2] = [[0, 0], [0, 0]]
+                x = [math.log((b + 0.2) / (a + 0.2)) for a, b in n]
+                rough = step(sum(n[2]), [1, 2, 3, 5, 9, 17, 65, 513, 1023]) * 2 + (0 in n[2])
+                gate = (rough * 3 + step(sum(n[1]), [1, 30])) * 4 + novel
+                logit = min(16, max(-16, float(mixer.weights[gate] @ np.array(x))))
+                level = rough * 33 + round(min(12, max(-12, logit)) * 32 / 24 + 16)
+                q, (zero, one) = 1 / (1 + math.exp(-logit)), mixer.table[:, level]
+                q = min(1 - 1e-6, max(1e-6, (q + (one + 30 * q) / (zero + one + 30)) / 2))
+                score += math.log10(q if bit == "1" else 1 - q)
+            if total[w] < (1 if held else 2):
+                speller = mixmodel.Speller(np.frombuffer(w, np.uint8), np.array([len(w)]), np.array([z]))
+                score += float(speller.score(model["speller"], np.array([0]), np.array([total[w] == 1]), model["tables"])[0])
+        docs_of = collections.Counter(y for y, _ in train)
+        out.append(score + math.log10((docs_of[z] + 1) / (len(train) + 16)))
+    return out
+
+
+def test_lm_scores_equal_the_plain_way(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [a + b for a in "abcdefgh" for b in "xyz"] + ["The", "rare" + chr(233)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=rng.randrange(60))) + f" once{i}" * (i % 3 == 0), rng.choice(["en", "de", None]), "a") for i in range(80)]
+    rows[3] = (3, None, "en", "a")
+    docs = table(spark, rows)
+    got = {}
+    classes = [r[0] for r in docs.orderBy("doc_id").select(F.pmod(F.xxhash64("lang"), F.lit(16))).collect()]
+    for least in (1 << 17, 20):  # without and with frequent contexts
+        monkeypatch.setattr(mixlm, "LEAST", least)
+        model = {}
+        found = [r["score"] for r in mixlm.score_documents(docs, 3, model).orderBy("doc_id").collect()]
+        assert (model["often"] is not None) == (least == 20)
+        assert found == pytest.approx(plain_scores(rows, classes, model), abs=0.06)  # sent back in steps of 1 / 2048
+        got[least] = found
+    assert got[20] == got[1 << 17]
+    again = [r["score"] for r in mixlm.score_documents(docs.repartition(7), 1).orderBy("doc_id").collect()]
+    assert again == got[20]
+
+
+def test_lm_streams_do_not_depend_on_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixlm, "STREAM", 200)
+    monkeypatch.setattr(mixlm, "LEAST", 30)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(BASE.split(), k=30)), "en", "a") for i in range(100)]
+    one, two = ([(r["doc_id"], r["score"], r["bits_per_byte"]) for r in mixlm.score_documents(table(spark, rows), b).orderBy("doc_id").collect()] for b in (1, 5))
+    assert one == two
+
+
+def test_lm_without_training_documents(spark):
+    held = [i for i in range(200) if mixlm.held_out(i)][:3]
+    rows = mixlm.score_documents(table(spark, [(i, "some words", "en", "a") for i in held]), 2).collect()
+    assert len(rows) == 3 and all(r["score"] < 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in rows)
 
 
 def test_lm_probabilities_sum_to_one():
-    """Over all words of two letters from a small alphabet and longer ones as their prefixes' rest: bits split exactly."""
-    words = sorted([b"", b"a", b"ab", b"abc", b"b", b"ba", b"xyz", b"xyzzy"])
-    counts = np.array([5, 3, 2, 1, 4, 2, 1, 1])
-    lexicon = mixlm.Lexicon(words, np.zeros(8, np.int64), counts)
-    zero = [np.zeros((1 << b) * 257, np.float32) for b in mixlm.TABLE_BITS]
-    edges = {0: (np.zeros((2, mixlm.DEPTH * 8)),) * 2}
-    one = mixlm.spell(lexicon, zero, edges, mixlm.Mixer(), False)
-    assert (one < 0).all() and (10.0**one).sum() <= 1 + 1e-9
-    a, b = mixlm.Lexicon(words[:4], np.zeros(4, np.int64), counts[:4]), mixlm.Lexicon(words[4:], np.zeros(4, np.int64), counts[4:])
-    lack = mixlm.completed([((0, 0), mixlm.edges(a)), ((1, 0), mixlm.edges(b))])
-    parts = np.concatenate([mixlm.spell(a, zero, lack[0, 0], mixlm.Mixer(), False), mixlm.spell(b, zero, lack[1, 0], mixlm.Mixer(), False)])
-    assert parts == pytest.approx(one)  # ranges do not change a score
+    """The paths behind a context, the escapes among them; and the spellings of all short words."""
+    rng = np.random.default_rng(2)
+    counts, classes = rng.integers(1, 200, 60), np.sort(rng.integers(0, 3, 60))
+    lo, escape, bits = mixmodel.escapes(np.bincount(classes, counts, 16)[:, None], np.full(16, 3))
+    codes = np.concatenate([mixmodel.word_codes(classes, counts, lo[:, 0], bits), escape])
+    size = mixmodel.unpack(codes)[1]
+    assert len(set(codes.tolist())) == 76 and (0.5 ** size.astype(float)).sum() <= 1
+    codes.sort()
+    known = np.where(rng.random(76) < 0.3, rng.integers(1, 9, 76), 0)
+    top = mixmodel.tops(*mixmodel.cells(codes, np.ones(76, np.int64), known + 1))
+    mixer = mixmodel.word_mixer()
+    found = mixmodel.Successors(np.zeros(76, np.int64), np.ones(76, np.int64), codes, known, top)
+    found.learn(mixer)
+    total = (10.0 ** found.score(mixer, np.arange(76), np.zeros(76, bool))).sum()
+    assert 0.5 < total <= 1 + 1e-9
+    words = [b"", b"a", b"ab", b"abc", b"b", b"ba", b"xyz", b"xyzzy"]
+    speller = mixmodel.Speller(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]), np.zeros(8, np.int64))
+    tables = speller.running(*zip(*speller.table_counts(np.arange(8)), strict=True))
+    mixer = mixmodel.spell_mixer()
+    speller.learn(mixer, np.arange(8), tables)
+    short = [bytes([a]) for a in range(1, 256)] + [b""]
+    every = mixmodel.Speller(np.frombuffer(b"".join(short), np.uint8), np.array([len(w) for w in short]), np.zeros(256, np.int64))
+    assert (10.0 ** every.score(mixer, np.arange(256), np.zeros(256, bool), tables)).sum() < 1
+    long = mixmodel.Speller(np.frombuffer(b"ab" * 5000, np.uint8), np.array([10_000]), np.zeros(1, np.int64))
+    assert np.isfinite(long.score(mixer, np.array([0]), np.array([False]), tables)).all()
 
 
 def brute_groups(rows, k, percent):

@@ -1,24 +1,26 @@
 """LM scoring by online logistic context mixing.
 
-A text is its lower-cased words and one end; each is spelled byte by byte, a zero closing it, and each bit is
-predicted from four hashed contexts: the word so far, and its last three, two and one bytes (a word's start is one
-of them). All know the class of the document, a hash of its language. A context predicts by the counts of both bits
-in the training words. The predictions' logits are summed with weights that are chosen by a gate, the amount of
-evidence in the two longest contexts, and learned online over the training words, each word left out of its own
-evidence; an adaptive table refines the result by gate and logit.
-
-Along a text, a word's probability is mixed with what followed the word before it in the training texts: with n pairs of
-the two and m of the first, (n + BACKOFF * spelled) / (m + BACKOFF). The end closes a text and stands before its first
-word. A training document is left out of its own pairs. The sum of the logarithms is the score.
-
-What grows with the corpus stays distributed. Documents are dealt into blocks; per block the distinct words are
-counted, the counts meet in ranges of the sorted lexicon, and the counts of "the word so far" are those of runs in
-that order; runs that cross ranges are completed from their neighbours' ends. Each block then gets the scores of its
-own words. The tables of the short contexts have a fixed size.
+A text is its words, A-Z lower-cased, and one end. Each is a string of bits: the path of a known word in a tree over
+the training words, or an escape and the word's bytes (see `mixmodel`). Bits of paths are predicted from hashed contexts:
+all texts, the document's class (a hash of its language), and class and word before; bits of bytes from the last one, two
+and three bytes, each with the class. The predictions' logits are summed with weights chosen by a gate (how much evidence
+a context has, whether it has seen one bit only, how often new words follow it) and learned online over the training
+events, each left out of its own counts; an adaptive table refines the result. The sum over all bits is the score;
+with it come the bits for each byte.
+
+Words that training has twice are known in training texts, those that it has once in held-out texts: a training text is
+scored by what the others say. All counts are exact sums and all learning runs in streams that the data alone decide, so
+scores do not depend on partitions, blocks or runs.
+
+What grows with the corpus stays distributed. Documents are dealt into blocks. Each block sends its distinct words to
+ranges of the lexicon (by hash), which send back counts, codes and spellings; then its distinct events (context, word) to
+buckets of contexts, which send back scores in the order in which the block sent its events. Successors of a frequent
+context are split by the first bits of their codes; the counts above those bits, 64 for each of at most 2 ** SHARE
+frequent contexts, are broadcast, as are tables of fixed size. Nothing on the driver grows with the corpus.
 
 Cases: null counts as empty, which has the end alone; null languages are a class; a null doc_id is the empty string
 to the split; without training documents every count is 0 and the base score 0; repeated rows score alike; very long
-words are spelled like others, with the short contexts only from byte DEPTH on; other columns are ignored.
+texts and words are handled whole; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,299 +33,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ready
-from .suffixdedup import _by_block
+from .mixmodel import CLASSES, HEAD, TABLE_BITS, TOP, Mixer, Speller, Successors, cells, escapes, spell_mixer, tops, unpack, word_codes, word_mixer
 from .words import _LOWER, _WHITE, mix, text_chunks, word_hashes
 
-CLASSES = 16
-DEPTH = 32
-#: Contexts of one, two and three bytes hash into so many rows of 256 counts.
-TABLE_BITS = (12, 14, 15)
-#: Distinct words in a range of the lexicon.
-RANGE = 300_000
-GATES0, GATES1, LEVELS = 14, 6, 33
-INPUTS = 5
 FOLDS, HELD_OUT = 7, 2
-#: Pairs' worth of evidence that the spelled probability has beside the pairs of words.
-BACKOFF = 8.0
-_PAIR = np.dtype([("h", "<u8"), ("n", "<i8")])
-_START = mix(np.zeros(1, np.uint64))
-_ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("s", "<f4")])
+#: Bytes of input (as Spark estimates it) in a block of documents.
+BLOCK_BYTES = 10_000_000
+#: Ranges of hashes in which blocks send their words.
+SLOT_BITS = 10
+#: Training tokens to a learning stream.
+STREAM = 1 << 20
+#: A context is frequent from a 2 ** -SHARE of the training tokens on, but not below LEAST.
+SHARE, LEAST = 14, 1 << 17
+#: Units of a score on its way back.
+UNIT = 1 << 11
+_GOLD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_END = mix(np.zeros(1, np.uint64))[0]
+_ENTRY = np.dtype([("h", "<u8"), ("c", "<i8"), ("m", "<i8"), ("code", "<u8"), ("s", "<f4")])
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-class Lexicon:
-    """A range of (word, class) rows in order, with training counts."""
-
-    def __init__(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray):
-        self.words, self.classes, self.counts = words, classes, counts.astype(np.float64)
-        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
-        self.data = np.frombuffer(b"".join(words) + b"\0" * 8, np.uint8)
-        self.first = np.cumsum(self.lengths) - self.lengths
-
-    def byte(self, at: np.ndarray, d) -> np.ndarray:
-        """Byte d of the words at, 0 past their ends."""
-        return np.where(d < self.lengths[at], self.data[np.minimum(self.first[at] + d, len(self.data) - 1)], 0).astype(np.int64)
-
-    def contexts(self, at: np.ndarray, d) -> list[np.ndarray]:
-        """Rows of the three tables for the byte d of the words at; 1 stands before a word's start."""
-        last = [np.where(d >= k, self.data[np.maximum(self.first[at] + d - k, 0)], 1).astype(np.uint64) for k in (1, 2, 3)]
-        key = self.classes[at].astype(np.uint64)
-        out = []
-        for b, bits in zip(last, TABLE_BITS, strict=True):
-            key = key * np.uint64(257) + b
-            out.append((mix(key * np.uint64(4) + np.uint64(len(out))) >> np.uint64(64 - bits)).astype(np.int64))
-        return out
-
-    def table_counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(row * 256 + byte, count) of each table."""
-        out: list[list] = [[], [], []]
-        top = int(self.lengths.max(initial=0))
-        for d in range(min(top, DEPTH) + 1):
-            at = np.flatnonzero((self.lengths >= d) & (self.counts > 0))
-            for k, row in enumerate(self.contexts(at, d)):
-                out[k].append((row * 256 + self.byte(at, d), self.counts[at]))
-        at, d = self.tail(np.flatnonzero(self.counts > 0))
-        for k, row in enumerate(self.contexts(at, d)):
-            out[k].append((row * 256 + self.byte(at, d), self.counts[at]))
-        result = []
-        for bits, parts in zip(TABLE_BITS, out, strict=True):
-            total = np.bincount(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]), 1 << (bits + 8))
-            keys = np.flatnonzero(total)
-            result.append((keys, total[keys]))
-        return result
-
-    def tail(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, position) for all bytes past DEPTH, the closing one included."""
-        at = at[self.lengths[at] > DEPTH]
-        n = self.lengths[at] - DEPTH
-        return np.repeat(at, n), np.repeat(DEPTH + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-    def groups(self):
-        """Per class its rows, and the number of bits that each shares with the one before it."""
-        for z in np.unique(self.classes):
-            rows = np.flatnonzero(self.classes == z)
-            yield int(z), rows, self.shared_bits(rows)
-
-    def shared_bits(self, rows: np.ndarray) -> np.ndarray:
-        shared, left = np.zeros(len(rows), np.int64), np.arange(1, len(rows))
-        for d in range(DEPTH + 1):
-            if not len(left):
-                break
-            x = self.byte(rows[left], d) ^ self.byte(rows[left - 1], d)
-            ended = (d >= self.lengths[rows[left]]) | (d >= self.lengths[rows[left - 1]])
-            zeros = 8 - np.where(x > 0, np.floor(np.log2(np.maximum(x, 1))).astype(np.int64) + 1, 0)
-            shared[left] += zeros
-            left = left[(x == 0) & ~ended]
-        return shared
-
-
-def edges(lexicon: Lexicon) -> dict[int, tuple]:
-    """Per class: first and last word, and per bit level the counts of 0 and 1 in the first and last run, and whether they are one."""
-    out = {}
-    for z, rows, shared in lexicon.groups():
-        counts = lexicon.counts[rows]
-        first, last = np.zeros((2, DEPTH * 8)), np.zeros((2, DEPTH * 8))
-        one = np.zeros(DEPTH * 8, bool)
-        a, b = lexicon.words[rows[0]], lexicon.words[rows[-1]]
-        for d in range(DEPTH):
-            if d > len(a) and d > len(b):
-                break
-            for j in range(8):
-                s = 8 * d + j
-                cut = np.flatnonzero(shared[1:] < s)
-                stop, start = (cut[0] + 1, cut[-1] + 1) if len(cut) else (len(rows), 0)
-                one[s] = not len(cut)
-                for to, part, word in ((first, slice(0, stop), a), (last, slice(start, None), b)):
-                    if d <= len(word):
-                        bit = lexicon.byte(rows[part], d) >> (7 - j) & 1
-                        n1 = counts[part] @ bit
-                        to[:, s] = counts[part].sum() - n1, n1
-        out[z] = (a, b, first, last, one)
-    return out
-
-
-def completed(found: list[tuple[tuple, dict]]) -> dict[tuple, dict[int, tuple]]:
-    """For each range, in order, and class: what its first and last runs lack, counts in the ranges before and after."""
-    out: dict[tuple, dict[int, tuple]] = {key: {} for key, _ in found}
-    for z in {z for _, e in found for z in e}:
-        chain = [(key, e[z]) for key, e in found if z in e]
-        links = []
-        for (_, p), (_, q) in zip(chain, chain[1:], strict=False):
-            x, y = p[1] + b"\0", q[0] + b"\0"
-            n = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
-            bits = 8 * n + (8 - (x[n] ^ y[n]).bit_length() if n < min(len(x), len(y)) else 0)
-            links.append(np.arange(DEPTH * 8) <= bits)
-        before = [np.zeros((2, DEPTH * 8))]
-        for k, link in enumerate(links):
-            _, _, _, last, one = chain[k][1]
-            before.append(np.where(link, last + np.where(one, before[-1], 0), 0))
-        after = [np.zeros((2, DEPTH * 8))]
-        for k in range(len(links) - 1, -1, -1):
-            _, _, first, _, one = chain[k + 1][1]
-            after.append(np.where(links[k], first + np.where(one, after[-1], 0), 0))
-        for (key, _), b, a in zip(chain, before, reversed(after), strict=True):
-            out[key][z] = (b, a)
-    return out
-
-
-def _logit(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.3) / (n0 + 0.3))
-
-
-class Mixer:
-    """Weights by gate, and the refining table by gate and logit level."""
-
-    def __init__(self, weights: np.ndarray | None = None, table: np.ndarray | None = None):
-        start = np.tile(np.array([0.0, 0.3, 0.2, 0.1, 0.0]), (GATES0 * GATES1, 1))
-        start[GATES1:, :] = [0.9, 0.1, 0.0, 0.0, 0.0]  # some evidence for the word so far
-        self.weights = start if weights is None else weights
-        self.table = np.zeros((2, GATES0 * LEVELS)) if table is None else table
-        self.seen, self.square = np.zeros(len(start)), np.full(start.shape, 1e-4)
+def planes(a: np.ndarray) -> bytes:
+    """Numbers by byte planes, so that zeros meet and compress."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
 
-    @staticmethod
-    def gate(n0: np.ndarray, n3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        g0 = np.minimum(np.floor(np.log2(n0 + 1)), GATES0 - 1).astype(np.int64)
-        g1 = np.minimum(np.floor(np.log2(n3 + 1)) / 3, GATES1 - 1).astype(np.int64)
-        return g0, g0 * GATES1 + g1
-
-    def predict(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((self.weights[gate] * x).sum(1), -16, 16)
-
-    def level(self, g0: np.ndarray, logit: np.ndarray) -> np.ndarray:
-        return g0 * LEVELS + np.rint(np.clip(logit, -12, 12) * ((LEVELS - 1) / 24) + (LEVELS - 1) / 2).astype(np.int64)
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, g0: np.ndarray, bit: np.ndarray, mass: np.ndarray) -> None:
-        logit = self.predict(x, gate)
-        error = (bit - 1 / (1 + np.exp(-logit))) * mass
-        n = len(self.weights)
-        total = np.bincount(gate, mass, n)
-        slope = np.stack([np.bincount(gate, error * x[:, i], n) for i in range(INPUTS)], 1) / np.maximum(total, 1e-9)[:, None]
-        self.square += slope**2
-        self.weights = self.weights + 0.05 * slope / np.sqrt(self.square) * (total > 0)[:, None]
-        self.seen += total
-        level = self.level(g0, logit)
-        self.table[0] += np.bincount(level, mass * (1 - bit), GATES0 * LEVELS)
-        self.table[1] += np.bincount(level, mass * bit, GATES0 * LEVELS)
-
-    def log_probability(self, x: np.ndarray, gate: np.ndarray, g0: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        logit = self.predict(x, gate)
-        p, level = 1 / (1 + np.exp(-logit)), self.level(g0, logit)
-        refined = (self.table[1][level] + 30 * p) / (self.table[0][level] + self.table[1][level] + 30)
-        p = np.clip((p + refined) / 2, 1e-7, 1 - 1e-7)
-        return np.log10(np.where(bit > 0, p, 1 - p))
-
-
-def spell(lexicon: Lexicon, tables: list[np.ndarray], lacking: dict[int, tuple], mixer: Mixer, learning: bool) -> np.ndarray | None:
-    """Learn from the words that training has, or return log10 of all words' probabilities. tables: running sums over bytes."""
-    score = np.zeros(len(lexicon.words))
-
-    def bits(at: np.ndarray, d, so_far):
-        """All bits of byte d; so_far(j) has the counts of the word so far."""
-        rows = [r * 257 for r in lexicon.contexts(at, d)]
-        byte, mass = lexicon.byte(at, d), lexicon.counts[at]
-        lo, size = np.zeros(len(at), np.int64), 256
-        low, high = [t[r] for t, r in zip(tables, rows, strict=True)], [t[r + 256] for t, r in zip(tables, rows, strict=True)]
-        for j in range(8):
-            size >>= 1
-            bit = byte >> (7 - j) & 1
-            middle = [t[r + lo + size] for t, r in zip(tables, rows, strict=True)]
-            n0, n1 = so_far(j)
-            own = (1.0 if learning else 0.0) * (mass > 0)
-            counts = [(n0, n1), *((m - a, h - m) for a, m, h in reversed(list(zip(low, middle, high, strict=True))))]
-            counts = [(np.maximum(a - own * (1 - bit), 0), np.maximum(b - own * bit, 0)) for a, b in counts]
-            g0, gate = mixer.gate(counts[0][0] + counts[0][1], counts[1][0] + counts[1][1])
-            x = np.stack([*(_logit(a, b) for a, b in counts), np.ones(len(at))], 1)
-            if learning:
-                mixer.learn(x, gate, g0, bit, mass)
-            else:
-                score[at] += mixer.log_probability(x, gate, g0, bit) if np.ndim(d) == 0 else 0
-                if np.ndim(d):
-                    np.add.at(score, at, mixer.log_probability(x, gate, g0, bit))
-            one = bit > 0
-            low = [np.where(one, m, a) for a, m in zip(low, middle, strict=True)]
-            high = [np.where(one, h, m) for h, m in zip(high, middle, strict=True)]
-            lo = lo + size * bit
-
-    for z, rows, shared in lexicon.groups():
-        before, after = lacking[z]
-        counts = lexicon.counts[rows]
-        run = np.concatenate([[0.0], np.cumsum(counts)])
-        lengths = lexicon.lengths[rows]
-        for d in range(min(int(lengths.max(initial=0)), DEPTH - 1) + 1):
-            open_ = lengths >= d
-            mine = np.flatnonzero(open_ & (counts > 0)) if learning else np.flatnonzero(open_)
-            if not len(mine):
-                continue
-            byte = lexicon.byte(rows, d)
-
-            def so_far(j, d=d, mine=mine, byte=byte):
-                s = 8 * d + j
-                head = shared < s
-                head[0] = True
-                starts = np.flatnonzero(head)
-                which = np.cumsum(head)[mine] - 1
-                ends = np.append(starts[1:], len(rows))
-                ones = np.concatenate([[0.0], np.cumsum(counts * (byte >> (7 - j) & 1))])
-                n1 = ones[ends] - ones[starts]
-                n0 = run[ends] - run[starts] - n1
-                n0[0], n1[0] = n0[0] + before[0, s], n1[0] + before[1, s]
-                n0[-1], n1[-1] = n0[-1] + after[0, s], n1[-1] + after[1, s]
-                return n0[which], n1[which]
-
-            bits(rows[mine], d, so_far)
-    at, d = lexicon.tail(np.flatnonzero(lexicon.counts > 0) if learning else np.arange(len(lexicon.words)))
-    if len(at):
-        bits(at, d, lambda j: (np.zeros(len(at)), np.zeros(len(at))))
-    edge = np.flatnonzero(lexicon.lengths >= DEPTH)
-    edge = edge[lexicon.counts[edge] > 0] if learning else edge
-    if len(edge):
-        bits(edge, DEPTH, lambda j: (np.zeros(len(edge)), np.zeros(len(edge))))
-    return None if learning else score
-
-
-def word_counts(blocked: DataFrame) -> DataFrame:
-    """(word, class, block, n): per block of documents its distinct words with their training counts, 0 included."""
 
-    def run(batches):
-        block, held = None, []
+def unplanes(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
-        def out():
-            hashes, counts, words, classes = (np.concatenate([np.asarray(h[i]) for h in held]) if i != 2 else [w for h in held for w in h[2]] for i in range(4))
-            _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            total = np.bincount(inverse, counts, len(at)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()), pa.array(classes[at], pa.int32()), pa.array(np.full(len(at), block), pa.int32()), pa.array(total)], names=["word", "class", "block", "n"])
 
-        for batch in batches:
-            cols = [batch.column(i) for i in range(4)]
-            blocks = cols[0].to_numpy()
-            a = 0
-            for ids, chunk in text_chunks(cols[1], cols[3]):
-                b = a + len(chunk)
-                cuts = [a, *(a + 1 + np.flatnonzero(blocks[a + 1 : b] != blocks[a : b - 1])).tolist(), b]
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    if block != blocks[x]:
-                        if held:
-                            yield out()
-                        block, held = blocks[x], []
-                    held.append(_distinct(cols[1].slice(x, y - x).to_pylist(), cols[2].slice(x, y - x).to_numpy(), chunk[x - a : y - a]))
-                a = b
-        if held:
-            yield out()
-
-    return blocked.mapInArrow(run, "word binary, class int, block int, n long")
+def grouped(batches, columns: int = 1):
+    """(key, rows) for each run of rows with equal first columns."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:columns] != key:
+                if held:
+                    yield key, held
+                key, held = row[:columns], []
+            held.append(row[columns:])
+    if held:
+        yield key, held
+
+
+def classed(words: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return mix(words + classes.astype(np.uint64) * _GOLD)
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start and stop."""
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return start, np.append(start[1:], len(x)) if len(x) else start
+
+
+def _listed(key: str, value: int, names, rows: list[tuple]) -> pa.RecordBatch:
+    """One row of all rows: the key and a list for each column, the first of numbers, the others of bytes."""
+    lists = [pa.array([[r[i] for r in rows]], pa.list_(pa.int32() if i == 0 else pa.binary())) for i in range(len(names))]
+    return pa.RecordBatch.from_arrays([pa.array([value], pa.int32()), *lists], names=[key, *names])
+
+
+# Words of blocks, and the lexicon
 
 
 def _distinct(ids: list, classes: np.ndarray, texts: list[bytes]):
-    """Hashes with class, training counts, words and classes of the distinct words, the end included."""
+    """Hash, class, training count and bytes of the distinct (word, class) of some texts, their ends included."""
     hashes, bounds = word_hashes(texts)
     sizes = np.diff(bounds)
     learn = np.array([not held_out(i) for i in ids])
-    classed = mix(hashes + np.repeat(classes, sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    found, at, inverse = np.unique(classed, return_index=True, return_inverse=True)
-    count = np.bincount(inverse, np.repeat(learn, sizes), len(found))
+    own = np.repeat(classes, sizes)
+    _, at, inverse = np.unique(classed(hashes, own), return_index=True, return_inverse=True)
+    count = np.bincount(inverse, np.repeat(learn, sizes), len(at)).astype(np.int64)
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     white = _WHITE[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
@@ -331,286 +114,394 @@ def _distinct(ids: list, classes: np.ndarray, texts: list[bytes]):
         edge = np.concatenate([[0], edge])
     whole, starts, stops = data.tobytes(), edge[::2], edge[1::2]
     words = [whole[x:y] for x, y in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
-    of = np.repeat(classes, sizes)[at]
     z, n = np.unique(classes, return_inverse=True)
-    ends = np.bincount(n, learn, len(z))
-    return np.concatenate([found, end_hash(z)]), np.concatenate([count, ends]), words + [b""] * len(z), np.concatenate([of, z])
+    ends = np.bincount(n, learn, len(z)).astype(np.int64)
+    return np.append(hashes[at], np.full(len(z), _END)), np.append(own[at], z), np.append(count, ends), words + [b""] * len(z)
 
 
-def text_pairs(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the words of each text and its end, in order: hash, the hash before it, their pair's, and the text's number."""
-    n = len(bounds) - 1
-    own = np.repeat(np.arange(n), np.diff(bounds) + 1)
-    word = np.insert(hashes, bounds[1:], _START[0])
-    before = np.concatenate([_START, word[:-1]])
-    return word, before, mix(before * np.uint64(0x9E3779B97F4A7C15) + word), own
+_WORDS = "slot int, block int, mass long, hashes binary, classes binary, counts binary, lengths binary, words binary"
 
 
-def occurrences(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """How often each entry's hash is in its own text."""
-    _, inverse, n = np.unique(mix(hashes + mix(own.astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
-    return n[inverse]
+def block_words(blocked: DataFrame) -> DataFrame:
+    """For each block and slot of hashes the distinct (word, class) with their training counts, 0 included."""
 
-
-def pair_counts(blocked: DataFrame, buckets: int) -> DataFrame:
-    """(block, data): for each block of documents the pairs of successive words in it that training has, with their counts.
-
-    A pair that training has once is left to the blocks whose held-out texts have it: its own text does not count it.
-    """
+    def out(block, held):
+        hashes, classes, counts = (np.concatenate([h[i] for h in held]) for i in range(3))
+        words = [w for h in held for w in h[3]]
+        _, at, inverse = np.unique(classed(hashes, classes), return_index=True, return_inverse=True)
+        counts = np.bincount(inverse, counts, len(at)).astype(np.int64)
+        order = np.lexsort((classes[at], hashes[at]))
+        at, counts = at[order], counts[order]
+        hashes, classes, words = hashes[at], classes[at], [words[i] for i in at.tolist()]
+        lengths = np.fromiter(map(len, words), np.int32, len(words))
+        start, stop = runs(hashes >> np.uint64(64 - SLOT_BITS))
+        rows = [(int(hashes[a] >> np.uint64(64 - SLOT_BITS)), block, int(counts[a:b].sum()), planes(hashes[a:b]), classes[a:b].astype(np.uint8).tobytes(), planes(counts[a:b]), planes(lengths[a:b]), b"".join(words[a:b])) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _WORDS.split(", ")])
 
     def run(batches):
-        block, held, size = None, [], 0
-
-        def merged(parts):
-            hashes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return hashes, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(hashes)).astype(np.int64) for k in (1, 2))
-
-        def out():
-            full = np.empty(len(held[0][0]), _PAIR)
-            full["h"], full["n"] = held[0][0], held[0][1] * 2 + (held[0][2] > 0)
-            rows = list(_by_block((full["h"] % np.uint64(buckets)).astype(np.int64), full))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["bucket", "block", "data"])
-
-        for batch in batches:
-            blocks, a = batch.column(0).to_numpy(), 0
-            for ids, chunk in text_chunks(batch.column(1), batch.column(3)):
-                b = a + len(chunk)
-                cuts = [a, *(a + 1 + np.flatnonzero(blocks[a + 1 : b] != blocks[a : b - 1])).tolist(), b]
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    if block != blocks[x]:
-                        if held:
-                            held = [merged(held)]
-                            yield out()
-                        block, held, size = int(blocks[x]), [], 0
-                    _, _, pair, own = text_pairs(*word_hashes(chunk[x - a : y - a]))
-                    learn = np.array([not held_out(i) for i in ids.slice(x - a, y - x).to_pylist()])
-                    held.append(merged([(pair, learn[own], ~learn[own])]))
-                    size += len(held[-1][0])
-                    if size > 2 * len(held[0][0]) + 500_000:
-                        held = [merged(held)]
-                        size = len(held[0][0])
-                a = b
-        if held:
-            held = [merged(held)]
-            yield out()
-
-    def add(batches):
-        bucket, held = None, []
-
-        def out():
-            full = np.concatenate([np.frombuffer(d, _PAIR) for _, d in held])
-            block = np.repeat([b for b, _ in held], [len(d) // _PAIR.itemsize for _, d in held])
-            _, at = np.unique(full["h"], return_inverse=True)
-            asked = full["n"] & 1 > 0  # by a held-out text of the block
-            full["n"] = np.bincount(at, full["n"] >> 1).astype(np.int64)[at]
-            known = (full["n"] > 1) | (full["n"] == 1) & asked
-            rows = list(_by_block(block[known], full[known])) if known.any() else []
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["block", "data"])
-
-        for batch in batches:
-            for k, b, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != bucket:
-                    if held:
-                        yield out()
-                    bucket, held = k, []
-                held.append((b, d))
-        if held:
-            yield out()
-
-    found = blocked.mapInArrow(run, "bucket int, block int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return found.mapInArrow(add, "block int, data binary")
-
-
-def end_hash(z: np.ndarray) -> np.ndarray:
-    return mix(mix(np.zeros(len(z), np.uint64)) + z.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def classed_hash(words: list[bytes], classes: np.ndarray) -> np.ndarray:
-    """The hash by which a document finds a word's score."""
-    h = np.zeros(len(words), np.uint64)
-    full = [i for i, w in enumerate(words) if w]
-    if full:
-        h[full] = word_hashes([words[i] for i in full])[0]
-    return mix(np.where(np.array([bool(w) for w in words], bool), h, mix(np.zeros(len(words), np.uint64))) + classes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-_PACKED = "part int, nth int, words binary, lengths binary, classes binary, counts binary, totals binary, blocks binary, block_counts binary"
-
-
-def lexicon_ranges(raw: DataFrame, ranges: int) -> DataFrame:
-    """One row per range of the sorted lexicon, at most RANGE rows of it, packed."""
-    summed = raw.repartitionByRange(ranges, "word").groupBy("word", "class").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
-    ordered = summed.sortWithinPartitions("word", "class").select(F.spark_partition_id().alias("part"), "word", "class", "n", "blocks")
-
-    def run(batches):
-        held, size, nth = [], 0, 0
-
-        def out():
-            t = pa.Table.from_batches(held)
-            words = t["word"].to_pylist()
-            count, lists = t["n"].to_numpy(), t["blocks"].combine_chunks()
-            same = np.concatenate([[0], np.cumsum([a != b for a, b in zip(words, words[1:], strict=False)])]) if words else np.zeros(0, int)
-            totals = np.bincount(same, count)[same].astype(np.int64)
-            fields = [np.fromiter(map(len, words), np.int32), t["class"].to_numpy().astype(np.uint8), count, totals, lists.flatten().to_numpy().astype(np.int32), np.diff(lists.offsets.to_numpy()).astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array([t["part"][0].as_py()], pa.int32()), pa.array([nth], pa.int32()), pa.array([b"".join(words)], pa.binary()), *(pa.array([f.tobytes()], pa.binary()) for f in fields)], names=[c.split()[0] for c in _PACKED.split(", ")])
-
-        for batch in batches:
-            words, a = batch.column(1), 0
-            while a < batch.num_rows:
-                b = min(batch.num_rows, a + max(1, RANGE - size))
-                if b == a + RANGE - size:  # the classes of a word stay together: totals count it once
-                    while b < batch.num_rows and words[b] == words[b - 1]:
-                        b += 1
-                held.append(batch.slice(a, b - a))
-                size += b - a
-                a = b
-                if size >= RANGE and a < batch.num_rows:
-                    yield out()
-                    held, size, nth = [], 0, nth + 1
-        if size:
-            yield out()
-
-    return ordered.mapInArrow(run, _PACKED)
-
-
-def _unpacked(batch: pa.RecordBatch):
-    for row in batch.to_pylist():
-        lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        ends = np.cumsum(lengths)
-        words = [row["words"][a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-        lexicon = Lexicon(words, np.frombuffer(row["classes"], np.uint8).astype(np.int64), np.frombuffer(row["counts"], np.int64))
-        yield (row["part"], row["nth"]), lexicon, row
-
-
-def score_documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    import pickle
+        for (block,), rows in grouped(batches):
+            ids, held, a = pa.array([r[0] for r in rows], pa.int64()), [], 0
+            for part, chunk in text_chunks(ids, pa.array([r[2] for r in rows], pa.binary())):
+                held.append(_distinct(part.to_pylist(), np.array([r[1] for r in rows[a : a + len(chunk)]]), chunk))
+                a += len(chunk)
+            yield out(block, held)
+
+    return blocked.mapInArrow(run, _WORDS)
+
+
+class Words:
+    """A range of the lexicon: distinct (word, class) in order of hash and class, with n, the word's total, bytes and blocks."""
+
+    def __init__(self, rows: list[tuple]):
+        """rows: (block, hashes, classes, counts, lengths, words)."""
+        parts = [(unplanes(h, "<u8"), np.frombuffer(z, np.uint8), unplanes(n, "<i8"), unplanes(w, "<i4"), np.frombuffer(data, np.uint8)) for _, h, z, n, w, data in rows]
+        hashes, classes, counts, lengths, data = (np.concatenate(p) for p in zip(*parts, strict=True))
+        classes = classes.astype(np.int64)
+        order = np.lexsort((classes, hashes))
+        new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (classes[order][1:] != classes[order][:-1])])
+        which = np.cumsum(new) - 1
+        first = order[new]
+        self.hashes, self.classes = hashes[first], classes[first]
+        self.n = np.bincount(which, counts[order]).astype(np.int64)
+        self.word = np.cumsum(np.concatenate([[True], self.hashes[1:] != self.hashes[:-1]])) - 1
+        self.total = np.bincount(self.word, self.n).astype(np.int64)[self.word]
+        start, size = (np.cumsum(lengths) - lengths)[first], lengths[first].astype(np.int64)
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        self.speller = Speller(data[at], size, self.classes)
+        of = np.repeat([r[0] for r in rows], [len(p[0]) for p in parts])
+        self.asked = which, of[order]  # sorted by row: the blocks that have it
+
+    def known(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row (the first), class and count of each word with training counts, in order of class and hash; a word is of its most frequent class."""
+        best = np.lexsort((self.classes, -self.n, self.word))
+        first = best[np.concatenate([[True], self.word[1:] != self.word[:-1]])] if len(best) else best
+        first = first[self.total[first] > 0]
+        order = np.lexsort((self.hashes[first], self.classes[first]))
+        first = first[order]
+        return first, self.classes[first], self.total[first]
+
+    def codes(self, lo: np.ndarray, bits: int) -> np.ndarray:
+        """Per row its word's code, 0 for unknown words."""
+        first, classes, counts = self.known()
+        by_word = np.zeros(int(self.word[-1]) + 1 if len(self.word) else 0, np.uint64)
+        by_word[self.word[first]] = word_codes(classes, counts, lo, bits)
+        return by_word[self.word]
+
+
+def _sums(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(kind, key, n, weight) rows."""
+    kinds = np.concatenate([np.full(len(k), kind, np.int32) for kind, k, _, _ in rows])
+    return pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(np.concatenate([np.asarray(r[i], np.int64) for r in rows])) for i in (1, 2, 3))], names=["kind", "key", "n", "weight"])
+
+
+_SUMS = "kind int, key long, n long, weight long"
+
+
+def added(df: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Keys and exact sums of n * weight by kind, in order of key; as many keys as the model's fixed tables have."""
+    found = df.groupBy("kind", "key").agg(F.sum(F.col("n").cast("decimal(20,0)") * F.col("weight").cast("decimal(17,0)")).cast("decimal(38,0)").cast("double").alias("n")).orderBy("kind", "key").toArrow()
+    kind, key, n = (found[c].to_numpy() for c in ("kind", "key", "n"))
+    return {int(k): (key[kind == k], n[kind == k]) for k in np.unique(kind)}
+
+
+_NONE = (np.zeros(0, np.int64), np.zeros(0))
+
+
+def learned(df: DataFrame, mixer: Mixer) -> Mixer:
+    """The streams' mixers as one: weights by what each gate has seen, tables added."""
+    sums = added(df)
+    shape = mixer.weights.shape
+    weights = np.bincount(*sums.get(0, _NONE), mixer.weights.size).reshape(shape) / (1 << 24)
+    seen = np.bincount(*sums.get(1, _NONE), shape[0])[:, None]
+    table = np.bincount(*sums.get(2, _NONE), mixer.table.size).reshape(mixer.table.shape)
+    return Mixer(np.where(seen > 0, weights / np.maximum(seen, 1), mixer.weights), mixer.rough, table)
+
+
+def _learned(mixer: Mixer) -> pa.RecordBatch:
+    seen, inputs = mixer.seen.astype(np.int64), mixer.weights.shape[1]
+    one = lambda a: np.ones(len(a), np.int64)
+    table = mixer.table.ravel()
+    at = np.flatnonzero(table)
+    return _sums([(0, np.arange(mixer.weights.size), np.rint(mixer.weights.ravel() * (1 << 24)), np.repeat(seen, inputs)), (1, np.arange(len(seen)), seen, one(seen)), (2, at, table[at], one(at))])
+
+
+# Events
+
+
+class Events:
+    """The distinct (context, word, held out or not) of a block's texts, in the order in which buckets get them."""
+
+    def __init__(self, rows: list[tuple], entries: np.ndarray, escape: np.ndarray, bits: int, frequent: int):
+        """rows: (doc_id, class, text). The words of all texts in turn, each text's end behind them."""
+        entries = entries[np.argsort(entries["h"], kind="stable")]
+        learn = np.array([not held_out(r[0]) for r in rows])
+        classes = np.array([r[1] for r in rows], np.int64)
+        found, a = [], 0
+        for _, chunk in text_chunks(pa.nulls(len(rows)), pa.array([r[2] for r in rows], pa.binary())):
+            found.append(self.chunk(chunk, classes[a : a + len(chunk)], learn[a : a + len(chunk)], a, entries, escape))
+            a += len(chunk)
+        self.own, self.at, self.hidden, context, code, train, head = (np.concatenate(f) for f in zip(*found, strict=True))
+        key = mix(context + mix(code + train * _GOLD))
+        _, at, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        context, code, train = context[at], code[at], train[at]
+        split = head[at] >= frequent
+        to = np.where(split, mix(context + (code >> np.uint64(64 - HEAD))), context)
+        bucket = (to >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
+        order = np.lexsort((train, code, context, bucket))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.event = place[inverse]
+        self.bucket, self.context, self.code, self.split = bucket[order], context[order], code[order], split[order]
+        self.n = np.where(train[order], n[order], 0)
+        self.classes = classes[self.own[at]][order]
+        self.entries = entries
 
+    @staticmethod
+    def chunk(texts, classes, learn, first, entries, escape):
+        hashes, bounds = word_hashes(texts)
+        size = np.diff(bounds) + 1
+        own = np.repeat(np.arange(len(texts)), size)
+        word = np.insert(hashes, bounds[1:], _END)
+        z, train = classes[own], learn[own]
+        at = np.searchsorted(entries["h"], classed(word, z))
+        hidden = entries["c"][at] < np.where(train, 2, 1)
+        start = np.cumsum(size) - size
+        before, head = np.concatenate([[_END], word[:-1]]).astype(np.uint64), np.concatenate([[0], entries["m"][at][:-1]])
+        before[start] = _END
+        ends = entries["m"][np.minimum(np.searchsorted(entries["h"], classed(np.full(len(classes), _END), classes)), len(entries) - 1)]
+        head[start] = ends
+        return own + first, at, hidden, mix(classed(before, z) + _OTHER), np.where(hidden, escape[z], entries["code"][at]), train, head
+
+
+_EVENTS = "bucket int, block int, contexts binary, classes binary, splits binary, lengths binary, codes binary, counts binary"
+
+
+def _packed(events: Events, block: int) -> pa.RecordBatch:
+    rows = []
+    for a, b in zip(*(x.tolist() for x in runs(events.bucket)), strict=True):
+        start, stop = runs(events.context[a:b])
+        at = a + start
+        rows.append((int(events.bucket[a]), block, planes(events.context[at]), events.classes[at].astype(np.uint8).tobytes(), events.split[at].astype(np.uint8).tobytes(), planes((stop - start).astype(np.int32)), planes(events.code[a:b]), planes(events.n[a:b].astype(np.int64))))
+    types = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _EVENTS.split(", ")])
+
+
+class Bucket:
+    """The distinct (context, word) of a bucket, and each block's rows among them."""
+
+    def __init__(self, rows: list[tuple], top: np.ndarray, frequent: tuple | None = None):
+        """rows: (block, contexts, classes, splits, lengths, codes, counts). frequent: contexts in order, their heads and kinds."""
+        sizes, parts = [], []
+        for _, contexts, classes, splits, lengths, codes, counts in rows:
+            n = unplanes(lengths, "<i4")
+            parts.append((np.repeat(unplanes(contexts, "<u8"), n), np.repeat(np.frombuffer(classes, np.uint8), n), np.repeat(np.frombuffer(splits, np.uint8), n), unplanes(codes, "<u8"), unplanes(counts, "<i8")))
+            sizes.append(int(n.sum()))
+        context, classes, split, codes, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((codes, context))
+        new = np.concatenate([[True], (context[order][1:] != context[order][:-1]) | (codes[order][1:] != codes[order][:-1])])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.blocks, self.sizes, self.which, self.left_out = [r[0] for r in rows], sizes, which, counts > 0
+        self.context, self.codes, self.split = context[first], codes[first], split[first] > 0
+        self.n = np.bincount(which, counts).astype(np.int64)
+        head = heads = kinds = None
+        if frequent is not None and len(frequent[0]):
+            names, heads, kinds = frequent
+            at = np.minimum(np.searchsorted(names, self.context), len(names) - 1)
+            head = np.where(self.split & (names[at] == self.context), at, -1)
+        self.successors = Successors(self.context, classes[first].astype(np.int64), self.codes, self.n, top, head, heads, kinds)
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Context, first bits of the code, training count and number of successors, of split contexts."""
+        at = np.flatnonzero(self.split & (self.n > 0))
+        context, cell = self.context[at], (unpack(self.codes[at])[0] >> (58 - HEAD)).astype(np.int64)
+        start, stop = runs(context * np.uint64(1 << HEAD) ^ cell.astype(np.uint64) ^ context) if len(at) else (at, at)
+        total = np.concatenate([[0], np.cumsum(self.n[at])])
+        return context[start], cell[start], total[stop] - total[start], stop - start
+
+    def scores(self, mixer: Mixer) -> list[tuple[int, bytes]]:
+        """Per block the scores of its rows in their order, in UNITs of -log10."""
+        pairs, inverse = np.unique(self.which * 2 + self.left_out, return_inverse=True)
+        found = self.successors.score(mixer, pairs >> 1, (pairs & 1) > 0)
+        units = np.rint(np.minimum(-found * UNIT, 65535)).astype("<u2")[inverse]
+        return [(b, planes(part)) for b, part in zip(self.blocks, np.split(units, np.cumsum(self.sizes)[:-1]), strict=True)]
+
+
+def _blocks(docs: DataFrame) -> int:
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2, -(-size // BLOCK_BYTES)) if size < 1 << 50 else 2 * max(docs.rdd.getNumPartitions(), 2)
+
+
+def score_documents(docs: DataFrame, blocks: int | None = None, model: dict | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte); model gets what was learned."""
     spark = ready(docs.sparkSession)
-    blocks = blocks or 2 * max(docs.rdd.getNumPartitions(), 2)
+    blocks = blocks or _blocks(docs)
     language = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = docs.select(
         F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(blocks)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.pmod(F.xxhash64(language), F.lit(CLASSES)).cast("int").alias("class"),
-        "text",
+        F.coalesce(F.encode("text", "utf-8"), F.encode(F.lit(""), "utf-8")).alias("data"),
     )
-    blocked = text.repartition(blocks, "block").sortWithinPartitions("block")
-    raw = materialize(word_counts(blocked), "block-words")
-    pairs_found = materialize(pair_counts(blocked, blocks), "block-pairs")
-    rows = raw.count()
-    packed = materialize(lexicon_ranges(raw, max(2, -(-rows // (4 * RANGE // 3)))), "lexicon")
+    raw = materialize(block_words(text.repartition(blocks, "block").sortWithinPartitions("block")), "block-words")
+    tokens = raw.agg(F.sum("mass")).first()[0] or 0
+    streams, frequent = (tokens // STREAM).bit_length(), max(LEAST, tokens >> SHARE)
+    few = min(streams, SLOT_BITS)
+    lexicon = raw.withColumn("part", F.shiftright("slot", SLOT_BITS - few)).repartition(max(1, min(1 << few, 8 * blocks)), "part")
+    columns = ("block", "hashes", "classes", "counts", "lengths", "words")
 
-    def survey(batches):
-        for batch in batches:
-            for key, lexicon, row in _unpacked(batch):
-                total = np.frombuffer(row["totals"], np.int64)
-                once = np.array([True, *(a != b for a, b in zip(lexicon.words, lexicon.words[1:], strict=False))]) if lexicon.words else np.zeros(0, bool)
-                more = [(k, keys, n) for k, (keys, n) in enumerate(lexicon.table_counts())]
-                keys = np.concatenate([(np.int64(k) << 32) + q for k, q, _ in more])
-                counts = np.concatenate([n for *_, n in more]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.nulls(len(keys), pa.binary())], names=["key", "n", "data"])
-                end = lexicon.lengths == 0
-                info = (key, edges(lexicon), int(total[once].sum()), int((total[once] > 0).sum()), dict(zip(lexicon.classes[end].tolist(), lexicon.counts[end].tolist(), strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([pickle.dumps(info)], pa.binary())], names=["key", "n", "data"])
-
-    found = materialize(packed.mapInArrow(survey, "key long, n long, data binary"), "lexicon-survey")
-    infos = sorted((pickle.loads(r["data"]) for r in found.where("key = -1").select("data").toLocalIterator()), key=lambda x: x[0])
-    total, distinct = sum(x[2] for x in infos), sum(x[3] for x in infos)
-    class_docs = np.zeros(CLASSES)
-    for x in infos:
-        for z, n in x[4].items():
-            class_docs[z] += n
-    lacking = completed([(x[0], x[1]) for x in infos])
-    del infos
-    counted = found.where("key >= 0").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    keys, n = counted["key"].to_numpy(), counted["n"].to_numpy()
-    tables = []
-    for k, size in enumerate(TABLE_BITS):
-        mine = keys >> 32 == k
-        full = np.bincount(keys[mine] & 0xFFFFFFFF, n[mine], 1 << (size + 8)).astype(np.float32).reshape(-1, 256)
-        tables.append(np.concatenate([np.zeros((len(full), 1), np.float32), np.cumsum(full, 1, dtype=np.float64).astype(np.float32)], 1).ravel())
-    shared = spark.sparkContext.broadcast((tables, lacking))  # tables of fixed size, and the ends of ranges
-
-    def learn(batches):
-        known, ends = shared.value
+    def gather(batches):
+        for (part,), rows in grouped(batches):
+            yield _listed("part", part, columns, rows)
+
+    lexicon = lexicon.select("part", *columns).sortWithinPartitions("part", "block").mapInArrow(gather, "part int, block array<int>, " + ", ".join(f"{c} array<binary>" for c in columns[1:]))
+    lexicon = materialize(lexicon, "lexicon")
+
+    def ranges(batches):
         for batch in batches:
-            for key, lexicon, _ in _unpacked(batch):
-                mixer = Mixer()
-                spell(lexicon, known, ends[key], mixer, True)
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((mixer.weights, mixer.seen, mixer.table))], pa.binary())], names=["data"])
-
-    weights, seen, table = np.zeros((GATES0 * GATES1, INPUTS)), np.zeros(GATES0 * GATES1), np.zeros((2, GATES0 * LEVELS))
-    learned = materialize(packed.mapInArrow(learn, "data binary"), "mixers")
-    for r in learned.toLocalIterator():
-        w, s, t = pickle.loads(r["data"])
-        weights += w * s[:, None]
-        seen += s
-        table += t
-    start = Mixer().weights
-    weights = np.where(seen[:, None] > 0, weights / np.maximum(seen, 1e-9)[:, None], start)
-    model = spark.sparkContext.broadcast((weights, table))
-    prior = np.log10((class_docs + 1) / (class_docs.sum() + CLASSES))
-    log_all = np.log10(total + distinct + 1)
+            for row in batch.to_pylist():
+                yield row["part"], Words(list(zip(*(row[c] for c in columns), strict=True)))
+
+    def survey(batches):
+        for part, words in ranges(batches):
+            first, classes, counts = words.known()
+            region, of = np.unique(classes, return_inverse=True)
+            rare, end = words.n[words.total == 1], words.hashes == _END
+            once = words.classes[words.total == 1][rare == 1]
+            rows = [(0, region * 4096 + part, np.bincount(of, counts, len(region)) if len(of) else region), (1, [0], [len(first)]), (2, once, np.ones(len(once))), (3, words.classes[end], words.n[end])]
+            rows.append((7, [0], [int((words.n >= frequent).sum())]))
+            rows += [(4 + k, keys, n) for k, (keys, n) in enumerate(words.speller.table_counts(np.flatnonzero(words.n > 0)))]
+            yield _sums([(kind, k, n, np.ones(len(k))) for kind, k, n in rows])
+
+    found = added(lexicon.mapInArrow(survey, _SUMS))
+    known = int(found.get(1, _NONE)[1].sum())
+    class_docs = np.bincount(*found.get(3, _NONE), CLASSES)
+    regions = np.bincount(*found.get(0, _NONE), CLASSES * 4096).reshape(CLASSES, 4096)[:, : 1 << few]
+    starts, escape, width = escapes(regions, np.bincount(*found.get(2, _NONE), CLASSES))
+    tables = Speller.running(*zip(*(found.get(4 + k, _NONE) for k in range(len(TABLE_BITS))), strict=True))
+    shared = spark.sparkContext.broadcast((starts, tables))  # of fixed size
+
+    def spell(batches):
+        lo, tables = shared.value
+        for part, words in ranges(batches):
+            codes = words.codes(lo[:, part], width)
+            seen = words.n > 0
+            rare = words.total == 1
+            keys, n = cells(np.where(rare, escape[words.classes], codes)[seen], words.classes[seen], words.n[seen])
+            yield _sums([(3, keys, n, np.ones(len(keys)))])
+            mixer = spell_mixer()
+            words.speller.learn(mixer, np.flatnonzero(rare & seen), tables)
+            yield _learned(mixer)
+
+    learning = materialize(lexicon.mapInArrow(spell, _SUMS), "spelling")
+    speller = learned(learning, spell_mixer())
+    top = tops(*added(learning.where("kind = 3")).get(3, _NONE))
+    spelling = spark.sparkContext.broadcast((speller.weights, speller.table))
 
     def rate(batches):
-        known, ends = shared.value
+        lo, tables = shared.value
+        weights, table = spelling.value
+        mixer = Mixer(weights, speller.rough, table)
+        for part, words in ranges(batches):
+            entry = np.zeros(len(words.n), _ENTRY)
+            entry["h"], entry["c"], entry["m"], entry["code"] = classed(words.hashes, words.classes), words.total, words.n, words.codes(lo[:, part], width)
+            asked = np.flatnonzero((words.total == 0) | (words.total == 1) & (words.n == 1))
+            entry["s"][asked] = words.speller.score(mixer, asked, words.n[asked] == 1, tables)
+            row, block = words.asked
+            order = np.argsort(block, kind="stable")
+            row, block = row[order], block[order]
+            start, stop = runs(block)
+            parts = [(int(block[a]), planes(entry[row[a:b]])) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], names=["block", "data"])
+
+    entries = materialize(lexicon.mapInArrow(rate, "block int, data binary"), "entries")
+    none = F.lit(None)
+
+    def asked(rows_of: DataFrame, kind: int) -> DataFrame:
+        part = F.col("part") if "part" in rows_of.columns else F.lit(0)
+        return rows_of.select("block", F.lit(kind).alias("kind"), part.cast("int").alias("part"), none.cast("long").alias("doc_id"), none.cast("int").alias("class"), "data")
+
+    texts = text.select("block", F.lit(2).alias("kind"), F.lit(0).alias("part"), "doc_id", "class", "data")
+
+    def events_of(rows):
+        """Events and texts of a block's rows."""
+        entry = [unplanes(r[4], _ENTRY) for r in rows if r[0] == 0]
+        docs_of = [(r[2], r[3], r[4]) for r in rows if r[0] == 2]
+        return (Events(docs_of, np.concatenate(entry), escape, streams, frequent) if docs_of else None), docs_of
+
+    def send(batches):
+        for (block,), rows in grouped(batches):
+            events, _ = events_of(rows)
+            if events is not None:
+                yield _packed(events, block)
+
+    dealt = asked(entries, 0).unionByName(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    sent = dealt.mapInArrow(send, _EVENTS)
+    names = [c.split()[0] for c in _EVENTS.split(", ")][1:]
+
+    def fill(batches):
+        for (bucket,), rows in grouped(batches):
+            yield _listed("bucket", bucket, names, rows)
+
+    filled = sent.repartition(min(1 << streams, 8 * blocks), "bucket").sortWithinPartitions("bucket", "block")
+    buckets = materialize(filled.mapInArrow(fill, "bucket int, block array<int>, " + ", ".join(f"{c} array<binary>" for c in names[1:])), "events")
+
+    def heads(batches):
         for batch in batches:
-            for key, lexicon, row in _unpacked(batch):
-                score = spell(lexicon, known, ends[key], Mixer(*model.value), False)
-                entry = np.empty(len(lexicon.words), _ENTRY)
-                entry["h"], entry["c"], entry["s"] = classed_hash(lexicon.words, lexicon.classes), np.frombuffer(row["totals"], np.int64), score
-                block = np.frombuffer(row["blocks"], np.int32)
-                pairs = list(_by_block(block, np.repeat(entry, np.frombuffer(row["block_counts"], np.int32))))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int32()), pa.array([d for _, d in pairs], pa.binary())], names=["block", "data"])
-
-    def sums(batches):
-        block, held, ready_, pairs = None, [], None, []
+            for row in batch.to_pylist():
+                context, cell, n, kinds = Bucket(list(zip(*(row[c] for c in names), strict=True)), np.zeros((CLASSES + 1, (1 << TOP) + 1))).heads()
+                yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(cell), pa.array(n), pa.array(kinds)], names=["context", "cell", "n", "kinds"])
+
+    often = None
+    if found.get(7, _NONE)[1].sum():  # at most 2 ** SHARE contexts, 2 ** HEAD rows each
+        rows = buckets.mapInArrow(heads, "context long, cell long, n long, kinds long").groupBy("context", "cell").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
+        context, at = np.unique(rows["context"].to_numpy().view(np.uint64), return_inverse=True)
+        full = np.bincount((at << HEAD) + rows["cell"].to_numpy(), rows["n"].to_numpy(), len(context) << HEAD).reshape(len(context), -1)
+        often = context, np.concatenate([np.zeros((len(context), 1)), np.cumsum(full, 1)], 1), np.bincount(at, rows["kinds"].to_numpy(), len(context))
+    counted = spark.sparkContext.broadcast((top, often))
+
+    def practise(batches):
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            a = 0
-            while a < len(rows):
-                if rows[a][0] != block:
-                    block, held, ready_, pairs = rows[a][0], [], None, []
-                if rows[a][1] < 2:
-                    (pairs if rows[a][1] else held).append(np.frombuffer(rows[a][4], _PAIR if rows[a][1] else _ENTRY))
-                    a += 1
-                    continue
-                if ready_ is None:
-                    ready_ = np.concatenate(held)
-                    ready_ = ready_[np.argsort(ready_["h"], kind="stable")]
-                    known_pairs = np.concatenate(pairs) if pairs else np.zeros(1, _PAIR)
-                    known_pairs = known_pairs[np.argsort(known_pairs["h"], kind="stable")]
-                    held, pairs = [], []
-                b, size = a, 0
-                while b < len(rows) and rows[b][0] == block and (b == a or size + len(rows[b][4]) <= 500_000):
-                    size += len(rows[b][4])
-                    b += 1
-                part, a = rows[a:b], b
-                classes = np.array([r[3] for r in part])
-                hashes, bounds = word_hashes([r[4] for r in part])
-                sizes = np.diff(bounds)
-                key = mix(hashes + np.repeat(classes, sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                at = np.insert(np.searchsorted(ready_["h"], key), bounds[1:], np.searchsorted(ready_["h"], end_hash(classes)))
-                word, before, pair, own = text_pairs(hashes, bounds)
-                count = ready_["c"][at]
-                base = np.bincount(own, np.log10(count + 1.0) - log_all, len(part))
-                spelled = np.log10(BACKOFF) + ready_["s"][at].astype(np.float64)
-                first = np.concatenate([[True], own[1:] != own[:-1]])
-                followed = np.where(first, class_docs.sum(), np.concatenate([[0], count[:-1]]))  # each word of a text has one after it
-                near = np.minimum(np.searchsorted(known_pairs["h"], pair), len(known_pairs) - 1)
-                together = np.where(known_pairs["h"][near] == pair, known_pairs["n"][near], 0)
-                learnt = np.array([not held_out(r[2]) for r in part])[own]
-                together = np.maximum(together - learnt * occurrences(pair, own), 0)
-                followed = followed - learnt * occurrences(before, own)
-                model_score = np.bincount(own, np.where(together > 0, np.log10(np.maximum(together, 1) + 10.0**spelled), spelled) - np.log10(followed + BACKOFF), len(part)) + prior[classes]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r[2] for r in part], pa.int64()), pa.array([held_out(r[2]) for r in part]), pa.array(sizes + 1), pa.array(np.bincount(own, count > 0, len(part)).astype(np.int64)),
-                    pa.array(np.full(len(part), total, np.int64)), pa.array(base), pa.array(model_score),
-                ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    entries = packed.mapInArrow(rate, "block int, data binary")
-    both = text.select("block", F.lit(2).alias("kind"), "doc_id", "class", F.coalesce(F.encode("text", "utf-8"), F.encode(F.lit(""), "utf-8")).alias("data"))
-    both = both.unionByName(entries.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("class"), "data"))
-    both = both.unionByName(pairs_found.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("class"), "data"))
-    return both.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            for row in batch.to_pylist():
+                mixer = word_mixer()
+                Bucket(list(zip(*(row[c] for c in names), strict=True)), *counted.value).successors.learn(mixer)
+                yield _learned(mixer)
+
+    mixer = learned(buckets.mapInArrow(practise, _SUMS), word_mixer())
+    mixing = spark.sparkContext.broadcast((mixer.weights, mixer.table))
+    rough = mixer.rough
+    if model is not None:
+        model |= {"tokens": tokens, "escape": escape, "top": top, "mixer": mixer, "speller": speller, "tables": tables, "often": often}
+
+    def answer(batches):
+        final = Mixer(mixing.value[0], rough, mixing.value[1])
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = Bucket(list(zip(*(row[c] for c in names), strict=True)), *counted.value).scores(final)
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row["bucket"]] * len(found), pa.int32()), pa.array([d for _, d in found], pa.binary())], names=["block", "part", "data"])
+
+    prior = np.log10((class_docs + 1) / (class_docs.sum() + CLASSES))
+    log_all = np.log10(tokens + known + 1)
+
+    def total(batches):
+        for (_,), rows in grouped(batches):
+            events, docs_of = events_of(rows)
+            if events is None:
+                continue
+            units = np.concatenate([unplanes(r[4], "<u2") for r in rows if r[0] == 1])
+            token = -units[events.event].astype(np.float64) / UNIT + np.where(events.hidden, events.entries["s"][events.at], 0)
+            n = len(docs_of)
+            count = events.entries["c"][events.at]
+            tokens_of = np.bincount(events.own, minlength=n)
+            score = np.bincount(events.own, token, n) + prior[[d[1] for d in docs_of]]
+            size = np.array([max(1, len(d[2])) for d in docs_of])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([d[0] for d in docs_of], pa.int64()), pa.array([held_out(d[0]) for d in docs_of]), pa.array(tokens_of), pa.array(np.bincount(events.own, count > 0, n).astype(np.int64)),
+                pa.array(np.full(n, tokens, np.int64)), pa.array(np.bincount(events.own, np.log10(count + 1.0) - log_all, n)), pa.array(score), pa.array(-score * np.log2(10) / size),
+            ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+    answers = buckets.mapInArrow(answer, "block int, part int, data binary")
+    both = asked(entries, 0).unionByName(asked(answers, 1)).unionByName(texts).repartition(blocks, "block").sortWithinPartitions("block", "kind", "part")
+    return both.mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
