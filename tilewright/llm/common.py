@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but these six ASCII white-space bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -37,9 +38,11 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir, or a local one where that is unset and all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="tilewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,7 +69,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tilewright_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tilewright_path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without its columns of these names: what an operator adds replaces a column of the same name."""
+    gone = {n.lower() for n in names}
+    return df.select(*[quoted(c) for c in df.columns if c.lower() not in gone])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def with_columns(df: DataFrame, run, fields: list[T.StructField]) -> DataFrame:
+    """df with the columns that run adds to its Arrow batches, behind its own; columns of any names travel under plain ones."""
+    plain, new = [f"c{k}" for k in range(len(df.columns))], [f"r{k}" for k in range(len(fields))]
+    schema = [*(T.StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields, strict=True)), *(T.StructField(n, f.dataType) for n, f in zip(new, fields, strict=True))]
+    return df.toDF(*plain).mapInArrow(run, T.StructType(schema)).toDF(*df.columns, *(f.name for f in fields))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,53 +25,50 @@ TABLE_BITS = (12, 14, 15)
 LEVELS = 33
 BATCH = 4096
 #: Evidence of a context in ten steps; of a class in three.
-STEPS = np.searchsorted([1, 2, 3, 5, 9, 17, 65, 513, 1023], np.arange(1024), side="right")
-ZONES = np.searchsorted([1, 30], np.arange(1024), side="right")
+STEPS = np.searchsorted([1, 2, 3, 5, 9, 17, 65, 513, 1023], np.arange(1024), side="right").astype(np.int32)
+ZONES = np.searchsorted([1, 30], np.arange(1024), side="right").astype(np.int32)
 GATES, ROUGH = 10 * 2 * 3 * 4, 10 * 2
 SPELL_GATES, SPELL_ROUGH = 14 * 6, 14
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Mixer:
-    """Weights by gate, and the refining table by rough gate and logit."""
-
-    def __init__(self, weights: np.ndarray, rough: int, table: np.ndarray | None = None):
-        self.weights, self.rough = weights.copy(), rough
-        self.table = np.zeros((2, rough * LEVELS)) if table is None else table
-        self.seen, self.square = np.zeros(len(weights)), np.full(weights.shape, 1e-4)
-
-    def _logit(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->j", self.weights[gate].T, x), -16, 16)
-
-    @staticmethod
-    def _level(rough: np.ndarray, logit: np.ndarray) -> np.ndarray:
-        return rough * LEVELS + np.rint(np.clip(logit, -12, 12) * ((LEVELS - 1) / 24) + (LEVELS - 1) / 2).astype(np.int64)
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, rough: np.ndarray, bit: np.ndarray, mass: np.ndarray) -> None:
-        """One step of gradient descent, of a length that shrinks as a gate's slopes add up; x: [inputs, bits]."""
-        logit = self._logit(x, gate)
-        error, n = (bit - 1 / (1 + np.exp(-logit))) * mass, len(self.weights)
+    """Weights by gate, and the refining table by rough gate and logit. It learns as it goes."""
+
+    def __init__(self, weights: np.ndarray, rough: int):
+        self.weights = weights.astype(np.float32)
+        self.square = np.full(weights.shape, 1e-4)
+        self.table = np.zeros((2, rough * LEVELS))
+
+    def step(self, x: np.ndarray, gate: np.ndarray, rough: np.ndarray, bit: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """log2 of the bits' probabilities, with what is known so far; then one step of descent over those that have mass.
+
+        x: [inputs, bits]. Steps are as long as a gate's slopes are small, so they shrink while it learns.
+        """
+        w = self.weights.T[:, gate]
+        logit = w[0] * x[0]
+        for k in range(1, len(x)):
+            logit += w[k] * x[k]
+        np.clip(logit, -16, 16, out=logit)
+        p = 1 / (1 + np.exp(-logit))
+        level = rough * LEVELS + np.rint(np.clip(logit, -12, 12) * np.float32((LEVELS - 1) / 24) + np.float32((LEVELS - 1) / 2)).astype(np.int64)
+        seen = self.table[:, level]
+        fine = (p + (seen[1] + 30 * p) / (seen[0] + seen[1] + 30)) / 2
+        fine = np.clip(np.where(bit > 0, fine, 1 - fine), 1e-6, 1)
+        n, ones = len(self.weights), mass * bit
         total = np.bincount(gate, mass, n)
-        slope = np.stack([np.bincount(gate, error * row, n) for row in x], 1) / np.maximum(total, 1e-9)[:, None]
-        self.square += slope**2
-        self.weights += 0.05 * slope / np.sqrt(self.square)
-        self.seen += total
-        level = self._level(rough, logit)
-        self.table += np.stack([np.bincount(level, mass * (1 - bit), self.table.shape[1]), np.bincount(level, mass * bit, self.table.shape[1])])
-
-    def log_probability(self, x: np.ndarray, gate: np.ndarray, rough: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """Base 10."""
-        logit = self._logit(x, gate)
-        p, level = 1 / (1 + np.exp(-logit)), self._level(rough, logit)
-        zero, one = self.table[:, level]
-        p = np.clip((p + (one + 30 * p) / (zero + one + 30)) / 2, 1e-6, 1 - 1e-6)
-        return np.log10(np.where(bit > 0, p, 1 - p))
+        if total.any():
+            error = ones - mass * p
+            slope = np.stack([np.bincount(gate, error * row, n) for row in x], 1) / np.maximum(total, 1e-9)[:, None]
+            self.square += slope**2
+            self.weights += (0.05 * slope / np.sqrt(self.square)).astype(np.float32)
+            self.table += np.stack([np.bincount(level, mass - ones, self.table.shape[1]), np.bincount(level, ones, self.table.shape[1])])
+        return np.log2(fine)
 
 
 def word_mixer() -> Mixer:
     """Inputs: all texts, the class, the word before."""
-    start = np.tile(np.array([0.2, 0.5, 0.8]), (GATES, 1))
-    return Mixer(start, ROUGH)
+    return Mixer(np.tile(np.array([0.2, 0.5, 0.8]), (GATES, 1)), ROUGH)
 
 
 def spell_mixer() -> Mixer:
@@ -80,7 +77,7 @@ def spell_mixer() -> Mixer:
 
 
 def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.2) / (n0 + 0.2))
+    return np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2)))
 
 
 # Codes
@@ -172,72 +169,81 @@ class Successors:
 
     def __init__(self, context, classes, codes, counts, top, head=None, heads=None, kinds=None):
         self.code, self.length = unpack(codes)
-        self.classes, self.counts, self.top = classes, counts.astype(np.float64), top
-        self.head = np.full(len(codes), -1) if head is None else head
+        self.classes, self.counts, self.top = classes, counts.astype(np.float32) if counts.sum() < 1 << 24 else counts.astype(np.float64), top
+        self.head = head
         self.heads = np.zeros((1, (1 << HEAD) + 1)) if heads is None else heads
         new = np.concatenate([[True], context[1:] != context[:-1]]) if len(codes) else np.zeros(0, bool)
         differ = self.code[1:] ^ self.code[:-1]
         shared = CODE - np.frexp(differ.astype(np.float64))[1]
         shared = np.where(differ >> 53 > 0, CODE - 53 - np.frexp((differ >> 53).astype(np.float64))[1], shared)
-        self.shared = np.where(new, -1, np.concatenate([[-1], shared])) if len(codes) else np.zeros(0, np.int64)
+        self.shared = np.where(new, -1, np.concatenate([[-1], shared])).astype(np.int8) if len(codes) else np.zeros(0, np.int8)
+        self.length = self.length.astype(np.int8)
         which = np.cumsum(new) - 1
         known, all_ = np.bincount(which, counts > 0)[which], np.bincount(which, counts)[which]
         if heads is not None:
             frequent = self.head >= 0
             known = np.where(frequent, kinds[self.head], known)
             all_ = np.where(frequent, heads[self.head, -1], all_)
-        self.novel = np.searchsorted([0.1, 0.3, 0.7], known / np.maximum(all_, 1))
+        self.novel = np.searchsorted([0.1, 0.3, 0.7], known / np.maximum(all_, 1)).astype(np.int8)
 
     def bits(self, rows: np.ndarray, left_out: np.ndarray) -> Iterator[tuple]:
         """Level by level: places in rows, inputs, gate, rough gate and bit; an occurrence of the rows left out counts not for itself."""
+        at, mine = np.arange(len(self.code)), np.arange(len(rows))
+        run = np.zeros(len(self.code), np.int32)
+        left_out, counts, size = left_out.astype(np.float32), self.counts, self.length[rows]
+        self.rest = np.zeros(len(rows))
         for s in range(int(self.length.max(initial=0))):
-            at = np.flatnonzero(self.length > s)
-            bit = self.code[at] >> (CODE - 1 - s) & 1
-            head = np.flatnonzero(self.shared[at] < s)
-            run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(at))))
-            all_, ones = np.add.reduceat(self.counts[at], head), np.add.reduceat(self.counts[at] * bit, head)
-            place = np.full(len(self.code), -1)
-            place[at] = np.arange(len(at))
-            mine = np.flatnonzero(place[rows] >= 0)
-            p = place[rows[mine]]
-            at, bit, run = at[p], bit[p], run[p]
-            n0, n1 = (all_ - ones)[run], ones[run]
-            code, own = self.code[at], left_out[mine].astype(np.float64)
-            if s < HEAD:
-                lo = code >> (CODE - s) << (HEAD - s) if s else np.zeros(len(at), np.int64)
-                k, half = self.head[at], 1 << (HEAD - s - 1)
+            at, mine = at[self.length[at] > s], mine[size[mine] > s]
+            down = CODE - 1 - s
+            bit = (self.code[at] >> down & 1).astype(np.float32)
+            new = self.shared[at] < s
+            head = np.flatnonzero(new)
+            run[at] = np.cumsum(new, dtype=np.int32) - 1
+            mass = counts[at]
+            ones = np.add.reduceat(mass * bit, head)
+            zeros = np.add.reduceat(mass, head) - ones
+            row = rows[mine]
+            code, of, own = self.code[row], run[row], left_out[mine]
+            bit = (code >> down & 1).astype(np.float32)
+            n0, n1 = zeros[of].astype(np.float32), ones[of].astype(np.float32)
+            if s < HEAD and len(self.heads) > 1:
+                lo, k, half = code >> (CODE - s) << (HEAD - s), self.head[row], 1 << (HEAD - s - 1)
                 a, m, b = self.heads[k, lo], self.heads[k, lo + half], self.heads[k, lo + 2 * half]
-                n0, n1 = np.where(k >= 0, m - a, n0), np.where(k >= 0, b - m, n1)
-            own0, own1 = own * (1 - bit), own * bit
-            n0, n1 = n0 - own0, n1 - own1
+                n0, n1 = np.where(k >= 0, m - a, n0).astype(np.float32), np.where(k >= 0, b - m, n1).astype(np.float32)
+            own1 = own * bit
+            own0 = own - own1
+            n0 -= own0
+            n1 -= own1
+            evidence = n0 + n1
+            if s >= TOP:  # where a context has nothing left to say, each bit costs one
+                some = np.flatnonzero(evidence > 0)
+                none = np.flatnonzero(evidence <= 0)
+                self.rest[mine[none]] = size[mine[none]] - s
+                mine, row, n0, n1, evidence, bit = mine[some], row[some], n0[some], n1[some], evidence[some], bit[some]
+            x = np.zeros((3, len(row)), np.float32)
+            x[2] = _stretch(n0, n1)
+            rough = STEPS[np.minimum(evidence, 1023).astype(np.int32)] * 2 + ((n0 == 0) | (n1 == 0))
+            gate = rough * 12 + self.novel[row]
             if s < TOP:
-                lo = code >> (CODE - s) << (TOP - s) if s else np.zeros(len(at), np.int64)
-                half, z = 1 << (TOP - s - 1), self.classes[at]
-                (a, m, b), (c, d, e) = ([self.top[k, lo + h] for h in (0, half, 2 * half)] for k in (z, CLASSES))
-                z0, z1, g0, g1 = m - a - own0, b - m - own1, d - c - own0, e - d - own1
-                zone = ZONES[np.minimum(z0 + z1, 1023).astype(np.int64)]
-                x = np.stack([_stretch(g0, g1), _stretch(z0, z1), _stretch(n0, n1)])
-            else:
-                zone = 0
-                x = np.zeros((3, len(at)))
-                x[2] = _stretch(n0, n1)
-            rough = STEPS[np.minimum(n0 + n1, 1023).astype(np.int64)] * 2 + ((n0 == 0) | (n1 == 0))
-            yield mine, x, (rough * 3 + zone) * 4 + self.novel[at], rough, bit
-
-    def learn(self, mixer: Mixer) -> None:
-        """Online: the levels in turn, at each the rows in order, BATCH of them to a step."""
-        rows = np.flatnonzero(self.counts > 0)
-        for mine, x, gate, rough, bit in self.bits(rows, np.ones(len(rows), bool)):
-            mass = self.counts[rows[mine]]
-            for a in range(0, len(mine), BATCH):
-                c = slice(a, a + BATCH)
-                mixer.learn(x[:, c], gate[c], rough[c], bit[c], mass[c])
-
-    def score(self, mixer: Mixer, rows: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+                first, half, z = code >> (CODE - s) << (TOP - s), 1 << (TOP - s - 1), self.classes[row] * self.top.shape[1]
+                z += first
+                flat, all_ = self.top.ravel(), CLASSES * self.top.shape[1] + first
+                a, m, b = flat[z], flat[z + half], flat[z + 2 * half]
+                z0, z1 = (m - a - own0).astype(np.float32), (b - m - own1).astype(np.float32)
+                a, m, b = flat[all_], flat[all_ + half], flat[all_ + 2 * half]
+                x[0], x[1] = _stretch((m - a - own0).astype(np.float32), (b - m - own1).astype(np.float32)), _stretch(z0, z1)
+                gate += ZONES[np.minimum(z0 + z1, 1023).astype(np.int32)] * 4
+            yield mine, x, gate, rough, bit
+
+    def score(self, mixer: Mixer, rows: np.ndarray, left_out: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """log2 of the rows' probabilities, online: the levels in turn, at each the rows in order, BATCH of them to a step."""
         total = np.zeros(len(rows))
+        mass = mass.astype(np.float32)
         for mine, x, gate, rough, bit in self.bits(rows, left_out):
-            total[mine] += mixer.log_probability(x, gate, rough, bit)
-        return total
+            for a in range(0, len(mine), BATCH):
+                c = slice(a, a + BATCH)
+                total[mine[c]] += mixer.step(x[:, c], gate[c], rough[c], bit[c], mass[mine[c]])
+        return total - self.rest
 
 
 # Spelling
@@ -296,31 +302,29 @@ class Speller:
 
     def bits(self, words: np.ndarray, left_out: np.ndarray, tables: list[np.ndarray]) -> Iterator[tuple]:
         own, byte, rows = self.flat(words)
-        out, lo, size = left_out[own].astype(np.float64), np.zeros(len(own), np.int64), 256
+        out, lo, size = left_out[own].astype(np.float32), np.zeros(len(own), np.int64), 256
         rows = [r * 257 for r in rows]
         for j in range(8):
             size >>= 1
-            bit = byte >> (7 - j) & 1
-            counts = []
+            bit = (byte >> (7 - j) & 1).astype(np.float32)
+            out1 = out * bit
+            out0, counts = out - out1, []
             for t, r in zip(tables, rows, strict=True):
-                a, m, b = t[r + lo], t[r + lo + size], t[r + lo + 2 * size]
-                counts.append((np.maximum(m - a - out * (1 - bit), 0), np.maximum(b - m - out * bit, 0)))
-            rough = np.minimum(np.log2(sum(counts[2]) + 1), SPELL_ROUGH - 1).astype(np.int64)
-            gate = rough * 6 + np.minimum(np.log2(sum(counts[1]) + 1) / 3, 5).astype(np.int64)
+                at = r + lo
+                a, m, b = t[at], t[at + size], t[at + 2 * size]
+                counts.append((np.maximum(m - a - out0, 0), np.maximum(b - m - out1, 0)))
+            rough = np.frexp(counts[2][0] + counts[2][1])[1]
+            rough = np.minimum(rough, SPELL_ROUGH - 1).astype(np.int64)
+            gate = rough * 6 + np.minimum(np.frexp(counts[1][0] + counts[1][1])[1] // 3, 5)
             yield own, np.stack([_stretch(*c) for c in counts]), gate, rough, bit
-            lo = lo + size * bit
-
-    def learn(self, mixer: Mixer, words: np.ndarray, tables: list[np.ndarray]) -> None:
-        """Online: a few words at a time, each left out of its own counts."""
-        for part in self.chunks(words):
-            for _, x, gate, rough, bit in self.bits(part, np.ones(len(part), bool), tables):
-                mixer.learn(x, gate, rough, bit, np.ones(len(bit)))
+            lo += size * (byte >> (7 - j) & 1)
 
     def score(self, mixer: Mixer, words: np.ndarray, left_out: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """log2 of the words' probabilities, online: a few words to a step, which learns from those that are left out of their own counts."""
         total, a = np.zeros(len(words)), 0
-        for part in self.chunks(words, 20_000):
+        for part in self.chunks(words, 1024):
             b = a + len(part)
             for own, x, gate, rough, bit in self.bits(part, left_out[a:b], tables):
-                total[a:b] += np.bincount(own, mixer.log_probability(x, gate, rough, bit), len(part))
+                total[a:b] += np.bincount(own, mixer.step(x, gate, rough, bit, left_out[a:b][own].astype(np.float32)), len(part))
             a = b
         return total
