@@ -8,14 +8,15 @@ Encoding. The slices between boundaries go through a cache to pair merging by ra
 bytes at offsets that are the running sum of their lengths.
 
 Cases: null and empty texts have no tokens and decode to nothing; very long slices are merged with a heap, in
-n log n steps; equal rows have equal results; an empty table gives an empty result; other columns pass through.
+n log n steps; equal rows have equal results; ties between pairs go to the leftmost; an empty table gives an empty
+result; other columns pass through, but one with the name of the result is replaced by it.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import ready, with_columns, without
 
 # Fixed values of the split pattern: classes, states, contractions and the white space of Unicode.
 SPACE, WHITE, LETTER, NUMBER, OTHER, QUOTE, STMD, R, V, ELL, E, END = range(12)
@@ -253,14 +254,24 @@ def default_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def _vocabulary(path: str) -> tuple[str, dict[bytes, int]]:
+    """A digest of the ranks, and the ranks."""
+    ranks = read_ranks(path)
+    digest = hashlib.blake2b(digest_size=16)
+    for token, rank in ranks.items():
+        digest.update(b"%d %d " % (rank, len(token)) + token)
+    return digest.hexdigest(), ranks
+
+
 _made: dict = {}
 
 
 def _once(kind, shared):
     """One encoder or decoder for a worker's life, as its cache is worth keeping."""
-    key = (kind, len(shared.value), hash(next(iter(shared.value))), os.getpid())
+    digest, ranks = shared.value
+    key = (kind, digest)
     if key not in _made:
-        _made[key] = kind(shared.value)
+        _made[key] = kind(ranks)
     return _made[key]
 
 
@@ -270,22 +281,24 @@ def encode(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataFr
     The rank file is read on the driver and broadcast: its size is that of a vocabulary, not of the data.
     """
     spark = ready(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(read_ranks(path or default_path()))
+    shared = spark.sparkContext.broadcast(_vocabulary(path or default_path()))
+    docs = without(docs, ids)
     at = docs.columns.index("text")
 
     def run(batches):
         encoder = _once(Encoder, shared)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
-            yield batch_with(batch, ids, pa.array(encoder.encode(texts), pa.binary(), size=len(texts)))
+            yield batch_with(batch, pa.array(encoder.encode(texts), pa.binary(), size=len(texts)))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType())]))
+    return with_columns(docs, run, [T.StructField(ids, T.BinaryType())])
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """encoded with one more column: the bytes that the ids stand for. All ids of a batch are gathered at once."""
     spark = ready(encoded.sparkSession)
-    shared = spark.sparkContext.broadcast(read_ranks(path or default_path()))
+    shared = spark.sparkContext.broadcast(_vocabulary(path or default_path()))
+    encoded = without(encoded, into)
     at = encoded.columns.index(ids)
 
     def run(batches):
@@ -297,9 +310,9 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", into:
                 stops = np.cumsum([0, *(len(x) // 4 for x in rows)])
                 offsets = decoder.offsets(np.frombuffer(b"".join(rows), "<u4").astype(np.int64))[stops]
                 whole = out.tobytes()
-                yield batch_with(part, into, pa.array([whole[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary()))
+                yield batch_with(part, pa.array([whole[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary()))
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.BinaryType())]))
+    return with_columns(encoded, run, [T.StructField(into, T.BinaryType())])
 
 
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
@@ -315,8 +328,8 @@ def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a)
 
 
-def batch_with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+def batch_with(batch: pa.RecordBatch, column: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "r0"])
 
 
 def n_tokens(ids: str = "ids"):

@@ -4,12 +4,15 @@ P(grade <= k) = sigmoid(t_k - w.x) with ordered thresholds t and one vector w of
 share. x holds square roots of the relative frequencies of hashed features: words, their beginnings and endings, and
 a few shapes. From w.x come the expected grade and the tail probability P(grade >= k) by which documents are selected.
 
-The model is fitted on the driver, on at most SAMPLE rated documents, those whose ids have the smallest hashes; their
-whole texts are read. All documents are scored on the executors, which get the 2 ** BITS weights.
+The model is fitted on the driver, on at most SAMPLE documents, those of the rated ones at hand whose ids have the
+smallest hashes; their whole texts are read. All documents are scored on the executors, which get the 2 ** BITS weights.
 
 Cases: null and empty texts have no features and score 0, the neutral value, and are rejected (their tail
 probability is set to 0); without any rating, or with one grade only, nothing is known and every document with words
-is kept; a doc_id rated twice counts with its lowest grade; repeated documents score alike; other columns pass through.
+is kept; a doc_id rated twice counts with its lowest grade, and one that several rows have with the least of their
+texts; a null toxic says nothing against a document, a null quality is no rating; repeated documents score alike and tie;
+very long texts are read whole; other columns pass through, but those with a result's name are replaced by it; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import fresh, quoted, ready, with_columns, without
 from .words import _WHITE, mix, text_chunks, word_hashes
 
 BITS = 18
@@ -166,7 +169,8 @@ def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     """Features and grades of at most sample rated documents."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("rated_id")).agg(F.min(grade).alias("grade"))
-    chosen = chosen.orderBy(F.xxhash64("rated_id"), "rated_id").limit(sample)
+    ids = docs.where("text is not null").select(F.col("doc_id").alias("rated_id")).distinct()
+    chosen = chosen.join(ids, "rated_id", "left_semi").orderBy(F.xxhash64("rated_id"), "rated_id").limit(sample)
 
     def run(batches):
         for batch in batches:
@@ -177,7 +181,8 @@ def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
                 a += len(ids)
 
     text = docs.select("doc_id", "text")
-    rows = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("rated_id")).select("grade", "text").mapInArrow(run, "grade int, found binary, value binary").toArrow()
+    rows = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("rated_id"))  # sample rows at most
+    rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text").mapInArrow(run, "grade int, found binary, value binary").toArrow()
     order = np.lexsort(([x or b"" for x in rows["found"].to_pylist()], rows["grade"].to_numpy())) if rows.num_rows else []
     found, value = rows["found"].to_pylist(), rows["value"].to_pylist()
     return [np.frombuffer(found[i], np.int32) for i in order], [np.frombuffer(value[i], np.float32) for i in order], rows["grade"].to_numpy()[order].astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
@@ -191,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 def score(docs: DataFrame, model: Ordinal, prefix: str = "") -> DataFrame:
     """docs with three columns more: score, expected_grade and tail_probability, that of the best grade."""
     spark = ready(docs.sparkSession)
+    docs = without(docs, *(prefix + n for n in ("score", "expected_grade", "tail_probability")))
     shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     at = docs.columns.index("text")
     names = [prefix + n for n in ("score", "expected_grade", "tail_probability")]
@@ -206,12 +212,12 @@ def score(docs: DataFrame, model: Ordinal, prefix: str = "") -> DataFrame:
                     words.append(len(found) > 0)
             tails = known.tails(np.array(s)) if s else np.zeros((0, len(thresholds)))
             tails *= np.array(words, bool)[:, None]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=[*batch.schema.names, "r0", "r1", "r2"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return with_columns(docs, run, [T.StructField(n, T.DoubleType()) for n in names])
 
 
 def select(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The documents that are more likely than least to have the best grade, with their own columns."""
-    prefix = "__quality_"
-    return score(docs, fit(docs, labels, sample), prefix).where(F.col(prefix + "tail_probability") >= least).select(*[f"`{c}`" for c in docs.columns])
+    prefix = fresh(docs, "quality_tail_probability")[: -len("tail_probability")]
+    return score(docs, fit(docs, labels, sample), prefix).where(F.col(prefix + "tail_probability") >= least).select(*[quoted(c) for c in docs.columns])
