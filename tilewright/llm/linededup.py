@@ -10,8 +10,9 @@ Keys are held as two 64-bit hashes of which the second is seeded, so an accident
 
 Cases: a null or empty text is one empty line; keys of fewer than MIN_KEY code points never drop; all lines of a key
 within the owning document stay, repeats included; rows that share a doc_id are one document to the others, each
-row keeps its own lines; null doc_ids sort before all others; an empty table gives an empty result; other columns
-pass through untouched whatever their names.
+row keeps its own lines; null doc_ids sort before all others; ties between documents cannot be, ids decide; very long
+texts are split whole; an empty table gives an empty result; other columns pass through untouched whatever their names,
+but those with the names of the two results, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, materialize
+from .common import WHITE, ascii_lower, fresh, materialize, quoted, without
 
 MIN_KEY = 10
 BATCHES = 4
@@ -78,32 +79,30 @@ def line_decisions(docs: DataFrame, min_key: int = MIN_KEY, batches: int = BATCH
         F.when(long_enough, F.xxhash64(F.lit(0x9E3779B9), key)).alias("h2"),
     )
     lines = materialize(lines, "line-keys")
-    ends = lines.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    runs = LineRuns(fanout)
-    low, high = ends["a"] if ends["a"] is not None else 0, ends["b"] if ends["b"] is not None else 0
-    step = max(1, -(-(high - low + 1) // batches))
-    for k in range(batches):
-        start, stop = low + k * step, low + (k + 1) * step
-        if k and start > high:
-            break
-        mine = (F.col("doc_id") >= start) & (F.col("doc_id") < stop)
-        batch = lines.where(F.col("h1").isNotNull() & (mine | F.col("doc_id").isNull() if k == 0 else mine))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 1000).alias("x")).first()["x"] or []
+    cuts = sorted(set(cuts)) if batches > 1 else []  # batches of about as many documents; only their balance hangs on it
+    keyed, runs = lines.where("h1 is not null"), LineRuns(fanout)
+    for k in range(len(cuts) + 1):
+        mine = F.lit(True) if not cuts else F.col("doc_id").isNull() | (F.col("doc_id") < cuts[0]) if k == 0 else F.col("doc_id") >= cuts[-1] if k == len(cuts) else (F.col("doc_id") >= cuts[k - 1]) & (F.col("doc_id") < cuts[k])
+        batch = keyed.where(mine)
         # A null doc_id is the smallest: struct ordering puts nulls first.
         keys = batch.groupBy("h1", "h2").agg(F.min(F.struct("doc_id")).alias("owner"))
         runs.add(keys)
     owners = runs.all()
-    judged = lines.join(owners, ["h1", "h2"], "left").select("doc_id", "th", "pos", F.coalesce(F.struct("doc_id") > F.col("owner"), F.lit(False)).alias("drop"))
+    judged = keyed.join(owners, ["h1", "h2"]).select("doc_id", "th", "pos", (F.struct("doc_id") > F.col("owner")).alias("drop"))
+    judged = judged.unionByName(lines.where("h1 is null").select("doc_id", "th", "pos", F.lit(False).alias("drop")))  # short lines meet no other
     # Rows that are repeated in full have the same decisions: the set keeps one of each.
     per_doc = judged.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "drop"))).alias("x"))
     return per_doc.select("doc_id", "th", F.transform("x", lambda s: s["drop"]).alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
-    """The documents with two columns more: __lines (all lines) and __drops (which of them go)."""
-    decided = line_decisions(docs, **settings)
-    th = F.xxhash64(F.lit(1), docs["text"])
-    out = docs.join(decided, docs["doc_id"].eqNullSafe(decided["doc_id"]) & (th == decided["th"]))
-    return out.select(*[docs[c] for c in docs.columns], lines_of(docs["text"]).alias("__lines"), decided["drops"].alias("__drops"))
+def dedup_lines(docs: DataFrame, lines: str = "__lines", drops: str = "__drops", **settings) -> DataFrame:
+    """The documents with two columns more: all lines, and which of them go."""
+    docs = without(docs, lines, drops)
+    of, th, found = (fresh(docs, n) for n in ("__of", "__th", "__found"))
+    decided = line_decisions(docs.select("doc_id", "text"), **settings).toDF(of, th, found)
+    out = docs.join(decided, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64(F.lit(1), F.col("text")) == F.col(th)))
+    return out.select(*[quoted(c) for c in docs.columns], lines_of(F.col("text")).alias(lines), F.col(found).alias(drops))
 
 
 def kept_text(lines: str = "__lines", drops: str = "__drops") -> Column:

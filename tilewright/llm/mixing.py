@@ -6,7 +6,8 @@ only one that is split again by the next hash bits, until it holds a single hash
 budget takes a superset.
 
 Cases: null text or a text without words has size 0; null sources form one source, the last; rows with equal
-doc_id have equal hashes and are taken together; an empty table gives an empty result; other columns are ignored.
+doc_id have equal hashes and are taken together, and so are null ids; very long texts count whole; an empty table gives
+an empty result; other columns are ignored by `mix` and kept by `mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import fresh, materialize, quoted, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -86,10 +87,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The documents as the mix takes them: none, one or more rows each, with their own columns; texts stay where they are."""
     rows = materialize(docs.select("source", doc_hash().alias("h"), word_count(F.col("text")).alias("size")), "mix-sizes")
-    bounds = _small(mix_bounds(rows, weights, share, most))
-    out = docs.join(bounds, docs["source"].eqNullSafe(bounds["of"]))
-    times = _times(doc_hash(docs["doc_id"]), lambda c: bounds[c])
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("__mix_copy")).drop("__mix_copy")
+    bounds = mix_bounds(rows, weights, share, most)
+    names = {c: fresh(docs, f"mix_{c}") for c in bounds.columns}
+    bounds = _small(bounds.toDF(*names.values()))
+    out = docs.join(bounds, F.col("source").eqNullSafe(F.col(names["of"])))
+    times, copy = _times(doc_hash(), lambda c: F.col(names[c])), fresh(docs, "mix_copy")
+    return out.select(*[quoted(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias(copy)).drop(copy)
 
 
 def _refine(rows: DataFrame, bound: DataFrame, shift: int) -> DataFrame:

@@ -5,8 +5,9 @@ slot-to-shard map says where a slot lives. Rebalancing never rehashes records: i
 records of moved slots move. Version 0 deals the slots out in turn, the next version is the edit that makes the
 shards' bytes near equal.
 
-Cases: a null text has no bytes (size 16, crc 0); null keys share one slot; rows with equal keys share a slot;
-repeated rows get different positions; an empty table gives an empty result; other columns are ignored.
+Cases: a null text has no bytes (size 16, crc 0); a null key is a key; rows that are equal in key and text share a
+virtual slot, so a key with many rows is spread; repeated rows tie and get different positions; very long texts count
+with all their bytes; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import materialize, shared_path
 
 N_SLOTS = 8192
 #: Rows of one slot are numbered in so many parts, so that a hot key's rows are not sorted in one task.
-PARTS = 8
+PARTS = 32
 
 
 @dataclass
@@ -81,15 +82,20 @@ class SlotMap:
         return int((shards == n).sum())
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """One row per version and slot."""
-        rows = pd.concat(pd.DataFrame({"version": v, "slot": np.arange(len(m)), "shard": m}) for v, m in enumerate(self.versions))
+        """One row per version and slot; those of a version that is there already stay as they are."""
+        rows = pd.concat(pd.DataFrame({"version": v, "slot": np.arange(len(m)), "shard": m, "shards": self.n_shards}) for v, m in enumerate(self.versions))
         spark.createDataFrame(pa.Table.from_pandas(rows.astype("int32"), preserve_index=False)).coalesce(1).write.mode("overwrite").partitionBy("version").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SlotMap:
         rows = spark.read.parquet(path).toPandas().sort_values(["version", "slot"])
         versions = [g["shard"].to_numpy(np.int32) for _, g in rows.groupby("version")]
-        return cls(int(versions[-1].max()) + 1, versions)
+        return cls(int(rows["shards"].max()), versions)
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def virtual_slot(key: Column, n_slots: int = N_SLOTS) -> Column:
@@ -99,6 +105,9 @@ def virtual_slot(key: Column, n_slots: int = N_SLOTS) -> Column:
 def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Rows (doc_id, size, text_crc32, shard, slot, virtual_slot, map_version) and the map.
 
+    A map that map_path has is edited, grown where shards are more now, and its next version appended: only rows of
+    moved slots move. Without one the slots are dealt anew.
+
     slot is the row's place in its shard, without gaps from 0. The text is read once and not shuffled; what
     reaches the driver is one row per slot and part, a number fixed by the parameters.
     """
@@ -108,17 +117,21 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS,
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
-        virtual_slot(F.col("doc_id"), n_slots).alias("virtual_slot"),
-    ).withColumn("part", F.pmod("text_crc32", F.lit(PARTS)).cast("int"))
+    )
+    record = F.struct("doc_id", "text_crc32", "size")
+    rows = rows.withColumn("virtual_slot", virtual_slot(record, n_slots)).withColumn("part", F.pmod(F.xxhash64(F.lit(1), record), F.lit(PARTS)).cast("int"))
     rows = materialize(rows, "shard-rows")
     stats = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).toPandas()
     n = np.zeros((n_slots, PARTS), np.int64)
     n[stats["virtual_slot"], stats["part"]] = stats["n"]
     slot_bytes = np.bincount(stats["virtual_slot"], stats["bytes"], n_slots)
-    slots = SlotMap.dealt(n_slots, n_shards)
+    slots = SlotMap.load(spark, map_path) if map_path and stored(spark, map_path) else SlotMap.dealt(n_slots, n_shards)
+    if len(slots.shards) != n_slots or slots.n_shards > n_shards:
+        raise ValueError(f"the stored map has {len(slots.shards)} slots and {slots.n_shards} shards")
+    while slots.n_shards < n_shards:
+        slots.grow()
     slots.rebalance(slot_bytes)
-    path = map_path or shared_path(spark, "slot-map")
-    slots.save(spark, path)
+    slots.save(spark, map_path or shared_path(spark, "slot-map"))
     order = np.argsort(slots.shards, kind="stable")
     flat = n[order].ravel()
     before = np.cumsum(flat) - flat
