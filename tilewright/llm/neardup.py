@@ -3,20 +3,22 @@
 A document is the set of its distinct word shingles, held as 64-bit hashes. Its signature has chunks of r minhash
 values of 16 bits each. Two signatures that differ in at most 2 * chunks - 1 values have, by pigeonhole, a chunk with
 one error at most; every chunk is therefore indexed r times, each time without one of its values, so that such pairs
-always meet in a bucket. Buckets only say who may be near: members are joined to their bucket's smallest document,
-the components of that are clusters, and within a cluster all sets are intersected exactly through posting lists, in
-pairs of blocks when it is large. The links found, a forest for each block pair, give the final components.
+always meet in a bucket. Pairs of a small bucket are tested by their signatures' distance; the members of a full one, of
+which pairs would be too many, are tied to its smallest document. The components of both are clusters, and within a
+cluster all sets are intersected exactly through posting lists, in pairs of blocks when it is large. The links found, a forest for each block pair, give the final components.
 
 Equal sets are one class from the start, whatever its size; only class representatives are indexed.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are their own component; with
-fewer words than a shingle the whole sequence is the one shingle; a null doc_id has no component; rows that share a
-doc_id are one node and share their component; an empty table gives an empty result; other columns are ignored.
+fewer words than a shingle the whole sequence is the one shingle; a row with a null doc_id has no component (null, and so
+is kept), whatever its text; rows that share a doc_id are one node and share their component; copies tie and the smallest
+id stays; very long texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,9 +71,29 @@ class Index:
         return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
-#: Chances that a pair exactly at the threshold meets in no bucket: 1e-5 at 0.85 with 9 x 7, 2e-5 at 0.8 with 10 x 6.
+#: The chance that a pair exactly at the threshold meets in no bucket, and the one that it fails the signature test.
+MISS, FAR = 2.5e-5, 1e-6
+#: Values in a signature, at most; buckets of more members than SMALL are tied to their least member as they are.
+VALUES, SMALL = 63, 8
+
+
 def index_for(percent: int) -> Index:
-    return Index(9, 7) if percent >= 85 else Index(10, 6)
+    """The longest chunks with which so few pairs at the threshold are missed: 9 x 7 at 85, 10 x 6 at 80, 11 x 4 at 70, 16 x 3 at 50."""
+    q = min(max(percent, 1), 99) / 100
+    for r in range(7, 1, -1):
+        meets = q**r + r * q ** (r - 1) * (1 - q)  # a chunk with one error at most
+        chunks = math.ceil(math.log(MISS) / math.log(1 - meets))
+        if chunks * r <= VALUES:
+            return Index(chunks, r)
+    return Index(chunks, r)
+
+
+def reach(percent: int, size: int) -> int:
+    """Values in which two signatures may differ: a pair at the threshold differs in more with a chance of FAR."""
+    p, most, tail = 1 - percent / 100, size, 0.0
+    while most and (tail := tail + math.comb(size, most) * p**most * (1 - p) ** (size - most)) <= FAR:
+        most -= 1
+    return most
 
 
 def set_table(docs: DataFrame, words: int, index: Index) -> DataFrame:
@@ -92,8 +114,8 @@ def set_table(docs: DataFrame, words: int, index: Index) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, signature binary")
 
 
-def candidate_stars(reps: DataFrame, index: Index) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's smallest member."""
+def candidates(reps: DataFrame, index: Index, percent: int) -> DataFrame:
+    """(a, b): pairs that share a bucket and differ in few values; members of a full bucket are all tied to its smallest."""
 
     def run(batches):
         for batch in batches:
@@ -102,9 +124,23 @@ def candidate_stars(reps: DataFrame, index: Index) -> DataFrame:
             offsets = np.arange(0, keys.size + 1, index.size, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, keys.ravel())], names=["rep", "keys"])
 
+    most = reach(percent, index.size)
+
+    def near(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, index.size) for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= most))
+
     keyed = reps.select("rep", "signature").mapInArrow(run, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    return keyed.join(buckets, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(keyed.join(buckets, "key"), "bucket-members")
+    stars = members.where(f"n > {SMALL} and rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    few = members.where(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_set("rep")).alias("m"))  # SMALL at most
+    later = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(y.alias("a"), x.alias("b"))))
+    pairs = few.select(F.inline(F.flatten(later))).distinct()
+    one, two = (reps.select(F.col("rep").alias(r), F.col("signature").alias(f"s{r}")) for r in ("a", "b"))
+    tested = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
+    return stars.unionByName(tested).distinct()
 
 
 def exact_links(groups: list[tuple], percent: int) -> list[tuple[int, int]]:
@@ -205,11 +241,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     table = materialize(set_table(docs, words, index), "shingle-sets")
     reps = table.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     reps = materialize(reps, "class-reps")
-    clusters = components(candidate_stars(reps, index)).withColumnRenamed("component", "cluster")
+    clusters = components(candidates(reps, index, percent)).withColumnRenamed("component", "cluster")
     sized = clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     placed = sized.join(blocks, "cluster").select("node", "cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
     found = components(near_links(docs, materialize(placed, "clusters"), words, percent))
     labels = reps.join(found, reps["rep"] == found["node"], "left").select(F.col("class").alias("of"), F.coalesce("component", "rep").alias("component"))
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return table.join(labels, F.col("class") == F.col("of"), "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
