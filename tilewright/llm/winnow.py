@@ -9,8 +9,8 @@ before (or the text's start), which is at most W. The likeness of two is the Jac
 empty ones are alike (1).
 
 Cases: null counts as empty; an empty text has an empty fingerprint; equal texts have equal fingerprints; rows with
-the same doc_id are ordered by their text's hash; null doc_ids come last; a table of one row is its own next
-document; an empty table gives an empty result; other columns are ignored.
+the same doc_id are ordered by their text's hash, and tie where that is equal; null doc_ids come last; a table of one row
+is its own next document; very long texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import materialize, ready
 
 K, W = 12, 32
 CHUNK = 400_000
@@ -121,42 +122,56 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: Ids that more rows have than a part should hold are split by their texts' hashes, into so many ranges at most.
+RANGES = 4096
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(part, lookahead, doc_id, text), partitioned by part and sorted: each part ends with a copy of the next part's first row.
 
-    Bounds of the parts are quantiles of doc_id; each part's first row, one id and text hash, is all that the driver
-    sees. Texts are shuffled once.
+    Parts are ranges of (doc_id, text hash), descending. Their bounds come from a sample of ids, which decides on nothing
+    but their sizes; an id that alone fills more than a part is cut into ranges of its hashes. The driver sees one id and
+    hash for each part, and their number is that of the tasks, whatever that is. Texts are shuffled once.
     """
     spark = ready(docs.sparkSession)
     n = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = parts or min(4 * n, 2_000)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    # Descending: part p holds the ids below cuts[p - 1] and not below cuts[p]; nulls are in the last.
-    id_ = F.col("doc_id").cast("long")
-    part = F.when(id_.isNull(), len(cuts)).otherwise(_cuts_above(id_, cuts))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", part.cast("int")).withColumn("th", F.xxhash64("text"))
-    # Of equal ids the text's hash decides, so the first row of a part is a largest (doc_id, th).
-    heads = keyed.groupBy("part").agg(F.max(F.struct(F.coalesce(id_, F.lit(-(2**63))).alias("i"), "th")).alias("head")).collect()
+    parts = parts or 4 * n
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("i", id_).withColumn("th", F.xxhash64("text"))
+    names = materialize(keyed.select("i", "th"), "ids")
+    rows = names.count()
+    each = max(1, rows // parts)
+    bit = F.pmod(F.xxhash64(F.lit(3), "i", "th"), F.lit(max(1, each // 32))) == 0
+    values = np.sort(names.where(bit).select("i").toArrow()["i"].to_numpy()) if rows else np.zeros(0, np.int64)  # some 32 for each part
+    full = {r["i"]: r["n"] for r in names.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > 2 * each).where("n > 1").collect()}  # at most parts / 2
+    full = {i: k for i, k in full.items() if abs(i) < 1 << 53 or i == -(2**63)}  # whose neighbours have other doubles
+    cuts = {float(v) for v in values[np.arange(1, parts) * len(values) // parts].tolist()} if len(values) else set()
+    cuts |= {x for i in full for x in (float(i), float(np.nextafter(float(i), np.inf)))}
+    splits = [-np.inf, *sorted(cuts), np.inf]
+    range_ = Bucketizer(splits=splits, inputCol="at", outputCol="range") if len(splits) > 2 else None
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """With part: a row of ranges, descending, and within a full id of ranges of hashes."""
+        df = df.withColumn("at", F.col("i").cast("double"))
+        df = range_.transform(df) if range_ else df.withColumn("range", F.lit(0.0))
+        wide = F.lit(1)
+        if full:
+            table = spark.createDataFrame([(i, min(RANGES, k // each + 1)) for i, k in full.items()], "of long, wide int")
+            df = df.join(F.broadcast(table), F.col("i") == F.col("of"), "left")
+            wide = F.coalesce("wide", F.lit(1))
+        sub = F.floor((F.lit(0.5) - F.col("th") / F.lit(2.0**64)) * wide).cast("long")
+        sub = F.greatest(F.lit(0), F.least(sub, wide - 1))
+        return df.withColumn("part", ((len(splits) - F.col("range")).cast("long") * RANGES + sub))
+
+    heads = dealt(names).groupBy("part").agg(F.max(F.struct("i", "th")).alias("head")).collect()  # one row a part
     heads = sorted((r["part"], r["head"]["i"], r["head"]["th"]) for r in heads)
-    copies = [(p, i, th, heads[k - 1][0]) for k, (p, i, th) in enumerate(heads)]
-    edge = F.broadcast(spark.createDataFrame(copies, "edge_part int, edge_id long, edge_th long, before int"))  # one row per part
-    same = (F.col("part") == F.col("edge_part")) & (F.coalesce(id_, F.lit(-(2**63))) == F.col("edge_id")) & (F.col("th") == F.col("edge_th"))
-    here = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("lookahead")))
-    both = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("lookahead")), F.struct(F.col("before").alias("part"), F.lit(1).alias("lookahead")))
-    rows = keyed.join(edge, same, "left").select("doc_id", "text", "th", F.inline(F.when(F.col("before").isNull(), here).otherwise(both)))
-    return rows.repartition(n, "part").sortWithinPartitions("part", "lookahead", F.col("doc_id").desc_nulls_last(), F.col("th").desc()).select("part", "lookahead", "doc_id", "text")
-
-
-def _cuts_above(value, cuts: list[int]):
-    """How many of the descending cuts are above value: binary search, unrolled as a balanced tree of comparisons."""
-    def tree(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(value < F.lit(cuts[m]), tree(m + 1, b)).otherwise(tree(a, m))
-
-    return tree(0, len(cuts))
+    copies = [(p, i, th, heads[k - 1][0]) for k, (p, i, th) in enumerate(heads)]  # the first row follows the last
+    edge = F.broadcast(spark.createDataFrame(copies, "edge_part long, edge_i long, edge_th long, before long"))
+    same = (F.col("part") == F.col("edge_part")) & (F.col("i") == F.col("edge_i")) & (F.col("th") == F.col("edge_th"))
+    here = F.struct(F.col("part").alias("part"), F.lit(0).alias("lookahead"))
+    both = F.array(here, F.struct(F.col("before").alias("part"), F.lit(1).alias("lookahead")))
+    out = dealt(keyed).join(edge, same, "left").select("doc_id", "text", "th", F.inline(F.when(F.col("before").isNull(), F.array(here)).otherwise(both)))
+    return out.repartition(n, "part").sortWithinPartitions("part", "lookahead", F.col("doc_id").desc_nulls_last(), F.col("th").desc()).select("part", "lookahead", "doc_id", "text")
 
 
 def compare_with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
