@@ -92,6 +92,19 @@ select doc_id, size, source_size, target,
                                and (upto <= target - passes * source_size or here <= 2 * (target - passes * source_size - (upto - here)))
                               then 1 else 0 end))::bigint as taken
 from r
+""",
+    "op8_suffix_array_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, 100) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as p from d where len(h) >= 100)),
+o as (select s, min(doc_id) as owner from w group by s having count(*) > 1),
+c as (select doc_id, p from w join o using (s) where owner < doc_id),
+g as (select doc_id, p, sum(case when p <= prev + 50 then 0 else 1 end) over (partition by doc_id order by p) as run from (select *, lag(p) over (partition by doc_id order by p) as prev from c)),
+r as (select doc_id, min(p) as a, max(p) + 50 as b from g group by doc_id, run),
+k as (select doc_id, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans, list(a order by a) as starts, list(b order by a) as ends from r group by doc_id),
+j as (select d.doc_id, len(h) // 2 as n, h, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, list_concat([0], coalesce(ends, [])) as kept_from, list_concat(coalesce(starts, []), [len(h) // 2]) as kept_to from d left join k using (doc_id))
+select doc_id, n::bigint as n_bytes, n_removed::bigint as n_removed, n_spans::bigint as n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(kept_from) + 1), lambda i: substr(h, 2 * kept_from[i] + 1, 2 * (kept_to[i] - kept_from[i]))), ''))) as kept_sha256
+from j
 """,
     "op9_embedding_near_dedup": """
 with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
