@@ -541,14 +541,17 @@ def test_suffix_dedup_random_and_in_many_shards(spark, monkeypatch):
 
 def test_suffix_array():
     rng = np.random.default_rng(5)
-    for data in (rng.integers(97, 100, 400).astype(np.uint8), np.full(100, 97, np.uint8)):
-        order, depth = suffixdedup.suffix_array(data, 64)
+    base = rng.integers(97, 123, 300).astype(np.uint8)
+    pieces = [base[a : a + n] for a, n in zip(rng.integers(0, 200, 60), rng.integers(20, 100, 60), strict=True)]  # long repeats
+    for data in (rng.integers(97, 100, 400).astype(np.uint8), np.full(100, 97, np.uint8), np.concatenate(pieces)):
+        order, depth = suffixdedup.suffix_array(data, 50)
         parts = [data[i : i + 50].tobytes() for i in order]
         assert parts == sorted(parts) and sorted(order.tolist()) == list(range(len(data)))
         whole = data.tobytes()
         want = [0] + [next((k for k in range(50) if whole[a + k : a + k + 1] != whole[b + k : b + k + 1] or not whole[a + k : a + k + 1]), 50) for a, b in zip(order, order[1:], strict=False)]
         for lanes in (1, 7, 1000):
             assert suffixdedup.common_prefixes(data, order, depth, 50, lanes).tolist() == want
+    data = np.full(100, 97, np.uint8)
     table = suffixdedup.strings_at(data, np.array([0]), 50)
     other = np.concatenate([data, np.full(60, 98, np.uint8)])
     assert suffixdedup.search(table, suffixdedup.strings_at(other, np.array([3, 70, 100]), 50)).tolist() == [0, -1, -1]

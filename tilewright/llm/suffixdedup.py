@@ -139,7 +139,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, sorted_depth: int, dept
     words, out = words_at(data), np.zeros(n, np.int32)
     each = max(1, -(-n // lanes))
     starts, h = np.arange(0, n, each), np.zeros(-(-n // each), np.int64)
-    most = min(depth, sorted_depth)
+    most = depth if sorted_depth >= n else sorted_depth  # whether a prefix is as long as the order knows has to be seen
     for t in range(each):
         i = starts + t
         i = i[i < n]
@@ -156,7 +156,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, sorted_depth: int, dept
             left = left[same & (h[left] < room[left])]
         h = np.minimum(h, np.maximum(room, 0))
         out[i] = h
-    return out[order]
+    return np.minimum(out, depth)[order]
 
 
 def strings_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -212,7 +212,7 @@ class Shard:
         shared = common_prefixes(data, order, depth, length)
         keep = np.flatnonzero(window[order])
         # Between two windows the least of the common prefixes in between counts.
-        new = np.minimum.reduceat(shared, np.concatenate([[0], keep[:-1] + 1])) < length if len(keep) else np.zeros(0, bool)
+        new = np.minimum.reduceat(shared[: keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1])) < length if len(keep) else np.zeros(0, bool)
         order, new[:1] = order[keep], True
         least = np.array(self.least, np.int64)
         heads = np.flatnonzero(new)
