@@ -6,6 +6,7 @@ from tilewright.operators import diagram as P
 from tilewright.operators import distributions as D
 from tilewright.operators import spatial as I
 from tilewright.operators import transport1d as T
+from tilewright.plans import multilevel
 from tilewright.plans.problem import BlackBox, Box, Direct, Image, Iterative, OtNotConverged, OtProblem, Polygon, SumOfDiracs, SumOfGaussians, laplacian_solve, ot_solve, position_derivative_of_weights, residual, w2
 from tilewright.plans.quantize import lloyd_1d, quantization, uniform_in_support
 from tilewright.plans.sweep import GridDensity, Pointwise, Sweeper, Uniform, box_ring, cells
@@ -212,3 +213,56 @@ def test_spreading_keeps_mass(spark):
     mass = lambda c: c.join(tri.select("e", "volume"), "e").agg(F.sum(F.col("value") * F.col("volume") / 3)).first()[0]
     for k, method in ((0.5, "iter"), (2.0, "iter"), (3.0, "cheb")):
         assert mass(D.corner_averages(corners, tri, k, method)) == pytest.approx(mass(corners), rel=1e-6)
+
+
+def test_pieces_are_as_many_as_starts(spark):
+    n = 3000
+    rng = np.random.default_rng(3)
+    x, values, w = rng.uniform(0, n, n), rng.uniform(0, 1, n), rng.pareto(1, n) + 1e-3  # some are far heavier than others
+    parts = solve(spark, x, values, w).collect()
+    assert n < len(parts) <= 2 * n + 2 * 64
+    y, m = np.sort(x), w[np.argsort(x)] / w.sum()
+    ends, edges = np.cumsum(m), np.concatenate([[0], np.cumsum(values / values.sum())])
+    cuts = np.unique(np.concatenate([ends, edges]))
+    cuts = cuts[(cuts >= 0) & (cuts <= 1)]
+    middle = (cuts[1:] + cuts[:-1]) / 2
+    p, k = y[np.minimum(np.searchsorted(ends, middle), n - 1)], np.minimum(np.searchsorted(edges, middle) - 1, n - 1)
+    d = values[k] / values.sum()
+    a, b = (k + (c - edges[k]) / d for c in (cuts[:-1], cuts[1:]))
+    want = (d * ((b - p) ** 3 - (a - p) ** 3) / 3).sum()
+    assert sum(r["y"] * ((r["x1"] - r["p"]) ** 3 - (r["x0"] - r["p"]) ** 3) / 3 for r in parts) == pytest.approx(want, rel=1e-8)
+    diracs, bins = line(spark, x, values, w)
+    assert T.closed_form_cost(T.source_intervals(diracs), T.target_intervals(bins)).first()["cost"] == pytest.approx(want, rel=1e-6)
+
+
+def test_membership_with_heavy_and_far_seeds(spark):
+    rng = np.random.default_rng(8)
+    seeds, w, points = rng.uniform(0, 1, (60, 2)) ** 3, rng.normal(0, 0.02, 60), rng.uniform(-0.2, 1.2, (200, 2))
+    w[0] = 0.5
+    want = (((points[:, None] - seeds) ** 2).sum(2) - w).argmin(1)
+    s = spark.createDataFrame([(i, *map(float, p), float(v)) for i, (p, v) in enumerate(zip(seeds, w, strict=True))], "i long, x0 double, x1 double, w double")
+    q = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "q long, x0 double, x1 double")
+    assert {r["q"]: r["i"] for r in P.membership(q, s, 9).collect()} == dict(enumerate(want.tolist()))
+    assert P.membership(q, s.limit(0)).count() == 0
+
+
+def test_hierarchy_solves_like_a_dense_matrix():
+    rng = np.random.default_rng(0)
+    x = rng.uniform(0, 1, (3000, 2))
+    s = Sweeper(x, Uniform())(np.zeros(3000))
+    rhs = rng.normal(size=3000)
+    rhs -= rhs.mean()
+    v, steps = multilevel.solve(3000, s.i, s.k, s.c, rhs, x, 1e-9)
+    assert steps < 80
+    assert np.bincount(s.i, s.c * (v[s.i] - v[s.k]), 3000) == pytest.approx(rhs, abs=1e-6)
+
+
+def test_residual_families_reach_the_same_plan():
+    x = np.random.default_rng(4).uniform(0.01, 0.99, (60, 2)) ** 2
+    want = ot_solve(SumOfDiracs(x), Box([0, 0], [1, 1]), tol=1e-9)
+    for family in ("lin", "log", 0.5):
+        plan = ot_solve(SumOfDiracs(x), Box([0, 0], [1, 1]), tol=1e-9, residual=family)
+        assert plan.converged and plan.weights == pytest.approx(want.weights, abs=1e-7)
+    for wrong in ({"residual": "cubic"}, {"residual": -1.0}, {"on_failure": "shrug"}, {"continuation": "maybe"}, {"weights0": x[:, 0], "ot_plan": want}):
+        with pytest.raises(ValueError):
+            Iterative(**wrong)
