@@ -11,6 +11,19 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def with_total(df: DataFrame, value: Column | str, name: str, batch: list[str] = []) -> DataFrame:  # noqa: B006
+    """df with the sum of value over its batch: one row a batch is summed first and joined, so no task holds a batch."""
+    value = F.col(value) if isinstance(value, str) else value
+    if not batch:
+        return df.crossJoin(F.broadcast(df.agg(F.sum(value).alias(name))))  # one row
+    of = {c: f"__of_{c}" for c in batch}
+    total = df.groupBy(*[F.col(c).alias(of[c]) for c in batch]).agg(F.sum(value).alias(name))
+    on = F.lit(True)
+    for c in batch:
+        on &= F.col(c).eqNullSafe(F.col(of[c]))
+    return df.join(total, on).drop(*of.values())
+
+
 def running(df: DataFrame, value: str, order: list[str], batch: list[str], before: str, after: str, parts: int | None = None) -> DataFrame:
     """df with two columns more: the sum of value over the rows of the batch before this one, and up to it.
 

@@ -135,11 +135,39 @@ def bounded(facets: DataFrame, keys: list[str]) -> DataFrame:
     return facets.groupBy(*keys).agg(F.min((F.col("lo").isNotNull() & F.col("hi").isNotNull()).cast("int")).alias("is_bounded"), F.count("*").alias("n_facets"))
 
 
-def membership(points: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(q, i): the seed of least power distance to each point; seeds are the small side."""
-    power = sum(((F.col(f"x{a}") - F.col(f"s{a}")) * (F.col(f"x{a}") - F.col(f"s{a}")) for a in range(2)), F.lit(0.0)) - F.col("w")
-    small = seeds.select("i", F.col("x0").alias("s0"), F.col("x1").alias("s1"), "w")
-    return points.crossJoin(small).groupBy("q").agg(F.min_by("i", F.struct(power.alias("d"), F.col("i"))).alias("i"))
+def membership(points: DataFrame, seeds: DataFrame, cells: int | None = None) -> DataFrame:
+    """(q, i): the seed of least power distance to each point, the first index on ties.
+
+    Points meet the seeds of the buckets around their own. A point is done when no seed further away can be nearer in
+    power, by its distance to the border of those buckets and the largest weight; the others look around twice as far.
+    """
+    from .distributions import _cut
+    from .spatial import bucketed
+
+    found = seeds.agg(F.count("*").alias("n"), F.max("w").alias("top")).first()
+    if not found["n"]:
+        return points.select("q", F.lit(None).cast("long").alias("i")).limit(0)
+    cells = cells or max(1, int((found["n"] / 2) ** 0.5))
+    sites = bucketed(seeds, cells).select("i", F.col("x0").alias("s0"), F.col("x1").alias("s1"), "w", "b0", "b1")
+    left, ring, out = bucketed(points, cells).select("q", "x0", "x1", "b0", "b1"), 1, None
+    square = lambda a: (F.col(f"x{a}") - F.col(f"s{a}")) * (F.col(f"x{a}") - F.col(f"s{a}"))
+    while True:
+        near = left
+        for a in (0, 1):  # the buckets around, as far as the grid goes
+            low, high = F.greatest(F.col(f"b{a}") - ring, F.lit(0)), F.least(F.col(f"b{a}") + ring, F.lit(cells - 1))
+            free = [F.when(low > 0, F.col(f"x{a}") - low / cells), F.when(high < cells - 1, (high + 1) / cells - F.col(f"x{a}"))]
+            near = near.withColumn(f"free{a}", F.least(*[F.coalesce(c, F.lit(float("inf"))) for c in free])).withColumn(f"c{a}", F.sequence(low, high))
+        free = F.least("free0", "free1")
+        near = near.select("q", "x0", "x1", "b0", "b1", (free * free).alias("free"), F.explode("c0").alias("c0"), "c1").withColumn("c1", F.explode("c1"))
+        met = near.join(sites.withColumnsRenamed({"b0": "c0", "b1": "c1"}), ["c0", "c1"], "left").withColumn("power", square(0) + square(1) - F.col("w"))
+        best = met.groupBy("q", "x0", "x1", "b0", "b1", "free").agg(F.min(F.when(F.col("i").isNotNull(), F.struct("power", "i"))).alias("best"))
+        best = _cut(best.withColumn("done", F.coalesce(F.col("best.power") < F.col("free") - found["top"], F.col("free") == float("inf"))))
+        done = best.where("done").select("q", F.col("best.i").alias("i"))
+        out = done if out is None else out.unionByName(done)
+        left = best.where("not done").select("q", "x0", "x1", "b0", "b1")
+        if ring >= cells or left.isEmpty():
+            return out
+        ring *= 2
 
 
 def vjp_weights(edges: DataFrame, values: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import running, with_total
+
 
 # --- weighted points (batch?, i, x0.., w) ---
 def dirac_mass(diracs: DataFrame, batch: list[str] = []) -> DataFrame:  # noqa: B006
@@ -17,9 +19,8 @@ def dirac_mass(diracs: DataFrame, batch: list[str] = []) -> DataFrame:  # noqa:
 
 
 def normalize_diracs(diracs: DataFrame, batch: list[str] = [], target: float = 1.0) -> DataFrame:  # noqa: B006
-    each = Window.partitionBy(*batch)
-    w = F.col("w") * target / F.sum("w").over(each) if "w" in diracs.columns else F.lit(target) / F.count("*").over(each)
-    return diracs.withColumn("w", w)
+    weighed = diracs if "w" in diracs.columns else diracs.withColumn("w", F.lit(1.0))
+    return with_total(weighed, "w", "__mass", batch).withColumn("w", F.col("w") * target / F.col("__mass")).drop("__mass")
 
 
 def batch_slice(table: DataFrame, index) -> DataFrame:
@@ -60,15 +61,14 @@ def grid_mass_gradient(tiles: DataFrame, d: int, det: float = 1.0) -> DataFrame:
 
 
 def normalize_grid(tiles: DataFrame, d: int, target: float = 1.0) -> DataFrame:
-    total = F.sum(F.col("value") * tile_volume(d)).over(Window.partitionBy())
-    return tiles.withColumn("value", F.col("value") * target / total)
+    total = with_total(tiles, F.col("value") * tile_volume(d), "__mass")
+    return total.withColumn("value", F.col("value") * target / F.col("__mass")).drop("__mass")
 
 
 def cumulated(bins: DataFrame) -> DataFrame:
     """(k, before) in one dimension, and a last row with the total."""
     mass = F.col("value") * (F.col("hi") - F.col("lo"))
-    before = F.sum(mass).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
-    rows = bins.select("k", F.coalesce(before, F.lit(0.0)).alias("before"))
+    rows = running(bins.select("k", mass.alias("mass")), "mass", ["k"], [], "before", "upto").select("k", "before")
     return rows.unionByName(bins.agg((F.max("k") + 1).alias("k"), F.sum(mass).alias("before")))
 
 
@@ -121,8 +121,8 @@ def box_counts(tiles: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def display_blocks(tiles: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(k0, a1, b1): runs of neighbouring tiles above threshold times the largest value, along the last axis."""
-    most = F.max("value").over(Window.partitionBy())
-    kept = tiles.withColumn("most", most).where(F.col("value") > threshold * F.col("most"))
+    most = tiles.agg(F.max("value").alias("most"))
+    kept = tiles.crossJoin(F.broadcast(most)).where(F.col("value") > threshold * F.col("most"))
     order = Window.partitionBy("k0").orderBy("k1")
     start = (F.col("k1") != F.lag("k1", 1, -2).over(order) + 1).cast("int")
     runs = kept.withColumn("start", start).withColumn("run", F.sum("start").over(order))
@@ -140,7 +140,7 @@ def merged_blocks(tiles: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 # --- mixtures of isotropic gaussians (g, c0, c1, sigma, mass) ---
 def normalize_gaussians(g: DataFrame, target: float = 1.0) -> DataFrame:
-    return g.withColumn("mass", F.col("mass") * target / F.sum("mass").over(Window.partitionBy()))
+    return with_total(g, "mass", "__all").withColumn("mass", F.col("mass") * target / F.col("__all")).drop("__all")
 
 
 def convolve_gaussians(g: DataFrame, s: float) -> DataFrame:

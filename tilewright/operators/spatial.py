@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import running
 from .diagram import cell_planes, facets2, vertices
 
 
@@ -22,7 +23,8 @@ def majorants(seeds: DataFrame, cells: int) -> DataFrame:
 def ranks(seeds: DataFrame, cells: int) -> DataFrame:
     """(i, rank): places in bucket order."""
     in_bucket = Window.partitionBy("b0", "b1").orderBy("i")
-    sizes = majorants(seeds, cells).select("b0", "b1", "n").withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("b0", "b1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = majorants(seeds, cells).select("b0", "b1", F.col("n").cast("double").alias("n"))
+    sizes = running(sizes, "n", ["b0", "b1"], [], "before", "upto")
     rows = bucketed(seeds, cells).withColumn("at", F.row_number().over(in_bucket) - 1).join(sizes, ["b0", "b1"])
     return rows.select("i", (F.col("before") + F.col("at")).cast("long").alias("rank"))
 

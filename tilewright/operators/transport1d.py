@@ -1,8 +1,9 @@
 """Transport on a line: diracs (batch, i, x, w) to a grid density (batch, k, lo, hi, value).
 
 Both sides become intervals of the mass axis by running sums; a piece is what a dirac's interval and a bin's share.
-The mass axis is cut into buckets, intervals go to the buckets they touch and meet there by an equi-join; a piece is
-clipped to its bucket, so pieces of one pair only add up. All results are sums of integrals over pieces.
+The mass axis is cut into buckets; an interval is clipped to the buckets it touches. Within a bucket the starts of both
+sides are put in one order: from each start to the next, the last dirac and the last bin to start share a piece, so there
+are as many pieces as starts. All results are sums of integrals over pieces.
 """
 
 from __future__ import annotations
@@ -10,41 +11,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import running
+from ..functions.numeric import running, with_total
 
 BUCKETS = 64
 
 
 def source_intervals(diracs: DataFrame, batch: list[str] = [], presorted: bool = False) -> DataFrame:  # noqa: B006
     """(batch, i, x, w, w0, w1): weights normalised per batch, in the order of (x, i). presorted: x is ascending in i."""
-    mass = Window.partitionBy(*batch)
-    normal = diracs.select(*batch, "i", "x", (F.col("w") / F.sum("w").over(mass)).alias("w"))
+    normal = with_total(diracs.select(*batch, "i", "x", "w"), "w", "__mass", batch)
+    normal = normal.select(*batch, "i", "x", (F.col("w") / F.col("__mass")).alias("w"))
     return running(normal, "w", ["i"] if presorted else ["x", "i"], batch, "w0", "w1")
 
 
 def target_intervals(bins: DataFrame, batch: list[str] = []) -> DataFrame:  # noqa: B006
     """(batch, k, lo, hi, y, m, c0, c1): densities y and masses m of normalised bins, with their cumulated masses."""
     width = F.col("hi") - F.col("lo")
-    mass = F.sum(F.col("value") * width).over(Window.partitionBy(*batch))
-    normal = bins.select(*batch, "k", "lo", "hi", (F.col("value") / mass).alias("y"), (F.col("value") * width / mass).alias("m"))
+    normal, mass = with_total(bins.select(*batch, "k", "lo", "hi", "value"), F.col("value") * width, "__mass", batch), F.col("__mass")
+    normal = normal.select(*batch, "k", "lo", "hi", (F.col("value") / mass).alias("y"), (F.col("value") * width / mass).alias("m"))
     return running(normal, "m", ["lo"], batch, "c0", "c1")
 
 
-def _bucketed(df: DataFrame, start: str, stop: str, buckets: int) -> DataFrame:
-    first = F.least(F.floor(F.col(start) * buckets), F.lit(buckets - 1)).cast("int")
-    last = F.least(F.floor(F.col(stop) * buckets), F.lit(buckets - 1)).cast("int")
-    return df.withColumn("bucket", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.greatest(last, F.lit(0)))))
+def _starts(df: DataFrame, start: str, stop: str, buckets: int, batch: list[str], side: str, payload: list[str]) -> DataFrame:
+    """(batch, bucket, m0, payload): where a row's interval starts in each bucket that it touches."""
+    at = lambda c: F.greatest(F.least(F.floor(F.col(c) * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int")
+    rows = df.where(F.col(stop) > F.col(start)).withColumn("bucket", F.explode(F.sequence(at(start), at(stop))))
+    rows = rows.withColumn("m0", F.greatest(F.col(start), F.col("bucket") / buckets)).where(F.col("m0") < F.col(stop))
+    return rows.select(*batch, "bucket", "m0", F.struct(*payload, F.col(stop).alias("end")).alias(side))
 
 
-def pieces(source: DataFrame, target: DataFrame, batch: list[str] = [], buckets: int = BUCKETS) -> DataFrame:  # noqa: B006
+def pieces(source: DataFrame, target: DataFrame, batch: list[str] = [], buckets: int | None = None) -> DataFrame:  # noqa: B006
     """(batch, i, k, p, w, y, x0, x1): each dirac's share of each bin, from x0 to x1, once per bucket."""
-    a = _bucketed(source, "w0", "w1", buckets)
-    b = _bucketed(target.where("m > 0"), "c0", "c1", buckets)
-    m0 = F.greatest("w0", "c0", F.col("bucket") / buckets)
-    m1 = F.least("w1", "c1", F.when(F.col("bucket") == buckets - 1, F.lit(2.0)).otherwise((F.col("bucket") + 1) / buckets))
-    joined = a.join(b, [*batch, "bucket"]).withColumn("m0", m0).withColumn("m1", m1).where("m1 > m0")
-    at = lambda m: F.col("lo") + F.try_divide(F.col(m) - F.col("c0"), F.col("y"))
-    return joined.select(*batch, "i", "k", F.col("x").alias("p"), "w", "y", at("m0").alias("x0"), at("m1").alias("x1"))
+    buckets = buckets or max(BUCKETS, 4 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a = _starts(source, "w0", "w1", buckets, batch, "d", ["i", "x", "w"])
+    b = _starts(target.where("m > 0"), "c0", "c1", buckets, batch, "b", ["k", "lo", "c0", "y"])
+    both = a.unionByName(b, allowMissingColumns=True)
+    order = Window.partitionBy(*batch, "bucket").orderBy("m0")
+    last = order.rowsBetween(Window.unboundedPreceding, 0)
+    edge = F.when(F.col("bucket") == buckets - 1, F.lit(2.0)).otherwise((F.col("bucket") + 1) / buckets)
+    found = both.select(*batch, "m0", F.lead("m0").over(order).alias("next"), edge.alias("edge"), F.last("d", ignorenulls=True).over(last).alias("d"), F.last("b", ignorenulls=True).over(last).alias("b"))
+    found = found.withColumn("m1", F.least("next", "edge", "d.end", "b.end")).where("m1 > m0 and d is not null and b is not null")
+    at = lambda m: F.col("b.lo") + F.try_divide(F.col(m) - F.col("b.c0"), F.col("b.y"))
+    return found.select(*batch, "d.i", "b.k", F.col("d.x").alias("p"), "d.w", "b.y", at("m0").alias("x0"), at("m1").alias("x1"))
 
 
 def second_moment() -> Column:
@@ -71,12 +78,13 @@ def weight_gradient(parts: DataFrame, batch: list[str] = []) -> DataFrame:  # no
     At the end x of a slice the potential jumps by (x - p)^2 - (x - p')^2, p' the next dirac; phi sums the jumps from
     a slice's own end on, with (x - p)^2 at the last.
     """
-    ends = parts.groupBy(*batch, "i", "p").agg(F.max("x1").alias("end"), F.max("w").alias("w"))
-    order = Window.partitionBy(*batch).orderBy("p", "i")
+    ends = parts.groupBy(*batch, "i", "p").agg(F.max("x1").alias("end"), F.lit(1.0).alias("one"))
+    ranked = running(ends, "one", ["p", "i"], batch, "rank", "after")
+    later = ranked.select(*batch, F.col("rank").alias("after"), F.col("p").alias("next"))
     square = lambda a: (F.col("end") - a) * (F.col("end") - a)
-    jumps = ends.withColumn("next", F.lead("p").over(order)).withColumn("jump", square(F.col("p")) - F.coalesce(square(F.col("next")), F.lit(0.0)))
-    later = order.rowsBetween(0, Window.unboundedFollowing)
-    return jumps.select(*batch, "i", F.sum("jump").over(later).alias("phi"))
+    jumps = ranked.join(later, [*batch, "after"], "left")
+    jumps = jumps.select(*batch, "i", "p", (square(F.col("p")) - F.coalesce(square(F.col("next")), F.lit(0.0))).alias("jump"))
+    return running(with_total(jumps, "jump", "__all", batch), "jump", ["p", "i"], batch, "before", "upto").select(*batch, "i", (F.col("__all") - F.col("before")).alias("phi"))
 
 
 def value_gradient(parts: DataFrame, phi: DataFrame, batch: list[str] = []) -> DataFrame:  # noqa: B006
@@ -88,18 +96,20 @@ def value_gradient(parts: DataFrame, phi: DataFrame, batch: list[str] = []) -> D
 def closed_form_cost(source: DataFrame, target: DataFrame, batch: list[str] = []) -> DataFrame:  # noqa: B006
     """(batch, cost) by prefix moments: a slice's integrals are differences of the target's running moments at its ends.
 
-    The ends find their bins as of their mass, in one sort of ends and bins together.
+    The ends find their bins as of their mass, in one order of ends and bins together, bucket by bucket of the mass axis; a
+    bin stands in each bucket that it touches.
     """
+    buckets = max(BUCKETS, 4 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     moments = target.where("m > 0").withColumn("f1", F.col("y") * (F.col("hi") * F.col("hi") - F.col("lo") * F.col("lo")) / 2).withColumn("f2", F.col("y") * (F.pow("hi", F.lit(3)) - F.pow("lo", F.lit(3))) / 3)
-    before = Window.partitionBy(*batch).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     for f in ("f1", "f2"):
-        moments = moments.withColumn(f + "b", F.coalesce(F.sum(f).over(before), F.lit(0.0)))
+        moments = running(moments, f, ["lo"], batch, f + "b", f + "a")
     bin_ = F.struct("lo", "hi", "y", "c0", "f1b", "f2b")
-    marks = moments.select(*batch, F.col("c0").alias("at"), F.lit(0).alias("kind"), bin_.alias("bin"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("int").alias("side"))
+    of = lambda c: F.greatest(F.least(F.floor(c * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int")
+    marks = moments.select(*batch, F.col("c0").alias("at"), F.lit(0).alias("kind"), bin_.alias("bin"), F.explode(F.sequence(of(F.col("c0")), of(F.col("c1")))).alias("bucket"))
     side = F.explode(F.array(F.struct(F.col("w0").alias("at"), F.lit(-1).alias("side")), F.struct(F.col("w1").alias("at"), F.lit(1).alias("side"))))
-    ends = source.withColumn("e", side).select(*batch, F.col("e.at").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(moments.select(bin_.alias("b")).schema["b"].dataType).alias("bin"), "i", F.col("x").alias("p"), F.col("e.side").alias("side"))
-    order = Window.partitionBy(*batch).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = marks.unionByName(ends).withColumn("b", F.last("bin", ignorenulls=True).over(order)).where("kind = 1")
+    ends = source.withColumn("e", side).select(*batch, F.col("e.at").alias("at"), F.lit(1).alias("kind"), F.col("x").alias("p"), F.col("e.side").alias("side"), of(F.col("e.at")).alias("bucket"))
+    order = Window.partitionBy(*batch, "bucket").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marks.unionByName(ends, allowMissingColumns=True).withColumn("b", F.last("bin", ignorenulls=True).over(order)).where("kind = 1")
     x = F.least(F.col("b.lo") + (F.col("at") - F.col("b.c0")) / F.col("b.y"), F.col("b.hi"))
     lo, y = F.col("b.lo"), F.col("b.y")
     m1 = F.col("b.f1b") + y * (x * x - lo * lo) / 2
