@@ -2,15 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next one's
 docs. All but the last return the columns of documents.
+
+Cases, beside those of each stage's operator: a null or empty text has no words, so the classifier rejects it; a null
+doc_id is kept as any other and is a copy of nothing; ties between copies go to the smallest doc_id, and of rows that
+are equal in doc_id and text one stays; very long texts are handled whole; further columns of documents, whatever their
+names, pass through all stages but the last; empty tables give an empty result; without ratings every document with
+words passes the classifier.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm import bpe, linededup, mixing, neardup, quality
-from tilewright.llm.common import materialize, ready
+from tilewright.llm.common import fresh, materialize, quoted, ready
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,17 +26,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in their first document alone; a document whose lines all go stays, with an empty text."""
-    found = linededup.dedup_lines(docs)
-    text = linededup.kept_text()
+    lines, drops = fresh(docs, "lines"), fresh(docs, "drops")
+    found = linededup.dedup_lines(docs, lines, drops)
+    text = linededup.kept_text(lines, drops)
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return found.select(*[new[c].alias(c) if c in new else f"`{c}`" for c in docs.columns])
+    return found.select(*[new[c].alias(c) if c in new else quoted(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group that shares four fifths of its five-word shingles; documents without words stay."""
-    groups = neardup.near_groups(docs, words=5, percent=80)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    groups = materialize(neardup.near_groups(docs, words=5, percent=80), "near-groups")
+    of, number = fresh(docs, "gone_id"), fresh(docs, "row_number")
+    gone = groups.where("not kept").select(F.col("doc_id").alias(of)).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col(of), "left_anti")
+    # An id that several rows have is one document to the operator: of its rows, equal texts stay once.
+    again = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias("n")).where("n > 1").select(of)
+    once = left.join(again, F.col("doc_id") == F.col(of), "left_anti")
+    same = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy("doc_id")
+    several = left.join(again, F.col("doc_id") == F.col(of), "left_semi").withColumn(number, F.row_number().over(same))
+    return once.unionByName(several.where(F.col(number) == 1).drop(number))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +53,10 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) in place of the text; they decode to it."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    return encoded.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    """Token ids (little-endian unsigned 32-bit integers) in place of the text, and the hash of the bytes that they decode to."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    digests = (F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded"))
+    return coded.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", *digests)
 
 
 STAGES = [
