@@ -24,8 +24,16 @@ def test_generators(spark):
     for cloud, d in ((clouds.lines_cloud(spark, 50), 2), (clouds.planes_cloud(spark, 50), 3)):
         x = np.array([[r[f"x{a}"] for a in range(d)] for r in cloud.collect()])
         assert x.shape == (50, d) and (x > 0).all() and (x < 1).all()
-    assert clouds.synthetic_image(spark, 8).count() == 64
-    assert clouds.four_gaussians(spark).count() == 4
+    w = [r["w"] for r in clouds.uniform_cloud(spark, 400, 2, 1, 0.5).collect()]
+    assert max(map(abs, w)) <= 0.5 / 400 < 2.2 * max(map(abs, w))
+    x = np.array([[r["x0"], r["x1"]] for r in clouds.lines_cloud(spark, 2000, 3, 1, 0.0).collect()])
+    spread = np.linalg.svd(x - x.mean(0))[1]
+    assert spread[1] < 0.05 * spread[0] and np.ptp(x, 0).max() > 0.45  # one chord, across the square
+    x = np.array([[r["x0"], r["x1"], r["x2"]] for r in clouds.planes_cloud(spark, 2000, 3, 1, 0.0).collect()])
+    assert np.linalg.svd(x - x.mean(0))[1][2] < 0.01 * len(x) ** 0.5
+    pixels = {(r["k0"], r["k1"]): r["value"] for r in clouds.synthetic_image(spark, 50, True).collect()}
+    assert len(pixels) == 2500 and pixels[35, 10] == 0 and pixels[15, 35] > 3 and pixels[20, 20] > 5
+    assert clouds.four_gaussians(spark).agg({"mass": "sum"}).first()[0] == pytest.approx(1)
 
 
 def test_display(spark, tmp_path):
@@ -52,5 +60,11 @@ def test_streaming(spark, tmp_path):
     sink.start(stream, str(tmp_path / "state")).awaitTermination()
     assert len(seen) == 2 and sink.sums[:, 2].sum() == 200
     assert np.abs(sink.plan.cell_masses - sink.plan.target_masses).max() < 1e-5
+    before, again = sink.sums.copy(), StreamingTransport(Box([0, 0], [1, 1]), 4, state=sink.state)
+    last = spark.read.parquet(*sorted(str(f) for f in (tmp_path / "in").glob("*.parquet"))[1:])
+    again(last, 1)  # after a restart the last batch is run again
+    assert again.sums[:, 2].sum() == 200 or np.allclose(again.sums, before)
+    again(last.limit(0), 2)
+    assert again.sums[:, 2].sum() == sink.sums[:, 2].sum() == 200
     events = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
     assert windowed_mass(events).isStreaming

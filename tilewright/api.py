@@ -21,7 +21,7 @@ __all__ = ["BlackBox", "Box", "Direct", "Image", "Iterative", "OtNotConverged",
 class PowerDiagram:
     """A 2D diagram of seeds (i, x0, x1, w) in a convex domain (k, n0, n1, off), the unit square by default.
 
-    buckets: side of the bucket grid for candidates; without it all pairs of seeds are compared.
+    buckets: side of the bucket grid for candidates; by default so many that a bucket has two seeds. 0 compares all pairs.
     """
 
     def __init__(self, seeds: DataFrame, domain: DataFrame | None = None, buckets: int | None = None):
@@ -30,12 +30,14 @@ class PowerDiagram:
         self.domain = domain if domain is not None else P.unit_box(self.spark, 2)
 
     @cached_property
-    def planes(self) -> DataFrame:
-        return P.cell_planes(self.seeds, self.domain, 2)
+    def facets(self) -> DataFrame:
+        buckets = max(1, int((self.seeds.count() / 2) ** 0.5)) if self.buckets is None else self.buckets
+        return pruned_facets(self.seeds, self.domain, buckets) if buckets else P.facets2(P.cell_planes(self.seeds, self.domain, 2), ["i"])
 
     @cached_property
-    def facets(self) -> DataFrame:
-        return pruned_facets(self.seeds, self.domain, self.buckets) if self.buckets else P.facets2(self.planes, ["i"])
+    def planes(self) -> DataFrame:
+        """Those of the facets: a cell has no need of the others."""
+        return self.facets.select("i", "k", "n0", "n1", "off", "g")
 
     @cached_property
     def placed(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import gauss_legendre
-from .diagram import add_planes, facets2, measures2, moments, placed2
+from .diagram import add_planes, facets2, measures2, moments, placed2, vertices
 
 NODES = 32
 
@@ -17,16 +17,32 @@ def tile_planes(tiles: DataFrame) -> DataFrame:
     return tiles.select("k0", "k1", F.inline(F.array(side(-101, -1.0, 0.0, -F.col("lo0")), side(-102, 1.0, 0.0, F.col("hi0")), side(-103, 0.0, -1.0, -F.col("lo1")), side(-104, 0.0, 1.0, F.col("hi1")))))
 
 
+def cell_boxes(planes: DataFrame) -> DataFrame:
+    """(id, lo0, hi0, lo1, hi1): a box around each cell; an open cell's has no end."""
+    corner = vertices(facets2(planes, ["i"]), ["i"])
+    far = F.lit(1e300)
+    ends = [e for a in (0, 1) for e in (F.min(F.coalesce(f"x{a}", -far)).alias(f"lo{a}"), F.max(F.coalesce(f"x{a}", far)).alias(f"hi{a}"))]
+    return corner.groupBy(F.col("i").alias("id")).agg(*ends)
+
+
+def met(planes: DataFrame, boxes: DataFrame, of: list[str], cells: int = 16) -> DataFrame:
+    """(i, of..): cells and pieces (of.., lo0, hi0, lo1, hi1) whose boxes overlap."""
+    from .spatial import overlapping_pairs
+
+    rows = overlapping_pairs(cell_boxes(planes), boxes.select(F.struct(*of).alias("id"), "lo0", "hi0", "lo1", "hi1"), cells)
+    return rows.select(F.col("a").alias("i"), *[F.col(f"b.{c}").alias(c) for c in of])
+
+
 def grid_pieces(planes: DataFrame, tiles: DataFrame) -> DataFrame:
     """(i, k0, k1, mass, s0, s1, r2) of unit density: every piece that a tile cuts out of a cell."""
     keys = ["i", "k0", "k1"]
-    cut = add_planes(planes, tile_planes(tiles), ["i"], ["k0", "k1"])
+    cut = add_planes(planes, tile_planes(tiles), ["i"], ["k0", "k1"], met(planes, tiles, ["k0", "k1"]))
     return moments(measures2(placed2(facets2(cut, keys), None, keys), keys), keys)
 
 
 def grid_moments(planes: DataFrame, tiles: DataFrame) -> DataFrame:
     """(i, mass, s0, s1, r2) for a grid density."""
-    rows = grid_pieces(planes, tiles).join(F.broadcast(tiles.select("k0", "k1", "value")), ["k0", "k1"])
+    rows = grid_pieces(planes, tiles).join(tiles.select("k0", "k1", "value"), ["k0", "k1"])
     return rows.groupBy("i").agg(*[F.sum(F.col("value") * F.col(c)).alias(c) for c in ("mass", "s0", "s1", "r2")])
 
 
@@ -41,7 +57,7 @@ def polytope_moments(planes: DataFrame, polytope: DataFrame, density: float) ->
 
 def triangle_table(nodes: DataFrame, corners: DataFrame) -> DataFrame:
     """(e, x00.., volume, a, b0, b1): corners, signed-free area and the affine density a + b.x of each triangle; flat ones are dropped."""
-    at = corners.join(F.broadcast(nodes), "v")
+    at = corners.join(nodes, "v")
     pick = lambda c, n: F.max(F.when(F.col("c") == c, F.col(n)))
     wide = at.groupBy("e").agg(*[pick(c, f"x{a}").alias(f"x{c}{a}") for c in range(3) for a in range(2)], *[pick(c, "value").alias(f"v{c}") for c in range(3)])
     u0, u1 = F.col("x10") - F.col("x00"), F.col("x11") - F.col("x01")
@@ -66,8 +82,10 @@ def mesh_masses(planes: DataFrame, nodes: DataFrame, corners: DataFrame) -> Data
 
     walls = tri.select("e", F.inline(F.array(side(-101, 0, 1), side(-102, 1, 2), side(-103, 2, 0))))
     keys = ["i", "e"]
-    rows = moments(measures2(placed2(facets2(add_planes(planes, walls, ["i"], ["e"]), keys), None, keys), keys), keys)
-    rows = rows.join(F.broadcast(tri.select("e", "a", "b0", "b1")), "e")
+    boxes = tri.select("e", *[f(*[f"x{c}{a}" for c in range(3)]).alias(n) for a in (0, 1) for f, n in ((F.least, f"lo{a}"), (F.greatest, f"hi{a}"))])
+    cut = add_planes(planes, walls, ["i"], ["e"], met(planes, boxes, ["e"]))
+    rows = moments(measures2(placed2(facets2(cut, keys), None, keys), keys), keys)
+    rows = rows.join(tri.select("e", "a", "b0", "b1"), "e")
     return rows.groupBy("i").agg(F.sum(F.col("a") * F.col("mass") + F.col("b0") * F.col("s0") + F.col("b1") * F.col("s1")).alias("mass"))
 
 

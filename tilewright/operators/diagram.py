@@ -48,12 +48,15 @@ def cell_planes(seeds: DataFrame, domain: DataFrame, d: int, pairs: DataFrame |
     return bisectors(seeds, d, pairs).unionByName(walls)
 
 
-def add_planes(planes: DataFrame, more: DataFrame, keys: list[str], of: list[str]) -> DataFrame:
-    """Planes of the cells cut again: each plane set of more (of.., k, n.., off) makes its own piece of every cell."""
-    names = more.select(*of).distinct()
-    cells = planes.select(*keys).distinct()
-    own = planes.crossJoin(F.broadcast(names))
-    new = cells.crossJoin(F.broadcast(more)).withColumn("g", F.lit(None).cast("double"))
+def add_planes(planes: DataFrame, more: DataFrame, keys: list[str], of: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """Planes of the cells cut again: each plane set of more (of.., k, n.., off) makes its own piece of the cells.
+
+    pairs (keys.., of..) says which cells a set may meet; without it every one meets all.
+    """
+    if pairs is None:
+        pairs = planes.select(*keys).distinct().crossJoin(more.select(*of).distinct())
+    own = planes.join(pairs, keys)
+    new = pairs.join(more, of).withColumn("g", F.lit(None).cast("double"))
     return own.unionByName(new.select(*own.columns))
 
 

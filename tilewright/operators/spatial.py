@@ -63,16 +63,22 @@ def ring_pairs(seeds: DataFrame, cells: int, ring: int = 1) -> DataFrame:
 
 def open_buckets(seeds: DataFrame, facets: DataFrame, cells: int, ring: int) -> DataFrame:
     """(i, b0, b1): buckets beyond the ring that may still cut cell i: for one of its vertices v, the least squared
-    distance to the bucket's box less its largest weight is below |v - p|^2 - w."""
-    boxes = majorants(seeds, cells)
+    distance to the bucket's box less its largest weight is below |v - p|^2 - w. A vertex meets the buckets within the
+    reach that the largest of all weights leaves it."""
+    boxes, top = majorants(seeds, cells), seeds.agg(F.max("w")).first()[0] or 0.0
     v = vertices(facets, ["i"]).select("i", F.col("x0").alias("v0"), F.col("x1").alias("v1"))
     v = v.join(bucketed(seeds, cells).select("i", "x0", "x1", "w", F.col("b0").alias("h0"), F.col("b1").alias("h1")), "i")
     power = (F.col("v0") - F.col("x0")) * (F.col("v0") - F.col("x0")) + (F.col("v1") - F.col("x1")) * (F.col("v1") - F.col("x1")) - F.col("w")
-    cell = v.groupBy("i", "h0", "h1").agg(F.max(power).alias("power"), F.collect_list(F.struct("v0", "v1", power.alias("p"))).alias("vs"))
-    away = lambda p, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - p, p - F.col(hi))
-    cuts = lambda s: away(s["v0"], "lo0", "hi0") * away(s["v0"], "lo0", "hi0") + away(s["v1"], "lo1", "hi1") * away(s["v1"], "lo1", "hi1") - F.col("top") < s["p"] - 1e-12
-    far = F.greatest(F.abs(F.col("b0") - F.col("h0")), F.abs(F.col("b1") - F.col("h1"))) > ring
-    return cell.join(boxes, far).where(F.exists("vs", cuts)).select("i", "b0", "b1")
+    v = v.withColumn("power", power).where(F.col("power") + top > 0)
+    reach = F.sqrt(F.col("power") + top)
+    inside = lambda c: F.least(F.greatest(F.floor(c * cells), F.lit(0)), F.lit(cells - 1)).cast("int")
+    for a in (0, 1):
+        v = v.withColumn(f"c{a}", F.sequence(inside(F.col(f"v{a}") - reach), inside(F.col(f"v{a}") + reach)))
+    v = v.select("i", "h0", "h1", "v0", "v1", "power", F.explode("c0").alias("b0"), "c1").withColumn("b1", F.explode("c1"))
+    v = v.where(F.greatest(F.abs(F.col("b0") - F.col("h0")), F.abs(F.col("b1") - F.col("h1"))) > ring)
+    away = lambda p, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - F.col(p), F.col(p) - F.col(hi))
+    cuts = away("v0", "lo0", "hi0") * away("v0", "lo0", "hi0") + away("v1", "lo1", "hi1") * away("v1", "lo1", "hi1") - F.col("top") < F.col("power") - 1e-12
+    return v.join(boxes, ["b0", "b1"]).where(cuts).select("i", "b0", "b1").distinct()
 
 
 def pruned_facets(seeds: DataFrame, domain: DataFrame, cells: int, ring: int = 1) -> DataFrame:

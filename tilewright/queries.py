@@ -519,17 +519,20 @@ def lloyd_step(spark, sf_dir):
     return lloyd_1d(roles.balance_diracs(spark, sf_dir), roles.balance_bins(spark, sf_dir), 1).select("i", "x")
 
 
-@query()
+@query("with @tiles select 16::bigint as n_points, $[1.0] as mass, true as inside, true as stationary, $[sum(value * (hi0 - lo0) * (hi1 - lo1))] as target_mass from tiles")
 def quantization(spark, sf_dir):
-    """Sixteen points that quantize the sales grid."""
+    """Sixteen points that quantize the sales grid: they hold all its mass, and moving to their cells' barycenters would save nothing."""
     import pyarrow as pa
 
-    from .plans.problem import Image
+    from .plans.problem import Image, Iterative, OtProblem, SumOfDiracs
     from .plans.quantize import quantization as lloyd
 
-    tiles = roles.sales_tiles(spark, sf_dir).toPandas()
+    tiles = roles.sales_tiles(spark, sf_dir).toPandas()  # a grid of 4 x 5
     values = np.zeros((4, 5))
     values[tiles["k0"], tiles["k1"]] = tiles["value"]
-    start = np.stack(np.meshgrid(np.arange(4) / 4 + 0.1, np.arange(4) / 4 + 0.13), -1).reshape(-1, 2)
-    x = lloyd(Image(values, [0, 0], [1, 1]), start, tol=5e-2)
-    return spark.createDataFrame(pa.table({"i": np.arange(16), "x0": x[:, 0], "x1": x[:, 1]}))
+    grid, start = Image(values, [0, 0], [1, 1]), np.stack(np.meshgrid(np.arange(4) / 4 + 0.1, np.arange(4) / 4 + 0.13), -1).reshape(-1, 2)
+    x = lloyd(grid, start, tol=5e-2, spark=spark)
+    plan = OtProblem(SumOfDiracs(x), grid, spark).solve(Iterative(tol=1e-6))
+    saved = (plan.cell_masses * ((plan.barycenters - x) ** 2).sum(1)).sum() / plan.cost
+    inside, stationary = bool(((x > 0) & (x < 1)).all()), bool(saved <= 5e-2**2)
+    return spark.createDataFrame(pa.table({"n_points": [len(x)], "mass": [float(plan.cell_masses.sum())], "inside": [inside], "stationary": [stationary], "target_mass": [grid.mass]}))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.problem import Iterative, OtProblem, PlanNd, SumOfDiracs
@@ -22,28 +22,54 @@ def binned(points: DataFrame, cells: int) -> DataFrame:
 
 
 class StreamingTransport:
-    """foreachBatch sink: keeps sums of all points so far by tile, and the plan of their distribution to the target."""
+    """foreachBatch sink: sums of all points so far by tile, and the plan of their distribution to the target.
 
-    def __init__(self, target, cells: int = 16, settings: Iterative | None = None, on_plan: Callable[[int, PlanNd], None] | None = None):
-        self.target, self.cells, self.settings, self.on_plan = target, cells, settings or Iterative(tol=1e-6), on_plan
+    After each batch the sums and weights are written under its number, in the folder state. A batch starts from what
+    the last one before it left there, so one that is run again counts once and a restart goes on where it stopped.
+    """
+
+    def __init__(self, target, cells: int = 16, settings: Iterative | None = None, on_plan: Callable[[int, PlanNd], None] | None = None, state: str | None = None):
+        self.target, self.cells, self.settings, self.on_plan, self.state = target, cells, settings or Iterative(tol=1e-6), on_plan, state
         self.sums, self.weights, self.plan = np.zeros((cells * cells, 3)), np.zeros(cells * cells), None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.state:
+            self._load(batch.sparkSession, batch_id)
         rows = binned(batch, self.cells).toPandas()
-        if rows.empty:
-            return
         for i, x0, x1, w in rows[["i", "x0", "x1", "w"]].itertuples(index=False):
             self.sums[int(i)] += [x0 * w, x1 * w, w]
         live = np.flatnonzero(self.sums[:, 2] > 0)
-        x = self.sums[live, :2] / self.sums[live, 2:]
-        problem = OtProblem(SumOfDiracs(x, self.sums[live, 2]), self.target)
-        start = Iterative(**{**self.settings.__dict__, "weights0": self.weights[live]})
-        self.plan = problem.solve(start)
-        self.weights[live] = self.plan.weights
-        if self.on_plan is not None:
+        if len(rows):
+            x = self.sums[live, :2] / self.sums[live, 2:]
+            problem = OtProblem(SumOfDiracs(x, self.sums[live, 2]), self.target)
+            start = Iterative(**{**self.settings.__dict__, "weights0": self.weights[live]})
+            self.plan = problem.solve(start)
+            self.weights[live] = self.plan.weights
+        if self.state:
+            self._save(batch.sparkSession, batch_id)
+        if len(rows) and self.on_plan is not None:
             self.on_plan(batch_id, self.plan)
 
+    def _saved(self, spark: SparkSession) -> list[int]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.state)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        whole = [n for n in names if n.startswith("batch=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.state}/{n}/_SUCCESS"))]
+        return sorted(int(n[6:]) for n in whole)
+
+    def _load(self, spark: SparkSession, batch_id: int) -> None:
+        self.sums[:], self.weights[:] = 0, 0
+        earlier = [b for b in self._saved(spark) if b < batch_id]
+        if earlier:
+            for r in spark.read.parquet(f"{self.state}/batch={earlier[-1]}").collect():  # one row a tile
+                self.sums[r["i"]], self.weights[r["i"]] = (r["s0"], r["s1"], r["w"]), r["weight"]
+
+    def _save(self, spark: SparkSession, batch_id: int) -> None:
+        rows = [(int(i), *map(float, self.sums[i]), float(self.weights[i])) for i in np.flatnonzero(self.sums[:, 2] > 0)]
+        spark.createDataFrame(rows, "i int, s0 double, s1 double, w double, weight double").coalesce(1).write.mode("overwrite").parquet(f"{self.state}/batch={batch_id}")
+
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
+        self.state = self.state or f"{checkpoint.rstrip('/')}-sums"
         return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
