@@ -18,6 +18,8 @@ MOST_SEEDS = 5_000_000
 PER_BUCKET = 1.5
 #: Cells cut together: their polygons fit the processor's cache.
 TOGETHER = 4096
+#: Pairs of a cell and a block that are looked at together.
+FRONTIER = 50_000
 #: Pairs of cell and candidate held at once.
 PAIRS = 2_000_000
 
@@ -117,6 +119,46 @@ class Grid:
         self.order = np.argsort(key, kind="stable")
         self.start = np.searchsorted(key[self.order], np.arange(self.side * self.side + 1))
 
+    def tops(self, w: np.ndarray) -> list[np.ndarray]:
+        """The largest weight in each bucket, then in blocks of 2 x 2 buckets, 4 x 4, .., up to one block."""
+        full = self.start[:-1] < self.start[1:]
+        side = 1 << (self.side - 1).bit_length()
+        top = np.full(self.side * self.side, -np.inf)
+        top[full] = np.maximum.reduceat(w[self.order], self.start[:-1][full])
+        out = [np.full((side, side), -np.inf)]
+        out[0][: self.side, : self.side] = top.reshape(self.side, self.side)
+        while len(out[-1]) > 1:
+            n = len(out[-1]) // 2
+            out.append(out[-1].reshape(n, 2, n, 2).max((1, 3)))
+        return out
+
+    def open(self, tops: list[np.ndarray], part: Polygons, p: np.ndarray, pw: np.ndarray, ring: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, bucket coordinates): buckets beyond the ring whose seeds may still cut a polygon.
+
+        For one of its vertices v the least squared distance to the block less its largest weight is below |v - p|^2 - w.
+        Blocks are opened from the largest down.
+        """
+        v = part.v[:, : int(part.n.max(initial=0))]
+        corner = np.arange(v.shape[1])[None] < part.n[:, None]
+        power = np.where(corner, ((v - p[:, None]) ** 2).sum(2) - pw[:, None], -np.inf)
+        row = np.flatnonzero(part.n > 0)
+        at = np.zeros((len(row), 2), np.int64)
+        for level in range(len(tops) - 1, -1, -1):
+            keep = np.empty(len(row), bool)
+            for a in range(0, len(row), FRONTIER):
+                r, b = row[a : a + FRONTIER], at[a : a + FRONTIER]
+                lo, hi = self.lo + (b << level) * self.step, self.lo + np.minimum((b + 1) << level, self.side) * self.step
+                away = np.maximum(np.maximum(lo[:, None] - v[r], v[r] - hi[:, None]), 0)
+                keep[a : a + FRONTIER] = ((away**2).sum(2) - tops[level][b[:, 0], b[:, 1]][:, None] < power[r] - 1e-15).any(1)
+            row, at = row[keep], at[keep]
+            if level:
+                row = np.repeat(row, 4)
+                at = (2 * at[:, None] + np.array([[0, 0], [0, 1], [1, 0], [1, 1]])).reshape(-1, 2)
+                inside = (at << (level - 1) < self.side).all(1)
+                row, at = row[inside], at[inside]
+        far = np.abs(at - self.bucket(p)[row]).max(1) > ring
+        return row[far], at[far, 0], at[far, 1]
+
     def bucket(self, x: np.ndarray) -> np.ndarray:
         return np.clip(((x - self.lo) / self.step).astype(np.int64), 0, self.side - 1)
 
@@ -134,80 +176,80 @@ class Grid:
             seeds.append(self.order[np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum())])
         return np.concatenate(rows), np.concatenate(seeds)
 
-    def reach(self, x: np.ndarray, ring: int) -> np.ndarray:
-        """Distance within which near() has every seed."""
-        b = self.bucket(x)
-        lo, hi = self.lo + (b - ring) * self.step, self.lo + (b + ring + 1) * self.step
-        gaps = [np.where(b[:, a] - ring <= 0, np.inf, x[:, a] - lo[:, a]) for a in (0, 1)] + [np.where(b[:, a] + ring >= self.side - 1, np.inf, hi[:, a] - x[:, a]) for a in (0, 1)]
-        return np.maximum(np.minimum.reduce(gaps), 0)
 
+def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids: np.ndarray, grid: Grid | None = None, reach: int = 2, tops: list[np.ndarray] | None = None) -> Polygons:
+    """Polygons of the cells mine of the seeds (x, w) in the domain.
 
-def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids: np.ndarray, grid: Grid | None = None, reach: int = 2) -> Polygons:
-    """Polygons of the cells mine of the seeds (x, w) in the domain."""
+    The seeds of the rings around cut first. Their cells contain the true ones, so a bucket that cannot cut those cannot
+    cut these; the seeds of the buckets that can are the rest.
+    """
     grid = grid or Grid(x)
+    tops = tops or grid.tops(w)
     if len(mine) > TOGETHER:
-        parts = [cells(x, w, mine[a : a + TOGETHER], ring, ids, grid) for a in range(0, len(mine), TOGETHER)]
+        parts = [cells(x, w, mine[a : a + TOGETHER], ring, ids, grid, reach, tops) for a in range(0, len(mine), TOGETHER)]
         widest = max(part.v.shape[1] for part in parts)
         for part in parts:
             part._widen(widest)
         return Polygons(*(np.concatenate([getattr(part, f) for part in parts]) for f in ("v", "ids", "n")))
-    done = Polygons.of(ring, ids, len(mine))
-    todo, heaviest = np.arange(len(mine)), float(w.max())
-    while len(todo):
-        few = max(1, int(PAIRS / min((2 * reach + 1) ** 2 * PER_BUCKET, len(x))))
-        if len(todo) > few:  # wide rings: fewer cells at a time
-            for a in range(0, len(todo), few):
-                at = todo[a : a + few]
-                part = cells(x, w, mine[at], ring, ids, grid, reach)
-                k = max(done.v.shape[1], part.v.shape[1])
-                for y in (done, part):
-                    y._widen(k)
-                done.v[at], done.ids[at], done.n[at] = part.v, part.ids, part.n
+    p, pw = x[mine], w[mine]
+    part = Polygons.of(ring, ids, len(mine))
+    _cut_by(part, x, w, mine, *grid.near(p, reach))
+    row, b0, b1 = grid.open(tops, part, p, pw, reach)
+    bucket = b0 * grid.side + b1
+    many = grid.start[bucket + 1] - grid.start[bucket]
+    order = np.argsort(row, kind="stable")
+    row, bucket, many = row[order], bucket[order], many[order]
+    upto, a = np.cumsum(many), 0
+    while a < len(row):  # whole cells, so many pairs at a time
+        b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")), a + 1)
+        b = int(np.searchsorted(row, row[b - 1], "right"))
+        n = many[a:b]
+        seed = grid.order[np.repeat(grid.start[bucket[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        _cut_by(part, x, w, mine, np.repeat(row[a:b], n), seed)
+        a = b
+    return part
+
+
+def _cut_by(part: Polygons, x: np.ndarray, w: np.ndarray, mine: np.ndarray, row: np.ndarray, seed: np.ndarray) -> None:
+    """Cut the polygons row by the planes towards the seeds, the nearest first."""
+    keep = (seed != mine[row]) & (part.n[row] > 0)
+    row, seed = row[keep], seed[keep]
+    if not len(row):
+        return
+    some, row = np.unique(row, return_inverse=True)
+    of = mine[some]
+    p, pw = x[of], w[of]
+    d = x[seed] - p[row]
+    g = np.sqrt((d * d).sum(1))
+    # Of seeds at one place the heaviest, then the first, has the cell.
+    same = g == 0
+    lost = np.unique(row[same & ((w[seed] > pw[row]) | ((w[seed] == pw[row]) & (seed < of[row])))])
+    row, seed, d, g = row[~same], seed[~same], d[~same], g[~same]
+    away = (g + (pw[row] - w[seed]) / g) / 2  # signed distance of the plane
+    far = _radius(part, x[mine], some)
+    near = away < far[row]
+    row, seed, d, g, away = row[near], seed[near], d[near], g[near], away[near]
+    order = np.lexsort((away, row))
+    row, seed, d, g, away = row[order], seed[order], d[order], g[order], away[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row]
+    by_rank = np.argsort(rank.astype(np.int32), kind="stable")
+    ends = np.searchsorted(rank[by_rank], np.arange(int(rank.max(initial=-1)) + 2))
+    for r in range(len(ends) - 1):
+        at = by_rank[ends[r] : ends[r + 1]]
+        at = at[away[at] < far[row[at]]]
+        if not len(at):  # candidates come by distance: what is out of reach now stays so
             break
-        p, pw = x[mine[todo]], w[mine[todo]]
-        part = Polygons.of(ring, ids, len(todo))
-        row, seed = grid.near(p, reach)
-        keep = seed != mine[todo][row]
-        row, seed = row[keep], seed[keep]
-        d = x[seed] - p[row]
-        g = np.sqrt((d * d).sum(1))
-        # Of seeds at one place the heaviest, then the first, has the cell.
-        same = g == 0
-        lost = np.unique(row[same & ((w[seed] > pw[row]) | ((w[seed] == pw[row]) & (seed < mine[todo][row])))])
-        row, seed, d, g = row[~same], seed[~same], d[~same], g[~same]
-        away = (g + (pw[row] - w[seed]) / g) / 2  # signed distance of the plane
-        span = np.ptp(away) if len(away) else 0.0
-        order = np.argsort(row + (away - away.min(initial=np.inf)) * (0.5 / max(span, 1e-300)))  # by row, then by distance
-        row, seed, d, g, away = row[order], seed[order], d[order], g[order], away[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(todo)))[row]
-        by_rank = np.argsort(rank.astype(np.int32), kind="stable")
-        ends = np.searchsorted(rank[by_rank], np.arange(int(rank.max(initial=-1)) + 2))
-        far = np.full(len(todo), np.inf)
-        for r in range(len(ends) - 1):
-            at = by_rank[ends[r] : ends[r + 1]]
-            at = at[away[at] < far[row[at]]]
-            if not len(at):  # candidates come by distance: what is out of reach now stays so
-                break
-            n = d[at] / g[at, None]
-            part.cut(row[at], n, (n * p[row[at]]).sum(1) + away[at], seed[at])
-            if r >= 5 and (r < 12 and r % 3 == 2 or r % 6 == 5):
-                far = _radius(part, p)
-        part.n[lost] = 0
-        r, room = _radius(part, p), grid.reach(p, reach)
-        safe = (part.n == 0) | np.isinf(room) | ((room > r) & ((room - r) ** 2 - heaviest >= r * r - pw))
-        k = max(done.v.shape[1], part.v.shape[1])
-        for y in (done, part):
-            if y.v.shape[1] < k:
-                y._widen(k)
-        at = todo[safe]
-        done.v[at], done.ids[at], done.n[at] = part.v[safe], part.ids[safe], part.n[safe]
-        todo, reach = todo[~safe], reach * 2
-    return done
-
-
-def _radius(part: Polygons, p: np.ndarray) -> np.ndarray:
-    d = part.v - p[:, None]
-    return np.sqrt(np.where(np.arange(part.v.shape[1])[None] < part.n[:, None], (d * d).sum(2), 0).max(1))
+        n = d[at] / g[at, None]
+        part.cut(some[row[at]], n, (n * p[row[at]]).sum(1) + away[at], seed[at])
+        if r >= 5 and (r < 12 and r % 3 == 2 or r % 6 == 5):
+            far = _radius(part, x[mine], some)
+    part.n[some[lost]] = 0
+
+
+def _radius(part: Polygons, p: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How far each polygon's furthest vertex is from its seed."""
+    d = part.v[rows] - p[rows][:, None]
+    return np.sqrt(np.where(np.arange(part.v.shape[1])[None] < part.n[rows][:, None], (d * d).sum(2), 0).max(1))
 
 
 # --- densities: each yields per cell [mass, s0, s1, r2] and weights its facets ---
@@ -342,12 +384,17 @@ class Sweeper:
             raise ValueError(f"{len(x)} seeds are more than are sent to every executor; use operators.spatial.pruned_facets")
         self.x, self.density, self.spark = np.ascontiguousarray(x, float), density, spark
         self.ring, self.ids = (ring, ids) if ring is not None else box_ring()
-        self.grid, self.n_diagrams = Grid(self.x), 0
+        self.grid, self.n_diagrams, self.last = Grid(self.x), 0, None
         if spark is not None:
             self.tasks = tasks or max(1, min(spark.sparkContext.defaultParallelism, len(x) // 500))
             self.shared = spark.sparkContext.broadcast((self.x, self.grid, self.ring, self.ids, density))
 
     def __call__(self, w: np.ndarray) -> Sweep:
+        if self.last is None or not np.array_equal(self.last[0], w):
+            self.last = w.copy(), self._swept(w)
+        return self.last[1]
+
+    def _swept(self, w: np.ndarray) -> Sweep:
         self.n_diagrams += 1
         n = len(self.x)
         if self.spark is None or self.tasks == 1:
