@@ -6,8 +6,8 @@ from tilewright.operators import diagram as P
 from tilewright.operators import distributions as D
 from tilewright.operators import spatial as I
 from tilewright.operators import transport1d as T
-from tilewright.plans import multilevel
-from tilewright.plans.problem import BlackBox, Box, Direct, Image, Iterative, OtNotConverged, OtProblem, Polygon, SumOfDiracs, SumOfGaussians, laplacian_solve, ot_solve, position_derivative_of_weights, residual, w2
+from tilewright.plans import multilevel, sweep3
+from tilewright.plans.problem import BlackBox, Box, Direct, Image, Iterative, Mesh, OtNotConverged, OtProblem, Polygon, SumOfDiracs, SumOfGaussians, laplacian_solve, ot_solve, position_derivative_of_weights, residual, w2
 from tilewright.plans.quantize import lloyd_1d, quantization, uniform_in_support
 from tilewright.plans.sweep import GridDensity, Pointwise, Sweeper, Uniform, box_ring, cells
 
@@ -266,3 +266,48 @@ def test_residual_families_reach_the_same_plan():
     for wrong in ({"residual": "cubic"}, {"residual": -1.0}, {"on_failure": "shrug"}, {"continuation": "maybe"}, {"weights0": x[:, 0], "ot_plan": want}):
         with pytest.raises(ValueError):
             Iterative(**wrong)
+
+
+def test_solid_cells_and_solve():
+    rng = np.random.default_rng(2)
+    box, ids = box_ring([0, 0, 0], [1, 2, 1])
+    x = rng.uniform(0, 1, (200, 3)) * [1, 2, 1]
+    w = rng.normal(0, 0.01, 200)
+    m, (i, k, c, _) = sweep3.sweep(x, w, np.arange(200), box, ids, Uniform())
+    assert m[:, 0].sum() == pytest.approx(2) and m[:, 1:4].sum(0) == pytest.approx([1, 2, 1]) and (m[:, 0] == 0).any()
+    assert m[:, 4].sum() == pytest.approx(2 * (1 / 3 + 4 / 3 + 1 / 3))
+    full = np.zeros((200, 200))
+    np.add.at(full, (i, k), c)
+    assert np.abs(full - full.T).max() < 1e-9
+    e = 1e-6
+    moved = sweep3.sweep(x, w + e * (np.arange(200) == i[0]), np.arange(200), box, ids, Uniform())[0]
+    want = -full[:, i[0]]
+    want[i[0]] = full[i[0]].sum()
+    assert (moved[:, 0] - m[:, 0]) / e == pytest.approx(want, abs=1e-3)
+    twice = np.concatenate([x[:20], x[:3]])
+    m = sweep3.sweep(twice, np.zeros(23), np.arange(23), box, ids, Uniform())[0]
+    assert m[:, 0].sum() == pytest.approx(2) and (m[20:, 0] == 0).all()
+    plan = ot_solve(SumOfDiracs(x[:40]), Box([0, 0, 0], [1, 2, 1]), tol=1e-10)
+    assert plan.converged and plan.cell_masses == pytest.approx(np.full(40, 1 / 40)) and plan.barycenters.shape == (40, 3)
+
+
+def test_mesh_target():
+    rng = np.random.default_rng(6)
+    k = np.arange(36).reshape(6, 6)
+    nodes = np.stack(np.meshgrid(np.linspace(0, 1, 6), np.linspace(0, 1, 6), indexing="ij"), -1).reshape(-1, 2)
+    triangles = np.concatenate([np.stack([k[:-1, :-1], k[1:, :-1], k[:-1, 1:]], -1).reshape(-1, 3), np.stack([k[1:, 1:], k[1:, :-1], k[:-1, 1:]], -1).reshape(-1, 3)])
+    flat = Mesh(nodes, triangles, np.ones(36))
+    x = rng.uniform(0.05, 0.95, (30, 2))
+    a, b = (ot_solve(SumOfDiracs(x), t, tol=1e-10) for t in (flat, Box([0, 0], [1, 1])))
+    assert a.weights == pytest.approx(b.weights, abs=1e-7) and a.cost == pytest.approx(b.cost)
+    slope = Mesh(nodes, triangles, nodes[:, 0])  # f = x
+    assert slope.mass == pytest.approx(0.5) and slope.spread(3).mass == pytest.approx(0.5)
+    whole = Sweeper(x, slope.density(), *slope.domain())(np.zeros(30)).moments.sum(0)
+    assert whole == pytest.approx([1, 2 / 3, 0.5, 2 * (1 / 4 + 1 / 6)])
+    bump = Mesh(nodes, triangles, (np.arange(36) == 14).astype(float))  # most of the mesh is empty
+    plan = ot_solve(SumOfDiracs(x), bump, tol=1e-8)
+    assert plan.converged and plan.cell_masses == pytest.approx(np.full(30, 1 / 30), abs=1e-7)
+    steps, wide = next(bump.wider())
+    assert steps > 1 and wide.values.max() <= 3 * bump.mass
+    with pytest.raises(ValueError):
+        Mesh(nodes, triangles, np.ones(7))

@@ -104,6 +104,9 @@ class Polygons:
 
 
 def box_ring(lo=(0.0, 0.0), hi=(1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of a rectangle in turn and the planes between them; of a box the two ends, and its six planes."""
+    if len(lo) == 3:
+        return np.array([lo, hi], float), np.array([-1, -3, -5, -2, -4, -6])
     return np.array([[lo[0], lo[1]], [hi[0], lo[1]], [hi[0], hi[1]], [lo[0], hi[1]]], float), np.array([-3, -2, -4, -1])
 
 
@@ -319,7 +322,7 @@ class Pointwise:
             d = [t[:, i] - t[:, (i + 1) % 3] for i in range(3)]
             longest = np.sqrt(np.max([(x * x).sum(1) for x in d], 0))
             small = (longest <= self.size) | (level == self.most)
-            self._add(out, own[small], t[small])
+            _by_rule(out, own[small], t[small], self.value_at)
             t, own = t[~small], own[~small]
             if not len(t):
                 break
@@ -331,18 +334,83 @@ class Pointwise:
         line = sum(w * self.value_at(a + u * (b - a)) for u, w in _LEG)
         return out, (row, ids, line * np.linalg.norm(b - a, axis=1), (a + b) / 2)
 
-    def _add(self, out, own, t) -> None:
-        u, w = t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
-        area = (u[:, 0] * w[:, 1] - u[:, 1] * w[:, 0]) / 2
-        for corner, weight in _DEGREE5:
-            for i in range(1 if corner == 1 / 3 else 3):
-                other = (1 - corner) / 2
-                bary = np.full(3, other)
-                bary[i] = corner
-                x = np.einsum("k,mkd->md", bary, t)
-                f = weight * area * self.value_at(x)
-                for c, g in enumerate((f, f * x[:, 0], f * x[:, 1], f * (x * x).sum(1))):
-                    out[:, c] += np.bincount(own, g, len(out))
+
+def _by_rule(out: np.ndarray, own: np.ndarray, t: np.ndarray, value_at) -> None:
+    """Add the integrals over triangles to their owners' [mass, s0, s1, r2]; exact up to degree 5."""
+    area = _turn(t) / 2
+    for corner, weight in _DEGREE5:
+        for i in range(1 if corner == 1 / 3 else 3):
+            other = (1 - corner) / 2
+            bary = np.full(3, other)
+            bary[i] = corner
+            x = np.einsum("k,mkd->md", bary, t)
+            f = weight * area * value_at(x)
+            for c, g in enumerate((f, f * x[:, 0], f * x[:, 1], f * (x * x).sum(1))):
+                out[:, c] += np.bincount(own, g, len(out))
+
+
+class MeshDensity:
+    """Affine on each triangle (corners [t, 3, 2], values [t, 3]); triangles are cut by the cells whose boxes they touch."""
+
+    def __init__(self, corners, values):
+        self.corners, self.values = np.asarray(corners, float), np.asarray(values, float)
+        turned = _turn(self.corners) < 0
+        self.corners[turned], self.values[turned] = self.corners[turned][:, ::-1], self.values[turned][:, ::-1]
+        full = (_turn(self.corners) > 0) & (np.abs(self.values).max(1) > 0)
+        self.corners, self.values = self.corners[full], self.values[full]
+        self.low, self.high = self.corners.min(1), self.corners.max(1)
+        # f(x) = value of the first corner + slope.(x - first corner)
+        u, v = self.corners[:, 1] - self.corners[:, 0], self.corners[:, 2] - self.corners[:, 0]
+        self.slope = np.linalg.solve(np.stack([u, v], 1), (self.values[:, 1:] - self.values[:, :1])[..., None])[..., 0]
+        side = max(1, int((len(self.corners) / 2) ** 0.5))
+        self.origin, self.side = self.low.min(0), side
+        self.step = np.maximum((self.high.max(0) - self.origin) / side, 1e-300)
+        triangle, bucket = self._spread(self.low, self.high)
+        order = np.argsort(bucket, kind="stable")
+        self.inside, self.start = triangle[order], np.searchsorted(bucket[order], np.arange(side * side + 1))
+
+    def _spread(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(box, bucket): the buckets that each box touches."""
+        a, b = (np.clip(((x - self.origin) / self.step).astype(np.int64), 0, self.side - 1) for x in (low, high))
+        size = b - a + 1
+        many = size.prod(1)
+        own = np.repeat(np.arange(len(low)), many)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        return own, (a[own, 0] + nth // size[own, 1]) * self.side + a[own, 1] + nth % size[own, 1]
+
+    def at(self, triangle: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return self.values[triangle, 0] + (self.slope[triangle] * (x - self.corners[triangle, 0])).sum(1)
+
+    def integrate(self, polygons: Polygons) -> tuple[np.ndarray, tuple]:
+        m, live = len(polygons.n), np.flatnonzero(polygons.n > 0)
+        valid = (np.arange(polygons.v.shape[1])[None] < polygons.n[:, None])[live]
+        v = np.where(valid[..., None], polygons.v[live], np.nan)
+        low, high = np.nanmin(v, 1), np.nanmax(v, 1)
+        own, bucket = self._spread(low, high)
+        many = self.start[bucket + 1] - self.start[bucket]
+        triangle = self.inside[np.repeat(self.start[bucket] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        pair = np.unique(np.repeat(own, many) * len(self.corners) + triangle)
+        own, triangle = pair // len(self.corners), pair % len(self.corners)
+        touch = ((low[own] <= self.high[triangle]) & (high[own] >= self.low[triangle])).all(1)
+        own, triangle = live[own[touch]], triangle[touch]
+        pieces, rows = polygons.take(own), np.arange(len(own))
+        for a in range(3):
+            p, q = self.corners[triangle, a], self.corners[triangle, (a + 1) % 3]
+            normal = np.stack([q[:, 1] - p[:, 1], p[:, 0] - q[:, 0]], 1)
+            pieces.cut(rows, normal, (normal * p).sum(1), np.full(len(own), -1001))
+        row, ids, p, q = pieces.edges()
+        out = np.zeros((m, 4))
+        _by_rule(out, own[row], np.stack([pieces.v[row, 0], p, q], 1), lambda x: self.at(triangle[row], x))
+        inner = ids >= 0
+        row, ids, p, q = row[inner], ids[inner], p[inner], q[inner]
+        middle = (p + q) / 2
+        return out, (own[row], ids, self.at(triangle[row], middle) * np.linalg.norm(q - p, axis=1), middle)
+
+
+def _turn(t: np.ndarray) -> np.ndarray:
+    """Twice the signed areas of triangles."""
+    u, v = t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
+    return u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
 
 
 class GaussianMixture(Pointwise):
@@ -376,6 +444,12 @@ def local_sweep(x, w, mine, ring, ids, density, grid=None) -> tuple[np.ndarray,
     return moments, (mine[row], k, size / (2 * gap), middle)
 
 
+def _solid(x: np.ndarray):
+    from . import sweep3
+
+    return sweep3.Grid3(x), sweep3.sweep
+
+
 class Sweeper:
     """Diagrams of fixed positions for changing weights, one Spark job each; or on the driver without a session."""
 
@@ -384,7 +458,8 @@ class Sweeper:
             raise ValueError(f"{len(x)} seeds are more than are sent to every executor; use operators.spatial.pruned_facets")
         self.x, self.density, self.spark = np.ascontiguousarray(x, float), density, spark
         self.ring, self.ids = (ring, ids) if ring is not None else box_ring()
-        self.grid, self.n_diagrams, self.last = Grid(self.x), 0, None
+        self.n_diagrams, self.last = 0, None
+        self.grid, self.local = (Grid(self.x), local_sweep) if self.x.shape[1] == 2 else _solid(self.x)
         if spark is not None:
             self.tasks = tasks or max(1, min(spark.sparkContext.defaultParallelism, len(x) // 500))
             self.shared = spark.sparkContext.broadcast((self.x, self.grid, self.ring, self.ids, density))
@@ -398,23 +473,23 @@ class Sweeper:
         self.n_diagrams += 1
         n = len(self.x)
         if self.spark is None or self.tasks == 1:
-            moments, edges = local_sweep(self.x, w, np.arange(n), self.ring, self.ids, self.density, self.grid)
+            moments, edges = self.local(self.x, w, np.arange(n), self.ring, self.ids, self.density, self.grid)
             return Sweep(moments, *edges)
-        shared, weights, tasks = self.shared, self.spark.sparkContext.broadcast(w), self.tasks
+        shared, weights, tasks, local, d = self.shared, self.spark.sparkContext.broadcast(w), self.tasks, self.local, self.x.shape[1]
 
         def run(batches):
             for batch in batches:
                 for t in batch.column(0).to_pylist():
                     x, grid, ring, ids, density = shared.value
                     mine = np.sort(grid.order[len(x) * t // tasks : len(x) * (t + 1) // tasks])
-                    moments, (i, k, c, middle) = local_sweep(x, weights.value, mine, ring, ids, density, grid)
+                    moments, (i, k, c, middle) = local(x, weights.value, mine, ring, ids, density, grid)
                     blobs = [mine.astype("<i8"), moments, i.astype("<i8"), k.astype("<i8"), c, middle]
                     yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(b).tobytes()], pa.binary()) for b in blobs], names=[f"b{j}" for j in range(6)])
 
         rows = self.spark.range(0, tasks, 1, tasks).mapInArrow(run, ", ".join(f"b{j} binary" for j in range(6))).toArrow().to_pylist()
         weights.unpersist()
-        moments = np.zeros((n, 4))
+        moments = np.zeros((n, d + 2))
         for r in rows:
-            moments[np.frombuffer(r["b0"], "<i8")] = np.frombuffer(r["b1"]).reshape(-1, 4)
+            moments[np.frombuffer(r["b0"], "<i8")] = np.frombuffer(r["b1"]).reshape(-1, d + 2)
         cat = lambda j, t: np.concatenate([np.frombuffer(r[f"b{j}"], t) for r in rows])
-        return Sweep(moments, cat(2, "<i8"), cat(3, "<i8"), cat(4, float), cat(5, float).reshape(-1, 2))
+        return Sweep(moments, cat(2, "<i8"), cat(3, "<i8"), cat(4, float), cat(5, float).reshape(-1, d))

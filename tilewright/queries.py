@@ -496,6 +496,44 @@ def newton_masses(spark, sf_dir):
     return spark.createDataFrame(pa.table({"i": seeds["i"].to_numpy(), "mass": plan.cell_masses, "target_mass": plan.target_masses}))
 
 
+def _solved(spark, seeds, target, d=2, **settings):
+    """Cell masses of the solved plan beside the target masses."""
+    import pyarrow as pa
+
+    from .plans.problem import SumOfDiracs, ot_solve
+
+    rows = seeds.select("i", *[f"x{a}" for a in range(d)]).orderBy("i").toPandas()  # the solve's vectors are the driver's
+    plan = ot_solve(SumOfDiracs(rows[[f"x{a}" for a in range(d)]].to_numpy()), target, spark, **settings)
+    return spark.createDataFrame(pa.table({"i": rows["i"].to_numpy(), "mass": plan.cell_masses, "target_mass": plan.target_masses}))
+
+
+@query("select s_suppkey as i, $[1.0 / count(*) over ()] as mass, $[1.0 / count(*) over ()] as target_mass from supplier")
+def newton_supplier_masses(spark, sf_dir):
+    """One seed a supplier; the sweeps run on the executors."""
+    from .plans.problem import Box
+
+    return _solved(spark, roles.supplier_seeds(spark, sf_dir), Box([0, 0], [1, 1]), tol=1e-9)
+
+
+@query("with @seeds select i, $[1.0 / count(*) over ()] as mass, $[1.0 / count(*) over ()] as target_mass from seed")
+def newton_solid_masses(spark, sf_dir):
+    """The same in three dimensions."""
+    from .plans.problem import Box
+
+    return _solved(spark, _seeds(spark, sf_dir), Box([0, 0, 0], [1, 1, 1]), 3, tol=1e-9)
+
+
+@query("with @seeds select i, $[1.0 / count(*) over ()] as mass, $[1.0 / count(*) over ()] as target_mass from seed")
+def newton_mesh_masses(spark, sf_dir):
+    """To a density that is affine on triangles."""
+    from .plans.problem import Mesh
+
+    nodes, corners = (t.toPandas() for t in roles.grid_mesh(spark, sf_dir))  # 30 nodes, 40 triangles
+    nodes, corners = nodes.sort_values("v"), corners.sort_values(["e", "c"])
+    mesh = Mesh(nodes[["x0", "x1"]].to_numpy(), corners["v"].to_numpy().reshape(-1, 3), corners["value"].to_numpy().reshape(-1, 3))
+    return _solved(spark, _seeds(spark, sf_dir), mesh, tol=1e-9)
+
+
 @query("with @seeds select i, $[(i * i % 7) - avg(i * i % 7) over ()] as product from seed")
 def laplacian_solve(spark, sf_dir):
     """L x for the solution x of L x = rhs: rhs less its mean, on a diagram without empty cells."""
