@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from .operators import densities as Q
 from .operators import diagram as P
 from .operators.spatial import pruned_facets
-from .plans.problem import BlackBox, Box, Direct, Image, Iterative, Mesh, OtNotConverged, OtProblem, Polygon, SumOfDiracs, SumOfGaussians, laplacian_solve, ot_solve, plan, residual, w2
+from .plans.problem import BlackBox, Box, Direct, Image, Iterative, Mesh, OtNotConverged, OtProblem, Polygon, Polytope, SumOfDiracs, SumOfGaussians, laplacian_solve, ot_solve, plan, residual, w2
 from .plans.quantize import quantization
 from .sources.display import Scene, write_convergence_html
 
-__all__ = ["BlackBox", "Box", "Direct", "Image", "Iterative", "Mesh", "OtNotConverged", "OtProblem", "Polygon", "PowerDiagram", "Scene", "SumOfDiracs", "SumOfGaussians", "Voronoi", "laplacian_solve", "ot_solve", "plan", "quantization", "residual", "w2", "write_convergence_html"]
+__all__ = ["BlackBox", "Box", "Direct", "Image", "Iterative", "Mesh", "OtNotConverged", "OtProblem", "Polygon", "Polytope", "PowerDiagram", "Scene", "SumOfDiracs", "SumOfGaussians", "Voronoi", "laplacian_solve", "ot_solve", "plan", "quantization", "residual", "w2", "write_convergence_html"]
 
 
 class PowerDiagram:

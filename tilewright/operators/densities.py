@@ -69,9 +69,8 @@ def triangle_table(nodes: DataFrame, corners: DataFrame) -> DataFrame:
     return wide.withColumn("volume", F.abs("det") / 2).withColumn("a", F.col("v0") - F.col("b0") * F.col("x00") - F.col("b1") * F.col("x01"))
 
 
-def mesh_masses(planes: DataFrame, nodes: DataFrame, corners: DataFrame) -> DataFrame:
-    """(i, mass) for a density that is affine on each triangle."""
-    tri = triangle_table(nodes, corners)
+def triangle_walls(tri: DataFrame) -> DataFrame:
+    """(e, k, n0, n1, off): the three sides of each triangle; k from -101 on."""
     sign = F.signum("det")
 
     def side(k: int, a: int, b: int):
@@ -80,7 +79,60 @@ def mesh_masses(planes: DataFrame, nodes: DataFrame, corners: DataFrame) -> Data
         n0, n1 = sign * e1 / length, -sign * e0 / length
         return F.struct(F.lit(k).cast("long").alias("k"), n0.alias("n0"), n1.alias("n1"), (n0 * F.col(f"x{a}0") + n1 * F.col(f"x{a}1")).alias("off"))
 
-    walls = tri.select("e", F.inline(F.array(side(-101, 0, 1), side(-102, 1, 2), side(-103, 2, 0))))
+    return tri.select("e", F.inline(F.array(side(-101, 0, 1), side(-102, 1, 2), side(-103, 2, 0))))
+
+
+def facet_boxes(facets: DataFrame) -> DataFrame:
+    """(id, lo0, hi0, lo1, hi1): a box around each bounded facet."""
+    at = lambda t, a: F.col("off") * F.col(f"n{a}") + (-1 if a == 0 else 1) * F.col(t) * F.col(f"n{1 - a}")
+    ends = [f(at("lo", a), at("hi", a)).alias(n) for a in (0, 1) for f, n in ((F.least, f"lo{a}"), (F.greatest, f"hi{a}"))]
+    return facets.select(F.struct("i", "k").alias("id"), *ends)
+
+
+def mesh_facet_masses(facets: DataFrame, nodes: DataFrame, corners: DataFrame, cells: int = 16) -> DataFrame:
+    """(i, k, mass): the integral of a density that is affine on each triangle along each bounded facet between two seeds.
+
+    A facet is clipped by the triangles that its box touches. One that lies along a side has the triangle on its inner side.
+    """
+    from .spatial import overlapping_pairs
+
+    tri = triangle_table(nodes, corners)
+    inner = facets.where("k >= 0")
+    boxes = tri.select(F.col("e").alias("id"), *[f(*[f"x{c}{a}" for c in range(3)]).alias(n) for a in (0, 1) for f, n in ((F.least, f"lo{a}"), (F.greatest, f"hi{a}"))])
+    met_ = overlapping_pairs(facet_boxes(inner), boxes, cells).select("a.i", "a.k", F.col("b").alias("e"))
+    walls = triangle_walls(tri).select("e", F.col("n0").alias("h0"), F.col("n1").alias("h1"), F.col("off").alias("hoff"))
+    c = F.col("h1") * F.col("n0") - F.col("h0") * F.col("n1")
+    cosine = F.col("h0") * F.col("n0") + F.col("h1") * F.col("n1")
+    rows = inner.join(met_, ["i", "k"]).join(walls, "e").withColumns({"c": c, "cosine": cosine, "r": F.col("hoff") - F.col("off") * cosine})
+    along = F.abs("c") <= 1e-14
+    clipped = rows.groupBy("i", "k", "e", "n0", "n1", "off", "lo", "hi").agg(
+        F.max(F.when(F.col("c") < -1e-14, F.try_divide("r", "c"))).alias("from"),
+        F.min(F.when(F.col("c") > 1e-14, F.try_divide("r", "c"))).alias("to"),
+        F.min(F.when(along, F.when((F.abs("r") <= 1e-12) & (F.col("cosine") > 0), F.lit(1.0)).when(F.abs("r") <= 1e-12, F.lit(-1.0)).otherwise(F.col("r")))).alias("beside"),
+    )
+    a, b = F.greatest("lo", "from"), F.least("hi", "to")
+    clipped = clipped.withColumns({"a": a, "b": b}).where("b > a and coalesce(beside, 1) > 0")
+    middle = (F.col("a") + F.col("b")) / 2
+    x0, x1 = F.col("off") * F.col("n0") - middle * F.col("n1"), F.col("off") * F.col("n1") + middle * F.col("n0")
+    clipped = clipped.select("i", "k", "e", (F.col("b") - F.col("a")).alias("length"), x0.alias("m0"), x1.alias("m1")).join(tri.select("e", F.col("a").alias("f"), "b0", "b1"), "e")
+    return clipped.groupBy("i", "k").agg(F.sum(F.col("length") * (F.col("f") + F.col("b0") * F.col("m0") + F.col("b1") * F.col("m1"))).alias("mass"))
+
+
+def gaussian_facet_masses(facets: DataFrame, gaussians: DataFrame, n: int = NODES) -> DataFrame:
+    """(i, k, mass): the integral of a mixture along each bounded facet between two seeds, at Gauss-Legendre nodes."""
+    nodes = facets.sparkSession.createDataFrame(gauss_legendre(n), "u double, wt double")
+    rows = facets.where("k >= 0").crossJoin(F.broadcast(nodes)).crossJoin(gaussians)
+    t = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("u")
+    d0, d1 = F.col("off") * F.col("n0") - t * F.col("n1") - F.col("c0"), F.col("off") * F.col("n1") + t * F.col("n0") - F.col("c1")
+    s2 = F.col("sigma") * F.col("sigma")
+    value = F.col("mass") * F.exp(-(d0 * d0 + d1 * d1) / (2 * s2)) / (2 * F.pi() * s2)
+    return rows.groupBy("i", "k").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("wt") * value).alias("mass"))
+
+
+def mesh_masses(planes: DataFrame, nodes: DataFrame, corners: DataFrame) -> DataFrame:
+    """(i, mass) for a density that is affine on each triangle."""
+    tri = triangle_table(nodes, corners)
+    walls = triangle_walls(tri)
     keys = ["i", "e"]
     boxes = tri.select("e", *[f(*[f"x{c}{a}" for c in range(3)]).alias(n) for a in (0, 1) for f, n in ((F.least, f"lo{a}"), (F.greatest, f"hi{a}"))])
     cut = add_planes(planes, walls, ["i"], ["e"], met(planes, boxes, ["e"]))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARALLEL = 1e-14
@@ -134,6 +134,28 @@ def vertices(facets: DataFrame, keys: list[str]) -> DataFrame:
     return facets.select(*keys, "k", (F.col("off") * F.col("n0") - F.col("lo") * F.col("n1")).alias("x0"), (F.col("off") * F.col("n1") + F.col("lo") * F.col("n0")).alias("x1"))
 
 
+def simplices(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., k, x00, x01, x10, x11, x20, x21, area): the triangle from the cell's point to each facet; areas are signed and add up."""
+    end = lambda t: [F.col("off") * F.col("n0") - F.col(t) * F.col("n1"), F.col("off") * F.col("n1") + F.col(t) * F.col("n0")]
+    corner = [F.col("p0"), F.col("p1"), *end("lo"), *end("hi")]
+    return placed.select(*keys, "k", *[c.alias(f"x{j // 2}{j % 2}") for j, c in enumerate(corner)], (F.col("h") * (F.col("t1") - F.col("t0")) / 2).alias("area"))
+
+
+def vertex_gradient(facets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., k, grad0, grad1): a bounded cell's area by the vertex from which facet k goes on: across the line from the vertex before to the one after."""
+    end = lambda t: [F.col("off") * F.col("n0") - F.col(t) * F.col("n1"), F.col("off") * F.col("n1") + F.col(t) * F.col("n0")]
+    (a0, a1), (b0, b1) = end("lo"), end("hi")
+    own = facets.select(*keys, "k", a0.alias("v0"), a1.alias("v1"), b0.alias("w0"), b1.alias("w1"), ((b1 - a1) / 2).alias("g0"), ((a0 - b0) / 2).alias("g1"))
+    # The facet before ends where this one starts; of a cell's facets its direction is the one before in angle.
+    turn = Window.partitionBy(*keys).orderBy("angle")
+    back = Window.partitionBy(*keys)
+    angle = F.atan2(F.col("w1") - F.col("v1"), F.col("w0") - F.col("v0"))
+    rows = own.withColumn("angle", angle)
+    for g in ("g0", "g1"):
+        rows = rows.withColumn(f"last{g}", F.max_by(g, "angle").over(back)).withColumn(f"before{g}", F.lag(g).over(turn))
+    return rows.select(*keys, "k", *[(F.col(f"g{a}") + F.coalesce(f"beforeg{a}", f"lastg{a}")).alias(f"grad{a}") for a in (0, 1)])
+
+
 def bounded(facets: DataFrame, keys: list[str]) -> DataFrame:
     return facets.groupBy(*keys).agg(F.min((F.col("lo").isNotNull() & F.col("hi").isNotNull()).cast("int")).alias("is_bounded"), F.count("*").alias("n_facets"))
 

@@ -407,6 +407,28 @@ def gaussian_density_masses(spark, sf_dir):
     return Q.gaussian_masses(P.facets2(_planes(spark, sf_dir), ["i"]), roles.region_gaussians(spark, sf_dir))
 
 
+@query("with @seeds, @facets, @sums select i, k::bigint as k, $[h * (t1 - t0) / 2] as area, $[off * n0 - lo * n1] as x10, $[off * n1 + lo * n0] as x11 from pf where hi - lo > 1e-9")
+def cell_simplices(spark, sf_dir):
+    return P.simplices(_placed(spark, sf_dir).where("hi - lo > 1e-9"), ["i"]).select("i", "k", "area", "x10", "x11")
+
+
+@query("""with @seeds, @facets, v as (select i, k, off * n0 - lo * n1 as x, off * n1 + lo * n0 as y, off * n0 - hi * n1 as u, off * n1 + hi * n0 as w from fa where hi - lo > 1e-9),
+p as (select b.i, b.k, arg_min(struct_pack(x := a.x, y := a.y), (a.u - b.x) ** 2 + (a.w - b.y) ** 2) as before, any_value(b.u) as u, any_value(b.w) as w from v b join v a on a.i = b.i and a.k <> b.k group by b.i, b.k)
+select i, k::bigint as k, $[(w - before.y) / 2] as grad0, $[(before.x - u) / 2] as grad1 from p""", 5)
+def measure_vertex_gradient(spark, sf_dir):
+    return P.vertex_gradient(P.facets2(_planes(spark, sf_dir), ["i"]).where("hi - lo > 1e-9"), ["i"])
+
+
+@query("with @seeds, @facets, @tris, wl as (select e, sign(det) * (qy - ay) / l as h0, -sign(det) * (qx - ax) / l as h1, ax, ay from (select *, sqrt((qx - ax) ** 2 + (qy - ay) ** 2) as l from (select e, det, x00 as ax, x01 as ay, x10 as qx, x11 as qy from tri union all select e, det, x10, x11, x20, x21 from tri union all select e, det, x20, x21, x00, x01 from tri))), cr as (select fa.i, fa.k, wl.e, fa.n0, fa.n1, fa.off, lo, hi, h1 * n0 - h0 * n1 as c, h0 * ax + h1 * ay - off * (h0 * n0 + h1 * n1) as r from fa, wl where fa.k >= 0), cp as (select i, k, e, n0, n1, off, greatest(lo, max(r / c) filter (c < -1e-14)) as a, least(hi, min(r / c) filter (c > 1e-14)) as b, min(r) filter (abs(c) <= 1e-14) as par from cr group by i, k, e, n0, n1, off, lo, hi) select i, cp.k::bigint as k, $[sum((cp.b - cp.a) * (tri.a + b0 * (off * n0 - (cp.a + cp.b) / 2 * n1) + b1 * (off * n1 + (cp.a + cp.b) / 2 * n0)))] as mass from cp join tri using (e) where cp.b > cp.a and coalesce(par, 1) > 0 group by i, cp.k", 5)
+def mesh_facet_masses(spark, sf_dir):
+    return Q.mesh_facet_masses(P.facets2(_planes(spark, sf_dir), ["i"]), *roles.grid_mesh(spark, sf_dir))
+
+
+@query("with @seeds, @facets, @gauss, " + _GL + " select i, k::bigint as k, $[sum((hi - lo) * wt * mass * exp(-((off * n0 - (lo + (hi - lo) * u) * n1 - c0) ** 2 + (off * n1 + (lo + (hi - lo) * u) * n0 - c1) ** 2) / (2 * sigma ** 2)) / (2 * pi() * sigma ** 2))] as mass from fa, gauss, gl where k >= 0 group by i, k", 5)
+def gaussian_facet_masses(spark, sf_dir):
+    return Q.gaussian_facet_masses(P.facets2(_planes(spark, sf_dir), ["i"]), roles.region_gaussians(spark, sf_dir))
+
+
 # --- candidates ---
 _SUPPLIER = "sup as (select s_suppkey as i, (s_acctbal + 1000) / 11000 as x0, ((s_suppkey * 7919) % 10007 + 0.5) / 10007.0 as x1 from supplier), bu as (select *, least(greatest(floor(x0 * 8), 0), 7)::int as b0, least(greatest(floor(x1 * 8), 0), 7)::int as b1 from sup)"
 
