@@ -35,16 +35,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group that shares four fifths of its five-word shingles; documents without words stay."""
-    groups = materialize(neardup.near_groups(docs, words=5, percent=80), "near-groups")
-    of, number = fresh(docs, "gone_id"), fresh(docs, "row_number")
-    gone = groups.where("not kept").select(F.col("doc_id").alias(of)).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col(of), "left_anti")
-    # An id that several rows have is one document to the operator: of its rows, equal texts stay once.
-    again = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias("n")).where("n > 1").select(of)
-    once = left.join(again, F.col("doc_id") == F.col(of), "left_anti")
-    same = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy("doc_id")
-    several = left.join(again, F.col("doc_id") == F.col(of), "left_semi").withColumn(number, F.row_number().over(same))
-    return once.unionByName(several.where(F.col(number) == 1).drop(number))
+    of, least, n, number = (fresh(docs, c) for c in ("group_id", "group_kept", "group_rows", "row_number"))
+    groups = materialize(neardup.near_groups(docs, words=5, percent=80).where("doc_id is not null").select("doc_id", "kept"), "near-groups")
+    judged = groups.groupBy(F.col("doc_id").alias(of)).agg(F.min("kept").alias(least), F.count("*").alias(n))
+    left = docs.join(judged.hint("merge"), F.col("doc_id") == F.col(of), "left").where(F.coalesce(F.col(least), F.lit(True)))
+    if not judged.where(F.col(n) > 1).isEmpty():
+        # An id that several rows have is one document to the operator: of its rows, equal texts stay once.
+        same = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy("doc_id")
+        left = left.withColumn(number, F.row_number().over(same)).where(F.col(of).isNull() | (F.col(number) == 1))
+    return left.select(*[quoted(c) for c in docs.columns])
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

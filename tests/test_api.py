@@ -57,3 +57,30 @@ def test_diagram(spark):
     assert [sum(e["c"] * (sol[i] - sol[e["k"]]) for e in edges if e["i"] == i) for i in range(12)] == pytest.approx([i - 5.5 for i in range(12)], abs=1e-8)
     heavier = spark.createDataFrame([(i, 10.0 if i == 4 else 0.0) for i in range(12)], "i long, w double")
     assert {r["i"]: r["area"] for r in v.with_weights(heavier).measures.collect()}[4] == pytest.approx(1)
+
+
+def test_polytope_is_its_polygon():
+    from tilewright.api import Polygon, Polytope
+
+    cut = Polytope([[-1, 0], [0, -1], [1, 1], [1, 0]], [0, 0, 1, 5])  # the last one says nothing more
+    assert cut.mass == pytest.approx(0.5) and cut.mass == pytest.approx(Polygon([[0, 0], [1, 0], [0, 1]]).mass)
+    for open_ in ([[-1, 0], [0, -1], [-1, -1]], [[1, 0], [-1, 0]]):
+        with pytest.raises(ValueError):
+            Polytope(open_, [1] * len(open_))
+
+
+def test_transport_outputs():
+    from tilewright.api import Box, SumOfDiracs, ot_solve
+
+    plan = ot_solve(SumOfDiracs([[0.25, 0.5], [0.75, 0.5]]), Box([0, 0], [1, 1]))
+    cost, centres, masses = plan.transport()
+    assert cost == pytest.approx(1 / 48 + 1 / 12) and masses == pytest.approx([0.5, 0.5]) and centres == pytest.approx(np.array([[0.25, 0.5], [0.75, 0.5]]))
+    assert plan.cost_and_position_grad()[1] == pytest.approx(np.zeros((2, 2)), abs=1e-9)
+
+
+def test_default_diagram_is_pruned_and_the_same(spark):
+    x = np.random.default_rng(1).uniform(size=(150, 2))
+    w = np.random.default_rng(2).normal(0, 0.01, 150)
+    seeds = spark.createDataFrame([(i, *map(float, p), float(v)) for i, (p, v) in enumerate(zip(x, w, strict=True))], "i long, x0 double, x1 double, w double")
+    a, b = ({r["i"]: r["area"] for r in PowerDiagram(seeds, buckets=k).measures.collect()} for k in (None, 0))
+    assert a == pytest.approx(b, abs=1e-12)
