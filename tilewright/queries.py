@@ -126,24 +126,29 @@ def ot1d_batched(spark, sf_dir):
     return T.cost(T.pieces(T.source_intervals(roles.order_diracs(spark, sf_dir), batch), T.target_intervals(roles.event_bins(spark, sf_dir), batch), batch), batch)
 
 
+DIM = 64
+
+
 def _angles(spark):
-    return spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 1.0), (2, 0.6, 0.8), (3, -0.8, 0.6)], "batch long, n0 double, n1 double")
+    """Four directions of the embeddings' space: (batch, n0 .. n63)."""
+    n = np.cos(np.arange(1, 5)[:, None] * np.arange(1, DIM + 1)[None]) * (2 / DIM) ** 0.5
+    return spark.createDataFrame([(b, *map(float, row)) for b, row in enumerate(n)], "batch long, " + ", ".join(f"n{j} double" for j in range(DIM)))
 
 
 def _projection(spark, sf_dir):
-    points = roles.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding")[0].cast("double").alias("x0"), F.col("embedding")[1].cast("double").alias("x1"), F.lit(1.0).alias("w"))
-    source = T.source_intervals(T.projected(points, _angles(spark), ["x0", "x1"]), ["batch"])
+    points = roles.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), *[F.col("embedding")[j].cast("double").alias(f"x{j}") for j in range(DIM)], F.lit(1.0).alias("w"))
+    source = T.source_intervals(T.projected(points, _angles(spark), [f"x{j}" for j in range(DIM)]), ["batch"])
     bins = spark.range(8).select(F.col("id").cast("int").alias("k"), (F.col("id") / 4.0 - 1).alias("lo"), ((F.col("id") + 1) / 4.0 - 1).alias("hi"), (1.0 + F.col("id") % 3).alias("value"))
     target = T.target_intervals(_angles(spark).select("batch").crossJoin(F.broadcast(bins)), ["batch"])
     return T.pieces(source, target, ["batch"])
 
 
-_PROJECTED = """with angle as (select * from (values (0, 1.0, 0.0), (1, 0.0, 1.0), (2, 0.6, 0.8), (3, -0.8, 0.6)) v(batch, n0, n1)),
-d as (select batch, vec_id as i, 0.0 + embedding[1]::double * n0::double + embedding[2]::double * n1::double as x, n0::double as n0, n1::double as n1 from embeddings, angle),
+_PROJECTED = f"""with angle as (select b as batch, list_transform(range(1, {DIM + 1}), lambda j: cos((b + 1) * j) * sqrt(2.0 / {DIM})) as n from range(4) r(b)),
+d as (select batch, vec_id as i, list_dot_product(embedding::double[], n) as x, n from embeddings, angle),
 b as (select k, k / 4.0 - 1 as lo, (k + 1) / 4.0 - 1 as hi, (1.0 + k % 3) / sum((1.0 + k % 3) / 4.0) over () as y from range(8) r(k)),
 t as (select *, coalesce(sum(y / 4.0) over (order by lo rows between unbounded preceding and 1 preceding), 0)::double as c0, (sum(y / 4.0) over (order by lo rows unbounded preceding))::double as c1 from b),
 s as (select *, (row_number() over (partition by batch order by x, i) - 1) / count(*) over (partition by batch)::double as w0, row_number() over (partition by batch order by x, i) / count(*) over (partition by batch)::double as w1 from d),
-pc as (select batch, i, n0, n1, x as p, y::double as y, lo + (greatest(w0, c0) - c0) / y::double as x0, lo + (least(w1, c1) - c0) / y::double as x1 from s join t on w0 < c1 and c0 < w1)
+pc as (select batch, i, n, x as p, y::double as y, lo + (greatest(w0, c0) - c0) / y::double as x0, lo + (least(w1, c1) - c0) / y::double as x1 from s join t on w0 < c1 and c0 < w1)
 """
 
 
@@ -152,9 +157,9 @@ def ot1d_projected(spark, sf_dir):
     return T.cost(_projection(spark, sf_dir), ["batch"])
 
 
-@query(_PROJECTED + "select i, $[sum(n0 * 2 * y * (p * (x1 - x0) - (x1 * x1 - x0 * x0) / 2))] as g0, $[sum(n1 * 2 * y * (p * (x1 - x0) - (x1 * x1 - x0 * x0) / 2))] as g1 from pc group by i")
+@query(_PROJECTED + "select i, " + ", ".join(f"$[sum(list_extract(n, {j + 1}) * 2 * y * (p * (x1 - x0) - (x1 * x1 - x0 * x0) / 2))] as g{j}" for j in range(DIM)) + " from pc group by i")
 def ot1d_projected_adjoint(spark, sf_dir):
-    return T.projected_adjoint(T.barycenters(_projection(spark, sf_dir), ["batch"]), _angles(spark), 2)
+    return T.projected_adjoint(T.barycenters(_projection(spark, sf_dir), ["batch"]), _angles(spark), DIM)
 
 
 # --- distributions ---
