@@ -20,8 +20,8 @@ from .common import fresh, materialize, quoted, word_count
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: The hash has 60 bits, found 15 at a time: at most 32768 histogram rows for a source and level.
-LEVEL_BITS, LEVELS = 15, 4
+#: The hash has 60 bits, found 10 at a time: at most 1024 histogram rows for a source and level, however large it is.
+LEVEL_BITS, LEVELS = 10, 6
 
 
 def doc_hash(doc_id: Column | str = "doc_id") -> Column:
