@@ -7,7 +7,7 @@ from tilewright.operators import distributions as D
 from tilewright.operators import spatial as I
 from tilewright.operators import transport1d as T
 from tilewright.plans import multilevel, sweep3
-from tilewright.plans.problem import BlackBox, Box, Direct, Image, Iterative, Mesh, OtNotConverged, OtProblem, Polygon, SumOfDiracs, SumOfGaussians, laplacian_solve, ot_solve, position_derivative_of_weights, residual, w2
+from tilewright.plans.problem import BlackBox, Box, Direct, Image, Iterative, Mesh, OtNotConverged, OtProblem, Polygon, SumOfDiracs, SumOfGaussians, laplacian_solve, mass_derivative_of_weights, near_rows, ot_solve, position_derivative_of_weights, residual, w2
 from tilewright.plans.quantize import lloyd_1d, quantization, uniform_in_support
 from tilewright.plans.sweep import GridDensity, Pointwise, Sweeper, Uniform, box_ring, cells
 
@@ -311,3 +311,30 @@ def test_mesh_target():
     assert steps > 1 and wide.values.max() <= 3 * bump.mass
     with pytest.raises(ValueError):
         Mesh(nodes, triangles, np.ones(7))
+
+
+def test_near_seeds_share_a_cell():
+    rng = np.random.default_rng(9)
+    x = rng.uniform(0.1, 0.9, (40, 2))
+    x[30:] = x[:10] + 1e-12 * rng.normal(size=(10, 2))
+    x[39] = x[38]
+    plan = ot_solve(SumOfDiracs(x), Box([0, 0], [1, 1]), tol=1e-9)
+    assert plan.stats["status"] == "converged (aggregated)" and plan.cell_masses == pytest.approx(np.full(40, 1 / 40))
+    assert plan.clusters.tolist()[30:38] == list(range(8)) and (plan.clusters[:30] == np.arange(30)).all()
+    alone = ot_solve(SumOfDiracs(x[:30], np.bincount(plan.clusters)), Box([0, 0], [1, 1]), tol=1e-9)
+    assert plan.cost == pytest.approx(alone.cost, rel=1e-8) and plan.weights[:30] == pytest.approx(alone.weights, abs=1e-9)
+    chain = near_rows(np.array([[0.0, 0], [5, 5], [1, 0], [2, 0.5], [5, 5], [3, 0.5]]), 1.2)
+    assert chain.tolist() == [0, 1, 0, 0, 1, 0]
+
+
+def test_mass_derivatives_by_differences():
+    rng = np.random.default_rng(1)
+    x, m, e = rng.uniform(0.05, 0.95, (12, 2)), rng.uniform(0.5, 1.5, 12), 1e-5
+    m /= m.sum()
+    step = rng.normal(size=12) * m
+    step -= step.mean()
+    low, mid, high = (ot_solve(SumOfDiracs(x, m + s * step), Box([0, 0], [1, 1]), tol=1e-13) for s in (-e, 0, e))
+    want = (high.weights - low.weights) / (2 * e)
+    got = mass_derivative_of_weights(mid, step)
+    assert got - got[0] == pytest.approx(want - want[0], abs=1e-4)
+    assert mid.mass_gradient() @ step == pytest.approx((high.cost - low.cost) / (2 * e), abs=1e-6)
