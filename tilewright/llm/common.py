@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -99,6 +100,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Let the system have what a Python worker has freed; workers live on between tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def with_columns(df: DataFrame, run, fields: list[T.StructField]) -> DataFrame:
     """df with the columns that run adds to its Arrow batches, behind its own; columns of any names travel under plain ones."""
     plain, new = [f"c{k}" for k in range(len(df.columns))], [f"r{k}" for k in range(len(fields))]

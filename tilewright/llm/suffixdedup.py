@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ready
+from .common import give_back, materialize, ready
 from .words import CHUNK, _power, mix
 
 LENGTH, GRAM = 50, 24
 #: Bytes of distinct segments in one suffix array.
-SHARD = 1_500_000
+SHARD = 1_000_000
 #: Anchors that a task holds before it hands them on.
 HELD = 1_000_000
 #: An anchor in so many documents is split by a second one.
@@ -371,7 +371,7 @@ def repeated_anchors(docs: DataFrame, blocks: int, buckets: int, length: int, gr
 def _chunks(rows: list[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[bytes]]]:
     ids, texts, n = [], [], 0
     for doc, data in rows:
-        if ids and n + len(data) > CHUNK // 2:
+        if ids and n + len(data) > CHUNK // 3:
             yield ids, texts
             ids, texts, n = [], [], 0
         ids.append(doc)
@@ -460,6 +460,7 @@ def segments(docs: DataFrame, repeated: DataFrame, copies: DataFrame, blocks: in
                 if b != block:
                     yield from out()
                     block, known, hot, twins, held = b, [], [], set(), []
+                    give_back()
                 if kind <= 0:
                     (known if kind == 0 else hot).append(np.frombuffer(data, np.uint64))
                 elif kind == 1:
@@ -509,6 +510,7 @@ def covered(found: DataFrame, blocks: int, length: int) -> DataFrame:
             spans = np.zeros(0, _SPAN)
             doc, a, b = shard.spans(going_on)
             shard.clear()
+            give_back()
             spans = np.empty(len(doc), _SPAN)
             spans["doc"], spans["a"], spans["b"] = doc, a, b
             rows = list(_by_block(block_of(doc, blocks), spans)) if len(doc) else []
