@@ -338,3 +338,31 @@ def test_mass_derivatives_by_differences():
     got = mass_derivative_of_weights(mid, step)
     assert got - got[0] == pytest.approx(want - want[0], abs=1e-4)
     assert mid.mass_gradient() @ step == pytest.approx((high.cost - low.cost) / (2 * e), abs=1e-6)
+
+
+def test_blocks_planes_and_spreading_start(spark):
+    tiles = D.grid_table(spark, [[1, 1, 0, 1], [1, 1, 0, 1], [0, 1, 1, 0]])
+    assert {tuple(r) for r in D.merged_blocks(tiles).select("a0", "b0", "a1", "b1").collect()} == {(0, 1, 0, 1), (0, 1, 3, 3), (2, 2, 1, 2)}
+    assert D.merged_blocks(D.grid_table(spark, [[4, 1], [4, 4]]), 0.5).count() == 2
+    long = D.polygon_planes(spark, [[0, 0], [2, 0], [0, 2]]).select("k", *[(F.col(c) * 3).alias(c) for c in ("n0", "n1", "off")])
+    unit = D.normalized_planes(long, 2).collect()
+    assert all(r["n0"] ** 2 + r["n1"] ** 2 == pytest.approx(1) for r in unit) and max(r["off"] for r in unit) == pytest.approx(2**0.5)
+    volumes = spark.createDataFrame([(0, 1.0), (1, 1.0)], "e int, volume double")
+    corner = lambda a, b: spark.createDataFrame([(e, c, v, x) for e, vs, x in ((0, (0, 1, 2), a), (1, (1, 2, 3), b)) for c, v in enumerate(vs)], "e int, c int, v int, value double")
+    assert D.spread_start(corner(1.0, 1.0), volumes) == 1
+    assert D.spread_start(corner(1.0, 0.0), volumes, 1.2) > D.spread_start(corner(1.0, 0.0), volumes, 1.9)
+
+
+def test_presorted_sources(spark):
+    d, b = line(spark, [0.1, 0.2, 0.3, 0.9], [1])
+    a, c = (np.array(sorted((r["i"], r["w0"], r["w1"]) for r in T.source_intervals(d, presorted=p).collect())) for p in (True, False))
+    assert a == pytest.approx(c)
+
+
+def test_tensor_quotients(spark):
+    from tilewright.operators import tensor as A
+
+    t = lambda v: spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)], "l int, v double")
+    a, b = t([7, -7, 5]), t([2, 2, -2])
+    for f, want in ((A.div, [3.5, -3.5, -2.5]), (A.floordiv, [3, -4, -3]), (A.mod, [1, 1, -1])):
+        assert {r["l"]: r["v"] for r in f(a, b).collect()} == dict(enumerate(want))
