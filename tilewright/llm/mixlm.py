@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, ready
-from .mixmodel import CLASSES, CODE, HEAD, TABLE_BITS, TOP, Speller, Successors, cells, escapes, spell_mixer, tops, unpack, word_codes, word_mixer
+from .mixmodel import CLASSES, HEAD, TABLE_BITS, Speller, Successors, cells, escapes, spell_mixer, tops, word_codes, word_mixer
 from .words import _LOWER, _WHITE, CHUNK, mix, word_hashes
 
 FOLDS, HELD_OUT = 7, 2

@@ -29,7 +29,6 @@ STEPS = np.searchsorted([1, 2, 3, 5, 9, 17, 65, 513, 1023], np.arange(1024), sid
 ZONES = np.searchsorted([1, 30], np.arange(1024), side="right").astype(np.int32)
 GATES, ROUGH = 10 * 2 * 3 * 4, 10 * 2
 SPELL_GATES, SPELL_ROUGH = 14 * 6, 14
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Mixer:
@@ -38,7 +37,7 @@ class Mixer:
     def __init__(self, weights: np.ndarray, rough: int):
         self.weights = weights.astype(np.float32)
         self.square = np.full(weights.shape, 1e-4)
-        self.table = np.zeros((2, rough * LEVELS))
+        self.table = np.zeros(2 * rough * LEVELS)
 
     def step(self, x: np.ndarray, gate: np.ndarray, rough: np.ndarray, bit: np.ndarray, mass: np.ndarray) -> np.ndarray:
         """log2 of the bits' probabilities, with what is known so far; then one step of descent over those that have mass.
@@ -51,10 +50,11 @@ class Mixer:
             logit += w[k] * x[k]
         np.clip(logit, -16, 16, out=logit)
         p = 1 / (1 + np.exp(-logit))
-        level = rough * LEVELS + np.rint(np.clip(logit, -12, 12) * np.float32((LEVELS - 1) / 24) + np.float32((LEVELS - 1) / 2)).astype(np.int64)
-        seen = self.table[:, level]
-        fine = (p + (seen[1] + 30 * p) / (seen[0] + seen[1] + 30)) / 2
-        fine = np.clip(np.where(bit > 0, fine, 1 - fine), 1e-6, 1)
+        level = 2 * (rough * LEVELS + np.rint(np.clip(logit, -12, 12) * np.float32((LEVELS - 1) / 24) + np.float32((LEVELS - 1) / 2)).astype(np.int64))
+        known = self.table.astype(np.float32)
+        zero, one = known[level], known[level + 1]
+        fine = (p + (one + 30 * p) / (zero + one + 30)) / 2
+        fine = np.maximum(np.where(bit > 0, fine, 1 - fine), np.float32(1e-6))
         n, ones = len(self.weights), mass * bit
         total = np.bincount(gate, mass, n)
         if total.any():
@@ -62,7 +62,7 @@ class Mixer:
             slope = np.stack([np.bincount(gate, error * row, n) for row in x], 1) / np.maximum(total, 1e-9)[:, None]
             self.square += slope**2
             self.weights += (0.05 * slope / np.sqrt(self.square)).astype(np.float32)
-            self.table += np.stack([np.bincount(level, mass - ones, self.table.shape[1]), np.bincount(level, ones, self.table.shape[1])])
+            self.table += np.bincount(level + (bit > 0), mass, len(self.table))
         return np.log2(fine)
 
 
@@ -304,15 +304,16 @@ class Speller:
         own, byte, rows = self.flat(words)
         out, lo, size = left_out[own].astype(np.float32), np.zeros(len(own), np.int64), 256
         rows = [r * 257 for r in rows]
+        low, high = [t[r] for t, r in zip(tables, rows, strict=True)], [t[r + 256] for t, r in zip(tables, rows, strict=True)]
         for j in range(8):
             size >>= 1
             bit = (byte >> (7 - j) & 1).astype(np.float32)
             out1 = out * bit
             out0, counts = out - out1, []
-            for t, r in zip(tables, rows, strict=True):
-                at = r + lo
-                a, m, b = t[at], t[at + size], t[at + 2 * size]
-                counts.append((np.maximum(m - a - out0, 0), np.maximum(b - m - out1, 0)))
+            for k, (t, r) in enumerate(zip(tables, rows, strict=True)):
+                m = t[r + (lo + size)]
+                counts.append((np.maximum(m - low[k] - out0, 0), np.maximum(high[k] - m - out1, 0)))
+                low[k], high[k] = np.where(bit > 0, m, low[k]), np.where(bit > 0, high[k], m)
             rough = np.frexp(counts[2][0] + counts[2][1])[1]
             rough = np.minimum(rough, SPELL_ROUGH - 1).astype(np.int64)
             gate = rough * 6 + np.minimum(np.frexp(counts[1][0] + counts[1][1])[1] // 3, 5)
