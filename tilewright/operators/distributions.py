@@ -249,7 +249,10 @@ def _cut(df: DataFrame) -> DataFrame:
 
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tilewright-"))
     return df.checkpoint()
 
 
