@@ -62,6 +62,19 @@ def test_sharding(docs, empty, spark):
     assert sharding.shard_documents(empty, 4, 64)[0].count() == 0
 
 
+def test_shards_are_even(spark):
+    """Bytes of many documents of very different sizes, by a count of their own."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "x" * int(n)) for i, n in enumerate(rng.pareto(1.2, 4000) * 50)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8)[0].collect()
+    size, load = {i: len(t) + 16 for i, t in rows}, collections.Counter()
+    for r in placed:
+        assert r["size"] == size[r["doc_id"]]
+        load[r["shard"]] += size[r["doc_id"]]
+    largest = max(size.values())
+    assert len(placed) == 4000 and max(load.values()) <= max(largest * 1.01, 1.01 * sum(load.values()) / 8)
+
+
 def test_slot_map(spark, tmp_path):
     load = np.random.default_rng(0).pareto(2, 512) * 100
     m = sharding.SlotMap.dealt(512, 7)
@@ -157,6 +170,22 @@ def test_quality(spark, docs, empty):
     assert sorted(quality.rated(many, odd)[2].tolist()) == [0, 2]
 
 
+def test_quality_scores_equal_the_plain_way(spark):
+    """Every score from its document's own features, weight by weight; grades by the sum of their probabilities."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["good", "Fine", "bad", "ugly!!", "42"], int(rng.integers(1, 30)))) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("ugly" not in t), int("bad bad" in t)) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    for r in quality.score(docs, model).collect():
+        (found, value), = quality.features([texts[r["doc_id"]].encode()])
+        w = sum(float(np.float32(model.weights[f])) * float(v) for f, v in zip(found.tolist(), value.tolist(), strict=True))
+        below = [1 / (1 + math.exp(w - t)) for t in model.thresholds]  # P(grade <= k)
+        p = [below[0], below[1] - below[0], 1 - below[1]]
+        assert r["score"] == pytest.approx(w, abs=1e-4) and r["expected_grade"] == pytest.approx(p[1] + 2 * p[2], abs=1e-4)
+        assert r["tail_probability"] == pytest.approx(p[2], abs=1e-4)
+
+
 def test_ordinal_thresholds_are_ordered():
     rng = np.random.default_rng(1)
     x = [np.array([int(rng.integers(50)), 50 + int(rng.integers(3))], np.int32) for _ in range(300)]
@@ -485,6 +514,40 @@ def test_winnowing(spark, docs, empty):
     assert winnow.compare_with_next(empty).count() == 0
 
 
+def plain_fingerprint(text):
+    """The string and the set of hashes, gram by gram in plain integers."""
+    if not text:
+        return "", set()
+    if len(text) < winnow.K:
+        h = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "big")
+        return f"{h:08x}00", {h}
+    base, mask, grams = int(winnow._BASE), (1 << 64) - 1, []
+    for a in range(len(text) - winnow.K + 1):
+        h = sum((ord(c) + 1) * pow(base, j, 1 << 64) for j, c in enumerate(text[a : a + winnow.K])) & mask
+        grams.append(((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask) >> 32)
+    chosen = []
+    for a in range(max(1, len(grams) - winnow.W + 1)):
+        at = max(range(a, min(a + winnow.W, len(grams))), key=lambda j: (-grams[j], j))
+        if not chosen or chosen[-1] != at:
+            chosen.append(at)
+    return "".join(f"{grams[b]:08x}{b - a:02x}" for a, b in zip([0, *chosen], chosen, strict=False)), {grams[b] for b in chosen}
+
+
+def test_winnowing_equals_the_plain_way(spark):
+    rng = np.random.default_rng(13)
+    base = "".join(rng.choice(list("abc dé\U0001f600"), 400))
+    texts = [base, base[:200] + "xyz" * 40, base[100:], "", None, "short", "a" * 90, base]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for r in winnow.compare_with_next(df).collect():
+        own, after = texts[r["doc_id"]] or "", texts[(r["doc_id"] - 1) % len(texts)] or ""
+        half = len(own) // 2
+        changed = own[: len(own) - half] + after[:half]
+        (a, x), (b, y), (_, z) = map(plain_fingerprint, (own, changed, after))
+        assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) == (len(own), a, b)
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((likeness(x, y), likeness(x, z)))
+
+
 def test_winnowing_splits_a_hot_id(spark, monkeypatch):
     """Half of the rows have no id, a third one id: they are in many parts and still in order."""
     rng = np.random.default_rng(12)

@@ -64,6 +64,7 @@ def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     kinds.append(mix(shape.astype(np.uint64) * np.uint64(8) + np.uint64(7)))
     again = np.zeros(len(words), np.uint64)
     again[1:] = words[1:] == words[:-1]
+    again[bounds[:-1][bounds[:-1] < len(words)]] = 0  # a text's first word follows none
     kinds.append(mix(again * np.uint64(8) + np.uint64(2)))
     hashed = (np.stack(kinds, 1) >> np.uint64(64 - BITS)).astype(np.int32) if len(words) else np.zeros((0, len(kinds)), np.int32)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
