@@ -117,6 +117,7 @@ def test_bpe(docs, empty):
     got = by_row(bpe.decode(bpe.encode(docs)), "doc_id", "ids", "decoded")
     assert got == collections.Counter((i, np.array(own.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, *_ in ROWS)
     assert bpe.decode(bpe.encode(empty)).count() == 0
+    assert by_row(bpe.round_trip(docs), "doc_id", "ids", "decoded") == got and bpe.round_trip(empty).count() == 0
 
 
 def test_bpe_vocabularies_do_not_mix(spark, tmp_path):

@@ -315,6 +315,23 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", into:
     return with_columns(encoded, run, [T.StructField(into, T.BinaryType())])
 
 
+def round_trip(docs: DataFrame, path: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """docs with both columns of `encode` and `decode`, made by one worker: the decoder sees nothing but the ids."""
+    spark = ready(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(_vocabulary(path or default_path()))
+    docs = without(docs, ids, into)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        encoder, decoder = _once(Encoder, shared), _once(Decoder, shared)
+        for batch in batches:
+            coded = list(encoder.encode(["" if t is None else t for t in batch.column(at).to_pylist()]))
+            plain = [decoder.decode(np.frombuffer(x, "<u4").astype(np.int64)).tobytes() for x in coded]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded, pa.binary()), pa.array(plain, pa.binary())], names=[*batch.schema.names, "r0", "r1"])
+
+    return with_columns(docs, run, [T.StructField(ids, T.BinaryType()), T.StructField(into, T.BinaryType())])
+
+
 def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about CHUNK ids."""
     sizes = [len(x.as_buffer()) // 4 if x.is_valid else 0 for x in batch.column(at)]

@@ -108,7 +108,12 @@ def with_columns(df: DataFrame, run, fields: list[T.StructField]) -> DataFrame:
     """df with the columns that run adds to its Arrow batches, behind its own; columns of any names travel under plain ones."""
     plain, new = [f"c{k}" for k in range(len(df.columns))], [f"r{k}" for k in range(len(fields))]
     schema = [*(T.StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields, strict=True)), *(T.StructField(n, f.dataType) for n, f in zip(new, fields, strict=True))]
-    return df.toDF(*plain).mapInArrow(run, T.StructType(schema)).toDF(*df.columns, *(f.name for f in fields))
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.toDF(*plain).mapInArrow(whole, T.StructType(schema)).toDF(*df.columns, *(f.name for f in fields))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ready
+from .common import give_back, materialize, ready
 from .graph import components
 from .words import shingle_sets
 
@@ -110,6 +110,7 @@ def set_table(docs: DataFrame, words: int, index: Index) -> DataFrame:
                     classes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
                     signed[i] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signed, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, signature binary")
 
@@ -220,6 +221,7 @@ def near_links(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -
                 yield _pairs(out)
         if held:
             yield _pairs(exact_links(held, percent))
+        give_back()
 
     text = docs.select("doc_id", "text")
     with_sets = text.join(clusters, F.col("doc_id") == F.col("node")).select("doc_id", "text", "cluster", "block", "blocks").mapInArrow(sets, "node long, cluster long, block int, blocks int, shingles binary")
