@@ -53,7 +53,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers) in place of the text, and the hash of the bytes that they decode to."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"))
     digests = (F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded"))
     return coded.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", *digests)
 
