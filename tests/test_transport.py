@@ -76,6 +76,37 @@ def test_relational_and_vectorised_cells_agree(spark):
             assert got.get(i, (0, 0, 0, 0)) == pytest.approx(tuple(want[i]), abs=1e-10)
 
 
+def test_pruning_across_a_gap_looks_at_few_planes(spark, monkeypatch):
+    """Cells beside an empty stretch reach to the border until the seeds behind it cut them."""
+    rng = np.random.default_rng(8)
+    x = rng.uniform(size=(600, 2)) * [0.2, 1.0]
+    x[300:, 0] += 0.8
+    seeds = spark.createDataFrame([(i, *map(float, p), 0.0) for i, p in enumerate(x)], "i long, x0 double, x1 double, w double")
+    facets2, planes = I.facets2, []
+    monkeypatch.setattr(I, "facets2", lambda rows, keys: planes.append(rows.count()) or facets2(rows, keys))
+    facets = I.pruned_facets(seeds, P.unit_box(spark, 2), 14)
+    assert sum(planes) <= 12 * len(x)
+    got = {r["i"]: r["area"] for r in P.measures2(P.placed2(facets, seeds, ["i"]), ["i"]).collect()}
+    assert [got[i] for i in range(len(x))] == pytest.approx(cells(x, np.zeros(len(x)), np.arange(len(x)), *box_ring()).moments()[:, 0], abs=1e-12)
+
+
+def test_pruned_facets_are_those_of_all_pairs(spark):
+    """Seeds at one place, with equal and other weights, empty cells, seeds without a place, other domains."""
+    rng = np.random.default_rng(9)
+    x, w = rng.uniform(size=(40, 2)), 0.03 * rng.normal(size=40)
+    x[30:36], w[30:33] = x[:6], w[:3]
+    rows = [(7 * i + 3, *map(float, p), float(v)) for i, (p, v) in enumerate(zip(x, w, strict=True))]
+    schema = "i long, x0 double, x1 double, w double"
+    triangle = spark.createDataFrame([(-1, 0.0, -1.0, 0.0), (-2, -1.0, 0.0, 0.0), (-3, 0.5**0.5, 0.5**0.5, 0.8), (-4, 1.0, 0.0, 5.0)], "k long, n0 double, n1 double, off double")
+    end = lambda v: v if v is None else pytest.approx(v, abs=1e-9)
+    for domain, some in ((P.unit_box(spark, 2), [*rows, (1000, None, 0.5, 0.0)]), (triangle, rows), (triangle, rows[:1]), (triangle, [])):
+        seeds = spark.createDataFrame(some, schema)
+        want = {(r["i"], r["k"]): (r["lo"], r["hi"]) for r in P.facets2(P.cell_planes(seeds, domain, 2), ["i"]).collect()}
+        got = {(r["i"], r["k"]): (r["lo"], r["hi"]) for r in I.pruned_facets(seeds, domain, 4).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[f] == (end(a), end(b)) for f, (a, b) in want.items())
+
+
 def test_cells_tile_and_match_membership():
     rng = np.random.default_rng(4)
     x, w = rng.uniform(size=(60, 2)), 0.02 * rng.normal(size=60)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import running
-from .diagram import cell_planes, facets2, vertices
+from .diagram import bisectors, cell_planes, facets2, vertices
 
 
 def bucketed(seeds: DataFrame, cells: int) -> DataFrame:
@@ -82,6 +84,28 @@ def open_buckets(seeds: DataFrame, facets: DataFrame, cells: int, ring: int) ->
 
 
 def pruned_facets(seeds: DataFrame, domain: DataFrame, cells: int, ring: int = 1) -> DataFrame:
+    """facets2 of the whole diagram, from the seeds that bound each cell by `plans.sweep.neighbours`.
+
+    Seeds too many for that, and domains without end, take `ringed_facets` with a grid of cells x cells.
+    """
+    from ..plans.sweep import MOST_SEEDS, convex_ring, neighbours
+    from .distributions import _cut
+
+    border = convex_ring(np.array([tuple(r) for r in domain.select("n0", "n1", "off").collect()], float).reshape(-1, 3))  # a few planes
+    whole = isinstance(seeds.schema["i"].dataType, T.IntegralType)
+    if border is None or not whole or seeds.count() > MOST_SEEDS:
+        return ringed_facets(seeds, domain, cells, ring)
+    found = _cut(neighbours(seeds, border))
+    placed = F.lit(True)
+    for c in ("x0", "x1", "w"):
+        placed &= F.abs(c) < float("inf")
+    # All planes of the domain bound every cell that is not empty, and the whole domain is the cell of a seed without place.
+    full = found.where("k is null").select("i").unionByName(seeds.where(~F.coalesce(placed, F.lit(False))).select("i"))
+    walls = full.crossJoin(F.broadcast(domain)).withColumn("g", F.lit(None).cast("double"))
+    return facets2(bisectors(seeds, 2, found.where("k is not null")).unionByName(walls), ["i"])
+
+
+def ringed_facets(seeds: DataFrame, domain: DataFrame, cells: int, ring: int = 1) -> DataFrame:
     """facets2 of the whole diagram from candidates in nearby buckets, and from every bucket that pruning leaves open."""
     from .distributions import _cut
 

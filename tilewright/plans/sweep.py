@@ -7,11 +7,13 @@ reach its farthest vertex, else the ring grows for it alone. The result is exact
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Seeds up to this number are sent to every executor (24 bytes each); the relational path serves larger diagrams.
 MOST_SEEDS = 5_000_000
@@ -22,6 +24,8 @@ TOGETHER = 4096
 FRONTIER = 50_000
 #: Pairs of cell and candidate held at once.
 PAIRS = 2_000_000
+#: Pairs of cell and near seed that `neighbours` cuts at once; fuller buckets make for fewer cells.
+NEAR = 500_000
 
 
 @dataclass
@@ -165,6 +169,16 @@ class Grid:
     def bucket(self, x: np.ndarray) -> np.ndarray:
         return np.clip(((x - self.lo) / self.step).astype(np.int64), 0, self.side - 1)
 
+    def many(self, x: np.ndarray, ring: int) -> np.ndarray:
+        """How many seeds are in the rings around each x."""
+        b, out = self.bucket(x), np.zeros(len(x), np.int64)
+        lo, hi = np.maximum(b[:, 1] - ring, 0), np.minimum(b[:, 1] + ring, self.side - 1)
+        for r in range(-ring, ring + 1):
+            row = b[:, 0] + r
+            ok = (row >= 0) & (row < self.side)
+            out[ok] += self.start[row[ok] * self.side + hi[ok] + 1] - self.start[row[ok] * self.side + lo[ok]]
+        return out
+
     def near(self, x: np.ndarray, ring: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, seed): all seeds in the rings around each x."""
         b = self.bucket(x)
@@ -180,23 +194,23 @@ class Grid:
         return np.concatenate(rows), np.concatenate(seeds)
 
 
-def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids: np.ndarray, grid: Grid | None = None, reach: int = 2, tops: list[np.ndarray] | None = None) -> Polygons:
-    """Polygons of the cells mine of the seeds (x, w) in the domain.
+def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids: np.ndarray, grid: Grid | None = None, reach: int = 2, tops: list[np.ndarray] | None = None, alone: bool = True) -> Polygons:
+    """Polygons of the cells mine of the seeds (x, w) in the domain; only the seeds of the grid cut.
 
     The seeds of the rings around cut first. Their cells contain the true ones, so a bucket that cannot cut those cannot
-    cut these; the seeds of the buckets that can are the rest.
+    cut these; the seeds of the buckets that can are the rest. Of seeds at one place one has a cell; all have, if not alone.
     """
     grid = grid or Grid(x)
     tops = tops or grid.tops(w)
     if len(mine) > TOGETHER:
-        parts = [cells(x, w, mine[a : a + TOGETHER], ring, ids, grid, reach, tops) for a in range(0, len(mine), TOGETHER)]
+        parts = [cells(x, w, mine[a : a + TOGETHER], ring, ids, grid, reach, tops, alone) for a in range(0, len(mine), TOGETHER)]
         widest = max(part.v.shape[1] for part in parts)
         for part in parts:
             part._widen(widest)
         return Polygons(*(np.concatenate([getattr(part, f) for part in parts]) for f in ("v", "ids", "n")))
     p, pw = x[mine], w[mine]
     part = Polygons.of(ring, ids, len(mine))
-    _cut_by(part, x, w, mine, *grid.near(p, reach))
+    _cut_by(part, x, w, mine, *grid.near(p, reach), alone)
     row, b0, b1 = grid.open(tops, part, p, pw, reach)
     bucket = b0 * grid.side + b1
     many = grid.start[bucket + 1] - grid.start[bucket]
@@ -208,12 +222,12 @@ def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids:
         b = int(np.searchsorted(row, row[b - 1], "right"))
         n = many[a:b]
         seed = grid.order[np.repeat(grid.start[bucket[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        _cut_by(part, x, w, mine, np.repeat(row[a:b], n), seed)
+        _cut_by(part, x, w, mine, np.repeat(row[a:b], n), seed, alone)
         a = b
     return part
 
 
-def _cut_by(part: Polygons, x: np.ndarray, w: np.ndarray, mine: np.ndarray, row: np.ndarray, seed: np.ndarray) -> None:
+def _cut_by(part: Polygons, x: np.ndarray, w: np.ndarray, mine: np.ndarray, row: np.ndarray, seed: np.ndarray, alone: bool = True) -> None:
     """Cut the polygons row by the planes towards the seeds, the nearest first."""
     keep = (seed != mine[row]) & (part.n[row] > 0)
     row, seed = row[keep], seed[keep]
@@ -226,7 +240,7 @@ def _cut_by(part: Polygons, x: np.ndarray, w: np.ndarray, mine: np.ndarray, row:
     g = np.sqrt((d * d).sum(1))
     # Of seeds at one place the heaviest, then the first, has the cell.
     same = g == 0
-    lost = np.unique(row[same & ((w[seed] > pw[row]) | ((w[seed] == pw[row]) & (seed < of[row])))])
+    lost = np.unique(row[alone & same & ((w[seed] > pw[row]) | ((w[seed] == pw[row]) & (seed < of[row])))])
     row, seed, d, g = row[~same], seed[~same], d[~same], g[~same]
     away = (g + (pw[row] - w[seed]) / g) / 2  # signed distance of the plane
     far = _radius(part, x[mine], some)
@@ -493,3 +507,82 @@ class Sweeper:
             moments[np.frombuffer(r["b0"], "<i8")] = np.frombuffer(r["b1"]).reshape(-1, d + 2)
         cat = lambda j, t: np.concatenate([np.frombuffer(r[f"b{j}"], t) for r in rows])
         return Sweep(moments, cat(2, "<i8"), cat(3, "<i8"), cat(4, float), cat(5, float).reshape(-1, d))
+
+
+def convex_ring(planes: np.ndarray) -> np.ndarray | None:
+    """The corners in turn of what planes (n0, n1, off) leave of the plane; None where that is empty or has no end."""
+    ring = []
+    for j in np.argsort(np.arctan2(planes[:, 1], planes[:, 0]), kind="stable"):
+        n, off = planes[j, :2], planes[j, 2]
+        c, same = planes[:, 1] * n[0] - planes[:, 0] * n[1], planes[:, :2] @ n
+        r, level = planes[:, 2] - off * same, np.abs(c) <= 1e-14
+        lo, hi = (r[c < -1e-14] / c[c < -1e-14]).max(initial=-np.inf), (r[c > 1e-14] / c[c > 1e-14]).min(initial=np.inf)
+        again = level & (np.abs(r) <= 1e-12) & (same > 0)
+        if (level & (r < -1e-12)).any() or lo >= hi or again[:j].any():
+            continue
+        if np.isinf([lo, hi]).any():
+            return None
+        ring.append([off * n[0] - lo * n[1], off * n[1] + lo * n[0]])
+    return np.array(ring) if len(ring) > 2 else None
+
+
+def neighbours(seeds: DataFrame, ring: np.ndarray, tasks: int | None = None) -> DataFrame:
+    """(i, k): the seeds k that bound the cell of i in the domain ring, and a row without k for each cell that is not empty.
+
+    Seeds (i, x0, x1, w) at one place leave each other alone. The heaviest of them, then the last, cuts the other cells
+    for all; those of one weight share a cell, which is cut once. Seeds without a place or weight have no row.
+    """
+    spark = seeds.sparkSession
+    placed = F.lit(True)
+    for c in ("x0", "x1", "w"):
+        placed &= F.abs(c) < float("inf")
+    t = seeds.where(placed).select(F.col("i").cast("long").alias("i"), *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "w")]).toArrow()
+    if len(t) > MOST_SEEDS:
+        raise ValueError(f"{len(t)} seeds are more than are sent to every executor")
+    if not len(t):
+        return spark.createDataFrame([], "i long, k long")
+    i, x0, x1, w = (t.column(j).to_numpy() for j in range(4))
+    order = np.lexsort((i, w, x1, x0))
+    i, x, w = i[order], np.stack([x0, x1], 1)[order] + 0.0, w[order]
+    new_place = np.r_[True, (x[1:] != x[:-1]).any(1)]
+    first = np.flatnonzero(new_place | np.r_[True, w[1:] != w[:-1]])  # of each cell
+    last = np.r_[first[1:], len(i)] - 1
+    cutting = np.r_[new_place[first[1:]], True]
+    turn = np.argsort(~cutting, kind="stable")  # the cells of the seeds that cut come first
+    first, last, n = first[turn], last[turn], int(cutting.sum())
+    x, w = x[first], w[first]
+    grid = Grid(x[:n])
+    if tasks is None:
+        tasks = max(1, min(max(4 * spark.sparkContext.defaultParallelism, len(x) // 20_000), len(x) // 500))
+    _importable(spark)
+    shared = spark.sparkContext.broadcast((i, x, w, first, last, grid, np.r_[grid.order, n : len(x)], ring))
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                i, x, w, first, last, grid, line, ring = shared.value
+                tops, ids = grid.tops(w[: len(grid.order)]), -1 - np.arange(len(ring))
+                mine = line[len(x) * t // tasks : len(x) * (t + 1) // tasks]
+                upto, a = np.cumsum(grid.many(x[mine], 2)), 0
+                while a < len(mine):
+                    b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + NEAR, "right")), a + 1)
+                    part = cells(x, w, mine[a:b], ring, ids, grid, 2, tops, alone=False)
+                    row, k, _, _ = part.edges()
+                    row, k = np.unique(np.stack([row, np.maximum(k, -1)]), axis=1)  # -1: no seed
+                    some = np.flatnonzero(part.n > 0)
+                    row, k = np.r_[row[k >= 0], some], np.r_[k[k >= 0], np.full(len(some), -1)]
+                    size = (last - first + 1)[mine[a:b]][row]
+                    own = i[np.repeat(first[mine[a:b]][row] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                    k = np.repeat(k, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(i[last[k]], mask=k < 0)], names=["i", "k"])
+                    a = b
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, "i long, k long")
+
+
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers import this package when it is not installed but run from a checkout."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
