@@ -6,7 +6,7 @@ from tilewright.operators import diagram as P
 from tilewright.operators import distributions as D
 from tilewright.operators import spatial as I
 from tilewright.operators import transport1d as T
-from tilewright.plans import multilevel, sweep3
+from tilewright.plans import multilevel, sweep, sweep3
 from tilewright.plans.problem import BlackBox, Box, Direct, Image, Iterative, Mesh, OtNotConverged, OtProblem, Polygon, SumOfDiracs, SumOfGaussians, laplacian_solve, mass_derivative_of_weights, near_rows, ot_solve, position_derivative_of_weights, residual, w2
 from tilewright.plans.quantize import lloyd_1d, quantization, uniform_in_support
 from tilewright.plans.sweep import GridDensity, Pointwise, Sweeper, Uniform, box_ring, cells
@@ -90,6 +90,19 @@ def test_pruning_across_a_gap_looks_at_few_planes(spark, monkeypatch):
     assert [got[i] for i in range(len(x))] == pytest.approx(cells(x, np.zeros(len(x)), np.arange(len(x)), *box_ring()).moments()[:, 0], abs=1e-12)
 
 
+def test_long_cells_are_cut_by_the_nearest_stacks_first(monkeypatch):
+    """Seeds in low stacks far apart: cells reach over all others before the next stacks cut them."""
+    rng, looked = np.random.default_rng(10), []
+    x = np.repeat(rng.uniform(0.02, 0.98, (60, 2)), 40, 0) + np.tile(np.arange(40) * 1e-4, 60)[:, None] * [0, 1]
+    cut = sweep._cut_by
+    monkeypatch.setattr(sweep, "_cut_by", lambda *a: looked.append(len(a[4])) or cut(*a))
+    at_once = cells(x, np.zeros(len(x)), np.arange(len(x)), *box_ring()).moments()
+    before = sum(looked)
+    widening = cells(x, np.zeros(len(x)), np.arange(len(x)), *box_ring(), widening=True).moments()
+    assert widening == pytest.approx(at_once, abs=1e-12)
+    assert 2 * (sum(looked) - before) < before
+
+
 def test_pruned_facets_are_those_of_all_pairs(spark):
     """Seeds at one place, with equal and other weights, empty cells, seeds without a place, other domains."""
     rng = np.random.default_rng(9)

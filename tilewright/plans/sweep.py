@@ -139,12 +139,13 @@ class Grid:
             out.append(out[-1].reshape(n, 2, n, 2).max((1, 3)))
         return out
 
-    def open(self, tops: list[np.ndarray], part: Polygons, p: np.ndarray, pw: np.ndarray, ring: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, bucket coordinates): buckets beyond the ring whose seeds may still cut a polygon.
+    def open(self, tops: list[np.ndarray], part: Polygons, p: np.ndarray, pw: np.ndarray, ring: int, upto: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, bucket coordinates): buckets beyond the ring, and not beyond the ring upto, whose seeds may still cut a polygon.
 
         For one of its vertices v the least squared distance to the block less its largest weight is below |v - p|^2 - w.
         Blocks are opened from the largest down.
         """
+        home = self.bucket(p)
         v = part.v[:, : int(part.n.max(initial=0))]
         corner = np.arange(v.shape[1])[None] < part.n[:, None]
         power = np.where(corner, ((v - p[:, None]) ** 2).sum(2) - pw[:, None], -np.inf)
@@ -157,15 +158,27 @@ class Grid:
                 lo, hi = self.lo + (b << level) * self.step, self.lo + np.minimum((b + 1) << level, self.side) * self.step
                 away = np.maximum(np.maximum(lo[:, None] - v[r], v[r] - hi[:, None]), 0)
                 keep[a : a + FRONTIER] = ((away**2).sum(2) - tops[level][b[:, 0], b[:, 1]][:, None] < power[r] - 1e-15).any(1)
+            if upto is not None:
+                first, last = home[row] - (at << level), ((at + 1) << level) - 1 - home[row]
+                keep &= (np.maximum(-first, -last).max(1) <= upto) & (np.maximum(first, last).max(1) > ring)
             row, at = row[keep], at[keep]
             if level:
                 row = np.repeat(row, 4)
                 at = (2 * at[:, None] + np.array([[0, 0], [0, 1], [1, 0], [1, 1]])).reshape(-1, 2)
                 inside = (at << (level - 1) < self.side).all(1)
                 row, at = row[inside], at[inside]
-        far = np.abs(at - self.bucket(p)[row]).max(1) > ring
+        far = np.abs(at - home[row]).max(1) > ring
         return row[far], at[far, 0], at[far, 1]
 
+    def beyond(self, top: float, part: Polygons, p: np.ndarray, pw: np.ndarray, ring: int) -> np.ndarray:
+        """Whether a seed beyond the ring, of the largest weight, might cut a polygon."""
+        home, v = self.bucket(p), part.v[:, : int(part.n.max(initial=0))]
+        a = np.where(home - ring > 0, self.lo + (home - ring) * self.step, -np.inf)
+        z = np.where(home + ring < self.side - 1, self.lo + (home + ring + 1) * self.step, np.inf)
+        free = np.maximum(np.minimum(v - a[:, None], z[:, None] - v).min(2), 0)
+        cuts = free**2 - top < ((v - p[:, None]) ** 2).sum(2) - pw[:, None] - 1e-15
+        return (cuts & (np.arange(v.shape[1])[None] < part.n[:, None])).any(1)
+
     def bucket(self, x: np.ndarray) -> np.ndarray:
         return np.clip(((x - self.lo) / self.step).astype(np.int64), 0, self.side - 1)
 
@@ -194,16 +207,17 @@ class Grid:
         return np.concatenate(rows), np.concatenate(seeds)
 
 
-def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids: np.ndarray, grid: Grid | None = None, reach: int = 2, tops: list[np.ndarray] | None = None, alone: bool = True) -> Polygons:
+def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids: np.ndarray, grid: Grid | None = None, reach: int = 2, tops: list[np.ndarray] | None = None, alone: bool = True, widening: bool = False) -> Polygons:
     """Polygons of the cells mine of the seeds (x, w) in the domain; only the seeds of the grid cut.
 
     The seeds of the rings around cut first. Their cells contain the true ones, so a bucket that cannot cut those cannot
     cut these; the seeds of the buckets that can are the rest. Of seeds at one place one has a cell; all have, if not alone.
+    If widening, those buckets are taken in rings, each twice as far, and the cells are tested again after each.
     """
     grid = grid or Grid(x)
     tops = tops or grid.tops(w)
     if len(mine) > TOGETHER:
-        parts = [cells(x, w, mine[a : a + TOGETHER], ring, ids, grid, reach, tops, alone) for a in range(0, len(mine), TOGETHER)]
+        parts = [cells(x, w, mine[a : a + TOGETHER], ring, ids, grid, reach, tops, alone, widening) for a in range(0, len(mine), TOGETHER)]
         widest = max(part.v.shape[1] for part in parts)
         for part in parts:
             part._widen(widest)
@@ -211,7 +225,21 @@ def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids:
     p, pw = x[mine], w[mine]
     part = Polygons.of(ring, ids, len(mine))
     _cut_by(part, x, w, mine, *grid.near(p, reach), alone)
-    row, b0, b1 = grid.open(tops, part, p, pw, reach)
+    if not widening:
+        _cut_open(part, x, w, mine, grid, alone, *grid.open(tops, part, p, pw, reach))
+        return part
+    top = float(tops[-1][0, 0])
+    left = np.flatnonzero(grid.beyond(top, part, p, pw, reach))
+    while len(left):  # what is near cuts first, so that little of what is far can
+        row, b0, b1 = grid.open(tops, part.take(left), p[left], pw[left], reach, 2 * reach)
+        _cut_open(part, x, w, mine, grid, alone, left[row], b0, b1)
+        reach *= 2
+        left = left[grid.beyond(top, part.take(left), p[left], pw[left], reach)]
+    return part
+
+
+def _cut_open(part: Polygons, x: np.ndarray, w: np.ndarray, mine: np.ndarray, grid: Grid, alone: bool, row: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
+    """Cut the polygons row by the seeds of the buckets (b0, b1)."""
     bucket = b0 * grid.side + b1
     many = grid.start[bucket + 1] - grid.start[bucket]
     order = np.argsort(row, kind="stable")
@@ -224,7 +252,6 @@ def cells(x: np.ndarray, w: np.ndarray, mine: np.ndarray, ring: np.ndarray, ids:
         seed = grid.order[np.repeat(grid.start[bucket[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         _cut_by(part, x, w, mine, np.repeat(row[a:b], n), seed, alone)
         a = b
-    return part
 
 
 def _cut_by(part: Polygons, x: np.ndarray, w: np.ndarray, mine: np.ndarray, row: np.ndarray, seed: np.ndarray, alone: bool = True) -> None:
@@ -566,7 +593,7 @@ def neighbours(seeds: DataFrame, ring: np.ndarray, tasks: int | None = None) ->
                 upto, a = np.cumsum(grid.many(x[mine], 2)), 0
                 while a < len(mine):
                     b = max(int(np.searchsorted(upto, (upto[a - 1] if a else 0) + NEAR, "right")), a + 1)
-                    part = cells(x, w, mine[a:b], ring, ids, grid, 2, tops, alone=False)
+                    part = cells(x, w, mine[a:b], ring, ids, grid, 2, tops, alone=False, widening=True)
                     row, k, _, _ = part.edges()
                     row, k = np.unique(np.stack([row, np.maximum(k, -1)]), axis=1)  # -1: no seed
                     some = np.flatnonzero(part.n > 0)
