@@ -355,6 +355,93 @@ def test_lm_without_training_documents(spark):
     assert len(rows) == 3 and all(r["score"] < 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in rows)
 
 
+def counting(mixer):
+    """The mixer; its steps say how many inputs they get."""
+    step, mixer.inputs = mixer.step, 0
+
+    def counted(x, *rest):
+        mixer.inputs += x.shape[1]
+        return step(x, *rest)
+
+    mixer.step = counted
+    return mixer
+
+
+def leaves(rng, path="", depth=9):
+    """Paths of a random binary tree."""
+    if depth == 0 or len(path) > 2 and rng.random() < 0.25:
+        return [path]
+    return leaves(rng, path + "0", depth - 1) + leaves(rng, path + "1", depth - 1)
+
+
+@pytest.mark.parametrize("batch", [7, 4096])
+def test_lm_rows_with_equal_inputs_are_computed_once(monkeypatch, batch):
+    """Scores and steps are those of rows taken one by one, in fewer inputs."""
+    monkeypatch.setattr(mixmodel, "BATCH", batch)
+    monkeypatch.setattr(mixmodel, "TOP", 6)
+    rng, choose = np.random.default_rng(3), random.Random(3)
+    words = leaves(choose)
+    paths = [(c, w) for c in range(9) for w in sorted(choose.sample(words, 1 if c == 0 else len(words) * 2 // 3))]
+    context, classes = np.array([c for c, _ in paths]), np.array([c % 3 for c, _ in paths])
+    codes = mixmodel.pack(np.array([int(w, 2) for _, w in paths]), np.array([len(w) for _, w in paths]))
+    counts = np.where(rng.random(len(paths)) < 0.6, rng.integers(1, 4, len(paths)), 0)
+    top = mixmodel.tops(*mixmodel.cells(codes, classes, counts + 1))
+    rows = np.array([r for r, n in enumerate(counts) for _ in range(1 + (n > 0) * (r % 3 == 0))])
+    learn = (counts[rows] > 0) & np.append(True, rows[1:] != rows[:-1])
+    mass = np.where(learn, counts[rows], 0)
+    mixer, plain, want, bits = counting(mixmodel.word_mixer()), mixmodel.word_mixer(), np.zeros(len(rows)), 0
+    got = mixmodel.Successors(context, classes, codes, counts, top).score(mixer, rows, learn, mass)
+    shares = [np.count_nonzero(counts[context == c]) / max(1, counts[context == c].sum()) for c in range(9)]
+    for s in range(max(map(len, words))):
+        held = []
+        for i, r in enumerate(rows):
+            c, path = paths[r]
+            if len(path) <= s:
+                continue
+            like = lambda n, of, path=path, s=s, own=learn[i]: [sum(m for m, ok, (_, w) in zip(n, of, paths, strict=True) if ok and w[: s + 1] == path[:s] + b) - (b == path[s] and own) for b in "01"]
+            n = [[0, 0], [0, 0], like(counts, context == c)]
+            if s < 6:
+                n[:2] = like(counts + 1, context >= 0), like(counts + 1, classes == classes[r])
+            elif sum(n[2]) == 0:
+                want[i] -= 1
+                continue
+            rough = sum(sum(n[2]) >= e for e in (1, 2, 3, 5, 9, 17, 65, 513, 1023)) * 2 + (0 in n[2])
+            gate = (rough * 3 + sum(sum(n[1]) >= e for e in (1, 30))) * 4 + sum(shares[c] > e for e in (0.1, 0.3, 0.7))
+            held.append((i, [math.log((b + 0.2) / (a + 0.2)) for a, b in n], gate, rough, int(path[s])))
+        bits += len(held)
+        for a in range(0, len(held), batch):
+            at, x, gate, rough, bit = (np.array(v) for v in zip(*held[a : a + batch], strict=True))
+            want[at] += plain.step(x.T.astype(np.float32), gate, rough, bit.astype(np.float32), mass[at].astype(np.float32))
+    assert got == pytest.approx(want, abs=1e-3)
+    assert mixer.weights == pytest.approx(plain.weights, abs=1e-3)
+    assert batch < 4096 or mixer.inputs < 0.7 * bits
+
+
+def test_lm_spelling_computes_equal_bytes_once():
+    """Words scored one by one with the weights of the start, and together."""
+    words = [bytes(w) for w in random.Random(4).choices([b"transport", b"transfer", b"transit", b"a", b"", b"trans\xc3\xa9"], k=200)]
+    speller = mixmodel.Speller(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]), np.zeros(200, np.int64))
+    tables = speller.running(*zip(*speller.table_counts(np.arange(200)), strict=True))
+    out = np.arange(200) % 3 == 0
+    mixer = counting(mixmodel.spell_mixer())
+    together = speller.score(mixer, np.arange(200), out, tables)
+    assert mixer.inputs < 0.2 * 8 * sum(len(w) + 1 for w in words)
+    once = {}
+    for w, o, n in zip(words, out.tolist(), together.tolist(), strict=True):
+        assert once.setdefault((w, o), n) == pytest.approx(n)
+    mixer = mixmodel.spell_mixer()
+    alone = [speller.score(mixer, np.array([i]), np.array([False]), tables)[0] for i in range(200)]
+    assert speller.score(mixmodel.spell_mixer(), np.arange(200), np.zeros(200, bool), tables) == pytest.approx(alone, rel=1e-5)
+
+
+def test_lm_distinct_keys_that_differ_in_low_bits():
+    rng = np.random.default_rng(5)
+    for keys in (np.array([5, 3, 5, 1], np.uint64), rng.integers(0, 9, 50).astype(np.uint64), rng.integers(0, 1 << 63, 50).astype(np.uint64), np.zeros(0, np.uint64)):
+        at, number, times = mixlm.distinct(keys)
+        want, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+        assert (keys[at] == want).all() and (number == inverse).all() and (times == n).all()
+
+
 def test_lm_probabilities_sum_to_one():
     """The paths behind a context, the escapes among them; and the spellings of all short words."""
     rng = np.random.default_rng(2)
